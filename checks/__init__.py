@@ -1,5 +1,5 @@
 """Queries over the given tables with an equivalent SQL text for each."""
 
-from checks import profile
+from checks import match, profile
 
-MODULES = (profile,)
+MODULES = (profile, match)

@@ -237,11 +237,15 @@ def _chosen_per_sheet(scores: DataFrame, n_fields: int, min_score: float, strict
     return packed.select("sheet_id", _fold(F.col("__c"), min_score, strict).alias("__chosen"))
 
 
+def _at_position(i: int):
+    return lambda taken: taken.std_pos == i
+
+
 def _spread_fields(per_sheet: DataFrame, dictionary: Dictionary, stage: str) -> DataFrame:
     """Every standard field of every sheet, missing ones with a NULL column."""
     rows = []
     for i, f in enumerate(dictionary.fields):
-        mine = F.get(F.filter(F.col("__chosen"), lambda t, i=i: t.std_pos == i), 0)
+        mine = F.get(F.filter(F.col("__chosen"), _at_position(i)), 0)
         rows.append(
             F.struct(
                 F.lit(f.name).alias("std_field"),
