@@ -5,13 +5,11 @@ The tables hold no nulls, so the same value rule puts some in on both sides.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetloom.operators.classify import classify
-from sheetloom.operators.profiling import profile_columns
+from sheetloom.operators.profiling import profile_corpus
 from sheetloom.operators.reshape import to_cells
 
 
@@ -157,8 +155,7 @@ def corpus_frames(spark: SparkSession, d: str) -> list[DataFrame]:
 
 def profiles(spark: SparkSession, d: str) -> DataFrame:
     """Profiles of every sheet of the corpus."""
-    parts = [profile_columns(f, "sheet_id") for f in corpus_frames(spark, d)]
-    return reduce(DataFrame.unionByName, parts)
+    return profile_corpus(corpus_frames(spark, d))
 
 
 def classified(spark: SparkSession, d: str) -> DataFrame:

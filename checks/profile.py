@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.inputs import (
     CATEGORY, CELLS, CLASSIFIED, DATE_WORDS, ID_WORDS, LINE_COLS, LINE_NUM, LINES, NAME_WORDS,
-    ORDERS, PRICE_WORDS, PROFILES, QTY_WORDS, any_of, in_list, lines, order_cells, order_sheets,
+    ORDERS, PRICE_WORDS, PROFILES, QTY_WORDS, any_of, corpus_frames, in_list, lines, order_cells, order_sheets,
     profiles, rnd, srnd, table,
 )
 from sheetloom import dictionary as fixed
@@ -267,7 +267,12 @@ _P = ('sheet_id, "column", position, total_rows, non_null, null_rate, distinct_c
       "data_type")
 
 
-@query("profile_columns", f"WITH {PROFILES} SELECT {_P} FROM profiles")
+@query("profile_columns", f"WITH {PROFILES} SELECT {_P} FROM profiles WHERE sheet_id LIKE 'lineitem/%'")
+def _(spark, d):
+    return pr.profile_columns(corpus_frames(spark, d)[1], "sheet_id")
+
+
+@query("profile_corpus", f"WITH {PROFILES} SELECT {_P} FROM profiles")
 def _(spark, d):
     return profiles(spark, d)
 

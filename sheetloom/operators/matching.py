@@ -91,8 +91,10 @@ def rule_scores(profiles: DataFrame, dictionary: Dictionary = LOGISTICS) -> Data
 
     ``profiles`` must carry ``category`` (see ``classify``).
     """
-    name = F.lower("column")
-    return _per_field(profiles, dictionary, lambda f: _rule_score(f, name), "score")
+    prepared = profiles.withColumn("__low", F.lower("column"))
+    return _per_field(
+        prepared, dictionary, lambda f: _rule_score(f, F.col("__low")), "score"
+    )
 
 
 # ------------------------------------------------------------- name similarity

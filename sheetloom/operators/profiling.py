@@ -87,58 +87,97 @@ def null_profile(df: DataFrame, by: By = None, nulls: str = "blank",
     )
 
 
-def _value_rows(df: DataFrame, by: list[str], columns: list[str], nulls: str) -> DataFrame:
-    """(keys, position, value) with missing values as NULL."""
-    rows = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.when(_present(c, df.schema[c].dataType, nulls), q(c).cast("string")).alias("value"),
-        )
-        for i, c in enumerate(columns)
-    ]
-    return df.select(*[q(k) for k in by], inline_structs(rows))
+def _family(dtype: T.DataType) -> str:
+    """Type in which the values of a column are compared."""
+    if isinstance(dtype, T.IntegralType):
+        return "bigint"
+    return "double" if is_float(dtype) else "string"
 
 
-def _distinct_counts(df: DataFrame, by: list[str], columns: list[str], nulls: str) -> DataFrame:
-    """Exact distinct non-missing values per (group, column).
+def _value_groups(df: DataFrame, by: list[str], columns: list[str], nulls: str) -> DataFrame:
+    """(keys, column, n, flags): one row per distinct value of every column.
 
-    First level groups on the value itself, so the shuffle is spread by value
-    and one hot group never lands in one task; the second level only counts.
+    Grouping on the value spreads the shuffle, so one hot group never lands in
+    one task.  Columns are stacked per type family: values keep their native
+    form and each family reads only its own columns, so together they read the
+    data once.
     """
-    values = _value_rows(df, by, columns, nulls).where(F.col("value").isNotNull())
-    seen = values.distinct()
-    return seen.groupBy(*[q(k) for k in by], "position").agg(
-        F.count(F.lit(1)).alias("distinct_count")
+    keys = [q(k) for k in by]
+    families: dict[str, list[str]] = {}
+    for c in columns:
+        families.setdefault(_family(df.schema[c].dataType), []).append(c)
+    parts = []
+    for family, names in families.items():
+        typed = [
+            F.when(_present(c, df.schema[c].dataType, "strict"), q(c).cast(family)).alias(c)
+            if family == "double" else q(c).cast(family).alias(c)
+            for c in names
+        ]
+        groups = df.select(*keys, *typed).unpivot(
+            keys, [q(c) for c in names], "column", "value"
+        ).groupBy(*keys, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+        there = F.col("value").isNotNull()
+        blank = family == "string" and nulls == "blank"
+        parts.append(groups.select(
+            *keys, "column", "n", there.alias("there"),
+            (there & (F.col("value") != "") if blank else there).alias("filled"),
+            (F.coalesce(F.length("value") == 10, F.lit(False)) if family == "string"
+             else F.lit(False)).alias("ten"),
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _fold_groups(groups: DataFrame, keys: list[Column]) -> DataFrame:
+    return groups.groupBy(*keys).agg(
+        F.sum("n").alias("total_rows"),
+        F.sum(F.when(F.col("filled"), F.col("n")).otherwise(0)).alias("non_null"),
+        F.count_if("filled").alias("distinct_count"),
+        F.sum(F.when(F.col("there"), F.col("n")).otherwise(0)).alias("valued"),
+        F.sum(F.when(F.col("ten"), F.col("n")).otherwise(0)).alias("ten_long"),
+    )
+
+
+def _value_counts(df: DataFrame, by: list[str], columns: list[str], nulls: str) -> DataFrame:
+    """Row, value and exact distinct counts per (group, column)."""
+    groups = _value_groups(df, by, columns, nulls)
+    return _fold_groups(groups, [*[q(k) for k in by], F.col("column")]).withColumn(
+        "position", _lookup(columns, range(len(columns)), F.col("column"))
     )
 
 
-def _with_distinct(df: DataFrame, by: list[str], columns: list[str], nulls: str, exact: bool,
-                   metrics: Callable[[str, T.DataType], dict[str, Column]]) -> DataFrame:
-    if not exact:
-        def extended(c: str, t: T.DataType) -> dict[str, Column]:
-            value = F.when(_present(c, t, nulls), q(c).cast("string"))
-            return {**metrics(c, t), "distinct_count": F.approx_count_distinct(value, 0.02)}
+def _lookup(names: Sequence[str], values: Sequence, key: Column) -> Column:
+    """Literal value by name."""
+    pairs = [x for n, v in zip(names, values) for x in (F.lit(n), F.lit(v))]
+    return F.element_at(F.create_map(*pairs), key)
 
-        return _wide_to_long(df, by, columns, extended)
-    long = _wide_to_long(df, by, columns, metrics)
-    counts = _distinct_counts(df, by, columns, nulls)
-    joined = join_on(long, counts, [*by, "position"], "left")
-    return joined.withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
+
+def _counts(df: DataFrame, by: list[str], columns: list[str], nulls: str,
+            exact: bool) -> DataFrame:
+    """Counts of ``_value_counts`` with column names, exact or by sketch."""
+    if exact:
+        return _value_counts(df, by, columns, nulls)
+
+    def metrics(c: str, t: T.DataType) -> dict[str, Column]:
+        present, text = _present(c, t, nulls), q(c).cast("string")
+        return {
+            "non_null": count_true(present),
+            "distinct_count": F.approx_count_distinct(F.when(present, text), 0.02),
+            "valued": count_true(_present(c, t, "strict")),
+            "ten_long": count_true(F.length(text) == 10),
+        }
+
+    return _wide_to_long(df, by, columns, metrics)
 
 
 def uniqueness(df: DataFrame, by: By = None, nulls: str = "blank", exact: bool = True,
                columns: Sequence[str] | None = None) -> DataFrame:
     """Distinct non-null values over total rows.
 
-    ``exact=False`` uses a sketch in the same single wide pass.
+    ``exact=False`` uses a sketch in one wide pass without the value shuffle.
     """
     keys = as_list(by)
     cols = data_columns(df, keys, columns)
-    long = _with_distinct(
-        df, keys, cols, nulls, exact,
-        lambda c, t: {"non_null": count_true(_present(c, t, nulls))},
-    )
-    return long.select(
+    return _counts(df, keys, cols, nulls, exact).select(
         *[q(k) for k in keys], "column", "position", "total_rows", "non_null", "distinct_count",
         ratio(F.col("distinct_count"), F.col("total_rows")).alias("uniqueness"),
     )
@@ -213,10 +252,20 @@ def quality_metrics(df: DataFrame, by: By = None, exact: bool = True,
     """Nulls (strict), distinct counts, type and numeric statistics per column."""
     keys = as_list(by)
     cols = data_columns(df, keys, columns)
-    long = _with_distinct(
-        df, keys, cols, "strict", exact,
-        lambda c, t: {"non_null": count_true(_present(c, t, "strict")), **_numeric_metrics(c, t)},
-    )
+
+    def metrics(c: str, t: T.DataType) -> dict[str, Column]:
+        present = _present(c, t, "strict")
+        found = {"non_null": count_true(present), **_numeric_metrics(c, t)}
+        if not exact:
+            found["distinct_count"] = F.approx_count_distinct(F.when(present, q(c)), 0.02)
+        return found
+
+    long = _wide_to_long(df, keys, cols, metrics)
+    if exact:
+        counts = _value_counts(df, keys, cols, "strict").select(
+            *[q(k) for k in keys], "column", "distinct_count"
+        )
+        long = join_on(long, counts, [*keys, "column"], "left")
     missing = F.col("total_rows") - F.col("non_null")
     types = F.create_map(
         *[x for c in cols for x in (F.lit(c), F.lit(df.schema[c].dataType.simpleString()))]
@@ -465,7 +514,7 @@ PROFILE_COLUMNS = ("sheet_id", "column", "position", "total_rows", "non_null", "
                    "distinct_count", "uniqueness", "data_type")
 
 
-def profile_columns(df: DataFrame, by: str | None = None, sheet: str | None = None,
+def profile_columns(df: DataFrame, by: str | None = None, sheet: str = "sheet",
                     nulls: str = "blank", exact: bool = True,
                     columns: Sequence[str] | None = None) -> DataFrame:
     """Profiles of a typed frame: one row per (sheet, column).
@@ -473,31 +522,52 @@ def profile_columns(df: DataFrame, by: str | None = None, sheet: str | None = No
     ``by`` names the column that holds the sheet id; without it the whole frame
     is the sheet called ``sheet``.
     """
-    keys = as_list(by)
-    cols = data_columns(df, keys, columns)
+    named = df.withColumnRenamed(by, "sheet_id") if by else df.withColumn("sheet_id", F.lit(sheet))
+    cols = data_columns(named, ["sheet_id"], columns)
+    return profile_corpus([named.select("sheet_id", *[q(c) for c in cols])], nulls, exact)
 
-    def metrics(c: str, t: T.DataType) -> dict[str, Column]:
-        present = _present(c, t, nulls)
-        kind = schema_kind(t)
-        numbers = count_true(present) if kind in ("int", "float") else F.count_if(F.lit(False))
-        if kind == "text" and isinstance(t, (T.StringType, T.DateType)):
-            # the empty string is a value for type inference, not ten long
-            ten = count_true(F.length(q(c).cast("string")) == 10)
-            valued = F.count(q(c))
-        else:
-            ten, valued = F.count_if(F.lit(False)), count_true(present)
-        return {"non_null": count_true(present), "valued": valued, "numbers": numbers,
-                "ten_long": ten}
 
-    long = _with_distinct(df, keys, cols, nulls, exact, metrics)
-    name = q(keys[0]).cast("string") if keys else F.lit(sheet if sheet is not None else "sheet")
-    total = F.col("total_rows")
-    return long.select(
-        name.alias("sheet_id"), "column", "position", "total_rows", "non_null",
-        F.coalesce(ratio(total - F.col("non_null"), total), F.lit(1.0)).alias("null_rate"),
+def profile_corpus(frames: Sequence[DataFrame], nulls: str = "blank",
+                   exact: bool = True) -> DataFrame:
+    """Profiles of several typed frames that each carry ``sheet_id``.
+
+    Distinct values are grouped frame by frame and folded together at the end,
+    in one exchange for the whole corpus.
+    """
+    parts, names, places, numbers, texts = [], [], [], [], []
+    for src, df in enumerate(frames):
+        cols = data_columns(df, ["sheet_id"], None)
+        types = [df.schema[c].dataType for c in cols]
+        names += [f"{src}:{c}" for c in cols]
+        places += range(len(cols))
+        numbers += [schema_kind(t) in ("int", "float") for t in types]
+        texts += [isinstance(t, (T.StringType, T.DateType)) for t in types]
+        if exact:
+            part = _value_groups(df, ["sheet_id"], cols, nulls)
+        else:
+            part = _counts(df, ["sheet_id"], cols, nulls, exact=False).drop("position")
+        parts.append(part.withColumn("src", F.lit(src)))
+    counts = reduce(DataFrame.unionByName, parts)
+    if exact:
+        counts = _fold_groups(counts, [F.col("sheet_id"), F.col("src"), F.col("column")])
+    facts = [F.struct(F.lit(p).alias("position"), F.lit(n).alias("number"), F.lit(t).alias("text"))
+             for p, n, t in zip(places, numbers, texts)]
+    pairs = [x for n, f in zip(names, facts) for x in (F.lit(n), f)]
+    fact = F.element_at(F.create_map(*pairs), F.concat_ws(":", "src", "column"))
+    counts = counts.withColumn("__f", fact)
+    total, valued = F.col("total_rows"), F.col("valued")
+    kind = column_type(
+        valued,
+        F.when(F.col("__f.number"), valued).otherwise(0),
+        F.when(F.col("__f.text"), F.col("ten_long")).otherwise(0),
+    )
+    return counts.select(
+        F.col("sheet_id").cast("string").alias("sheet_id"), "column",
+        F.col("__f.position").alias("position"), "total_rows", "non_null",
+        ratio(total - F.col("non_null"), total).alias("null_rate"),
         "distinct_count",
-        F.coalesce(ratio(F.col("distinct_count"), total), F.lit(0.0)).alias("uniqueness"),
-        column_type(F.col("valued"), F.col("numbers"), F.col("ten_long")).alias("data_type"),
+        ratio(F.col("distinct_count"), total).alias("uniqueness"),
+        kind.alias("data_type"),
     )
 
 
