@@ -1,5 +1,5 @@
 """Queries over the given tables with an equivalent SQL text for each."""
 
-from checks import match, profile
+from checks import match, profile, shape, validate
 
-MODULES = (profile, match)
+MODULES = (shape, profile, match, validate)
