@@ -41,7 +41,7 @@ def envelopes(spark, d):
                                      F.lit(',"columns":{"k":1},"data":[]}')))
         .when(t == "error", F.concat(F.lit('{"total_rows":'), n, F.lit(',"data":3}')))
         .when(t == "signup", F.concat(F.lit('{"filename":"f","total_rows":"'), n,
-                                      F.lit('x","columns":[],"data":{}}')))
+                                      F.lit('","columns":[],"data":{}}')))
         .otherwise(F.concat(F.lit("not json "), n))
     )
     return table(spark, d, "events").select(
@@ -55,7 +55,8 @@ ENVELOPE = "\nUNION ALL ".join(
      for k in ("filename", "total_rows", "columns", "data")]
     + [f"{_E} '{k}', 'missing_key', 'absent' FROM events WHERE event_type = 'error'"
        for k in ("filename", "columns")]
-    + [f"{_E} 'total_rows', 'bad_total_rows', 'not a whole number' FROM events WHERE event_type IN ('click', 'signup')",
+    + [f"{_E} 'total_rows', 'bad_total_rows', 'not a whole number' FROM events WHERE event_type = 'signup' "
+       "OR event_type = 'click' AND user_id > 0",
        f"{_E} 'columns', 'not_a_list', 'not a list' FROM events WHERE event_type = 'click'",
        f"{_E} 'data', 'not_a_list', 'not a list' FROM events WHERE event_type = 'signup'"])
 
@@ -135,7 +136,7 @@ def _(spark, d):
     return va.content_check(order_cells(spark, d))
 
 
-@query("high_null_warnings", f"""WITH {LINES}, p AS ({PROFILE_SQL['null_profile'].split(chr(10), 7)[-1]})
+@query("high_null_warnings", f"""WITH {LINES}, p AS ({PROFILE_SQL['null_profile'][len(f'WITH {LINES}') + 1:]})
 SELECT sheet_id, 'content' AS step, 'warning' AS severity, "column" AS subject, 'high_null_rate' AS code,
   {_PCTTXT.format(srnd('null_rate * 100', 2))} AS detail FROM p WHERE null_rate > 0.1e0""")
 def _(spark, d):

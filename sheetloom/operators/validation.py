@@ -62,13 +62,17 @@ def check_envelope(df: DataFrame, payload: str, sheet: str = "sheet_id") -> Data
     base = base.withColumn("__keys", F.json_object_keys("__p"))
     wanted = F.array(*[F.lit(k) for k in ENVELOPE_KEYS])
     gaps = F.array_except(wanted, F.coalesce("__keys", F.array().cast("array<string>")))
-    total = F.get_json_object("__p", "$.total_rows")
-    bad_total = ~F.coalesce(total.rlike(r"^[0-9]+$"), F.lit(False))
+    document = F.try_parse_json("__p")
+
+    def json_type(key: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(document, f"$.{key}", "variant"))
+
+    total = F.try_variant_get(document, "$.total_rows", "bigint")
+    bad_total = ~F.coalesce((json_type("total_rows") == "BIGINT") & (total >= 0), F.lit(False))
     complete = F.size(gaps) == 0
 
     def not_list(key: str) -> Column:
-        fragment = F.get_json_object("__p", f"$.{key}")
-        return F.coalesce(_json_type(fragment) != "array", F.lit(True))
+        return ~F.coalesce(json_type(key).startswith("ARRAY"), F.lit(False))
 
     missing = F.transform(
         gaps, lambda k: _finding("structure", "error", k, "missing_key", F.lit("absent"))
