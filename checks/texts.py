@@ -257,7 +257,16 @@ def _(spark, d):
         F.lit("negative").alias("code"), F.sum(F.col("detail").cast("bigint")).alias("n"))
 
 
-@query("stream_chunks")
+@query("stream_chunks", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS id, event_id, event_type, ts,
+    coalesce(ts >= lag(ts) OVER w + INTERVAL 6 HOUR, FALSE) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY id ORDER BY ts) AS session FROM e),
+b AS (SELECT id, session, min(event_id) FILTER (WHERE event_type = 'error') AS stop_at, max(ts) + INTERVAL 6 HOUR AS closes
+  FROM s GROUP BY id, session)
+SELECT s.id, coalesce(string_agg(event_type || ' ', '' ORDER BY event_id) FILTER (WHERE stop_at IS NULL OR event_id < stop_at), '')
+  AS content, count(*) FILTER (WHERE stop_at IS NULL OR event_id < stop_at) AS chunks,
+  any_value(stop_at IS NOT NULL) AS finished
+FROM s JOIN b ON b.id = s.id AND b.session = s.session
+WHERE closes <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY s.id, s.session""")
 def _(spark, d):
     import os
 
