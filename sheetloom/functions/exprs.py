@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -25,7 +26,17 @@ def data_columns(df: DataFrame, exclude: Iterable[str], columns: Sequence[str] |
 
 def q(name: str) -> Column:
     """Column by exact name, safe for dots and blanks in headers."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(ident(name))
+
+
+def ident(name: str) -> str:
+    """Quoted identifier for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """Quoted string literal for SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -43,10 +54,10 @@ def clamp(value: Column, low: float = 0.0, high: float = 100.0) -> Column:
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
-    """True when any literal word occurs; a codegen-friendly OR chain."""
+    """True when any literal word occurs: one pattern of escaped alternatives."""
     if not words:
         return F.lit(False)
-    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
+    return text.rlike("|".join(re.escape(w) for w in words))
 
 
 def count_true(cond: Column) -> Column:

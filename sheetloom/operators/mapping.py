@@ -146,22 +146,26 @@ def parse_proposals(df: DataFrame, text: str = "text", sheet: str = "sheet_id",
     Standard fields without a value are missing.
     """
     staged = df.select(F.col(sheet).alias("sheet_id"), F.col(text).alias("__text"))
-    decisions = []
+    staged = staged.withColumn("__d", F.lit(None).cast(f"struct<how:string,m:{_OBJECT}>"))
+    known = F.array(*[F.lit(n) for n in dictionary.names])
+    ratings = F.array(*[F.lit(k) for k in RATING_KEYS])
     for pattern, group in _BODIES:
+        # each body is parsed once, and only where no earlier one has decided
         body = F.nullif(F.regexp_extract("__text", pattern, group), F.lit(""))
-        obj = _as_object(body)
-        nested = F.coalesce(*[_as_object(F.element_at(obj, k)) for k in NESTED_KEYS])
-        has_std = F.arrays_overlap(
-            F.map_keys(obj), F.array(*[F.lit(n) for n in dictionary.names])
+        staged = staged.withColumn("__o", F.when(F.col("__d").isNull(), _as_object(body)))
+        staged = staged.withColumn(
+            "__n", F.coalesce(*[_as_object(F.element_at("__o", k)) for k in NESTED_KEYS])
         )
-        rated = F.arrays_overlap(F.map_keys(obj), F.array(*[F.lit(k) for k in RATING_KEYS]))
-        decisions.append(
-            F.when(nested.isNotNull(), F.struct(F.lit("json").alias("how"), nested.alias("m")))
-            .when(has_std, F.struct(F.lit("json").alias("how"), obj.alias("m")))
-            .when(rated, F.struct(F.lit("text").alias("how"),
-                                  F.lit(None).cast(_OBJECT).alias("m")))
+        keys = F.map_keys("__o")
+        decision = (
+            F.when(F.col("__n").isNotNull(),
+                   F.struct(F.lit("json").alias("how"), F.col("__n").alias("m")))
+            .when(F.arrays_overlap(keys, known),
+                  F.struct(F.lit("json").alias("how"), F.col("__o").alias("m")))
+            .when(F.arrays_overlap(keys, ratings),
+                  F.struct(F.lit("text").alias("how"), F.lit(None).cast(_OBJECT).alias("m")))
         )
-    staged = staged.withColumn("__d", F.coalesce(*decisions))
+        staged = staged.withColumn("__d", F.coalesce("__d", decision))
     from_json = F.col("__d.how") == "json"
     rows = []
     for i, f in enumerate(dictionary.fields):

@@ -24,11 +24,13 @@ from sheetloom.functions.exprs import (
     count_true,
     data_columns,
     half_up,
+    ident,
     inline_structs,
     is_float,
     is_missing,
     is_number,
     join_on,
+    literal,
     q,
     ratio,
     schema_kind,
@@ -94,6 +96,14 @@ def _family(dtype: T.DataType) -> str:
     return "double" if is_float(dtype) else "string"
 
 
+def _typed(c: str, family: str) -> str:
+    """SQL text of a column in its family type, NaN as NULL."""
+    name = ident(c)
+    if family == "double":
+        return f"CASE WHEN NOT isnan({name}) THEN CAST({name} AS double) END AS {name}"
+    return f"CAST({name} AS {family}) AS {name}"
+
+
 def _value_groups(df: DataFrame, by: list[str], columns: list[str], nulls: str) -> DataFrame:
     """(keys, column, n, flags): one row per distinct value of every column.
 
@@ -107,22 +117,16 @@ def _value_groups(df: DataFrame, by: list[str], columns: list[str], nulls: str)
     for c in columns:
         families.setdefault(_family(df.schema[c].dataType), []).append(c)
     parts = []
+    key_names = [ident(k) for k in by]
     for family, names in families.items():
-        typed = [
-            F.when(_present(c, df.schema[c].dataType, "strict"), q(c).cast(family)).alias(c)
-            if family == "double" else q(c).cast(family).alias(c)
-            for c in names
-        ]
-        groups = df.select(*keys, *typed).unpivot(
+        groups = df.selectExpr(*key_names, *[_typed(c, family) for c in names]).unpivot(
             keys, [q(c) for c in names], "column", "value"
         ).groupBy(*keys, "column", "value").agg(F.count(F.lit(1)).alias("n"))
-        there = F.col("value").isNotNull()
-        blank = family == "string" and nulls == "blank"
-        parts.append(groups.select(
-            *keys, "column", "n", there.alias("there"),
-            (there & (F.col("value") != "") if blank else there).alias("filled"),
-            (F.coalesce(F.length("value") == 10, F.lit(False)) if family == "string"
-             else F.lit(False)).alias("ten"),
+        there, text = "value IS NOT NULL", family == "string"
+        filled = f"{there} AND value <> ''" if text and nulls == "blank" else there
+        ten = "coalesce(length(value) = 10, false)" if text else "false"
+        parts.append(groups.selectExpr(
+            *key_names, "column", "n", f"{there} AS there", f"{filled} AS filled", f"{ten} AS ten"
         ))
     return reduce(DataFrame.unionByName, parts)
 
@@ -146,9 +150,15 @@ def _value_counts(df: DataFrame, by: list[str], columns: list[str], nulls: str)
 
 
 def _lookup(names: Sequence[str], values: Sequence, key: Column) -> Column:
-    """Literal value by name."""
-    pairs = [x for n, v in zip(names, values) for x in (F.lit(n), F.lit(v))]
-    return F.element_at(F.create_map(*pairs), key)
+    """Literal value (SQL text) by name, from one map literal."""
+    pairs = ", ".join(f"{literal(n)}, {v}" for n, v in zip(names, values))
+    return F.element_at(F.expr(f"map({pairs})"), key)
+
+
+def _sketched(c: str, present: Column) -> Column:
+    """Distinct count by a mergeable sketch of value hashes (about 1.6 % error)."""
+    sketch = F.hll_sketch_agg(F.when(present, F.xxhash64(q(c))))
+    return F.coalesce(F.hll_sketch_estimate(sketch), F.lit(0).cast("long"))
 
 
 def _counts(df: DataFrame, by: list[str], columns: list[str], nulls: str,
@@ -161,7 +171,7 @@ def _counts(df: DataFrame, by: list[str], columns: list[str], nulls: str,
         present, text = _present(c, t, nulls), q(c).cast("string")
         return {
             "non_null": count_true(present),
-            "distinct_count": F.approx_count_distinct(F.when(present, text), 0.02),
+            "distinct_count": _sketched(c, present),
             "valued": count_true(_present(c, t, "strict")),
             "ten_long": count_true(F.length(text) == 10),
         }
@@ -236,13 +246,11 @@ def basic_stats(df: DataFrame, by: By = None, columns: Sequence[str] | None = No
     keys = as_list(by)
     cols = data_columns(df, keys, columns)
     long = _wide_to_long(df, keys, cols, lambda c, t: {"value_bytes": _byte_size(c, t)})
-    types = F.create_map(
-        *[x for c in cols for x in (F.lit(c), F.lit(df.schema[c].dataType.simpleString()))]
-    )
+    types = [literal(f.dataType.simpleString()) for f in df.select(*[q(c) for c in cols]).schema]
     return long.select(
         *[q(k) for k in keys], "column", "position", "total_rows",
         F.lit(len(cols)).alias("total_columns"),
-        F.element_at(types, F.col("column")).alias("declared_type"),
+        _lookup(cols, types, F.col("column")).alias("declared_type"),
         F.coalesce("value_bytes", F.lit(0)).alias("value_bytes"),
     )
 
@@ -257,7 +265,7 @@ def quality_metrics(df: DataFrame, by: By = None, exact: bool = True,
         present = _present(c, t, "strict")
         found = {"non_null": count_true(present), **_numeric_metrics(c, t)}
         if not exact:
-            found["distinct_count"] = F.approx_count_distinct(F.when(present, q(c)), 0.02)
+            found["distinct_count"] = _sketched(c, present)
         return found
 
     long = _wide_to_long(df, keys, cols, metrics)
@@ -267,9 +275,7 @@ def quality_metrics(df: DataFrame, by: By = None, exact: bool = True,
         )
         long = join_on(long, counts, [*keys, "column"], "left")
     missing = F.col("total_rows") - F.col("non_null")
-    types = F.create_map(
-        *[x for c in cols for x in (F.lit(c), F.lit(df.schema[c].dataType.simpleString()))]
-    )
+    types = [literal(f.dataType.simpleString()) for f in df.select(*[q(c) for c in cols]).schema]
     return long.select(
         *[q(k) for k in keys], "column", "position", "total_rows",
         missing.alias("null_count"),
@@ -277,7 +283,7 @@ def quality_metrics(df: DataFrame, by: By = None, exact: bool = True,
         F.col("distinct_count").alias("unique_count"),
         half_up(ratio(F.col("distinct_count"), F.col("total_rows")) * 100, 2)
         .alias("unique_percentage"),
-        F.element_at(types, F.col("column")).alias("data_type"),
+        _lookup(cols, types, F.col("column")).alias("data_type"),
         "min", "max", "mean", "std",
     )
 
@@ -550,10 +556,11 @@ def profile_corpus(frames: Sequence[DataFrame], nulls: str = "blank",
     counts = reduce(DataFrame.unionByName, parts)
     if exact:
         counts = _fold_groups(counts, [F.col("sheet_id"), F.col("src"), F.col("column")])
-    facts = [F.struct(F.lit(p).alias("position"), F.lit(n).alias("number"), F.lit(t).alias("text"))
-             for p, n, t in zip(places, numbers, texts)]
-    pairs = [x for n, f in zip(names, facts) for x in (F.lit(n), f)]
-    fact = F.element_at(F.create_map(*pairs), F.concat_ws(":", "src", "column"))
+    facts = [
+        f"named_struct('position', {p}, 'number', {str(n).lower()}, 'text', {str(t).lower()})"
+        for p, n, t in zip(places, numbers, texts)
+    ]
+    fact = _lookup(names, facts, F.concat_ws(":", "src", "column"))
     counts = counts.withColumn("__f", fact)
     total, valued = F.col("total_rows"), F.col("valued")
     kind = column_type(
