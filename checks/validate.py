@@ -258,12 +258,12 @@ SELECT m.sheet_id, 'mapping' AS step, coalesce(e, 0) = 0 AS is_valid, coalesce(e
 FROM m LEFT JOIN k ON k.sheet_id = m.sheet_id""")
 def _(spark, d):
     from sheetloom.operators import mapping as mp
+    from sheetloom.plans.lineage import materialize
 
-    m = match.filled(spark, d)
+    m = materialize(match.filled(spark, d))
     checked = mp.mapping_check(m, ENGLISH)
-    score = mp.mapping_score(checked, m, ENGLISH).select(
-        "sheet_id", F.col("mapping_quality_score").alias("score"))
-    return rnd(va.step_results({"mapping": score}, checked), 4, "score")
+    score = mp.mapping_score(checked, m, ENGLISH).withColumnRenamed("mapping_quality_score", "score")
+    return rnd(va.step_results({"mapping": score}), 4, "score")
 
 
 @query("validation_summary", f"""WITH {ALL} SELECT sheet_id, count(*) AS total_steps, count(*) AS passed_steps,

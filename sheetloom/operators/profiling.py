@@ -343,11 +343,30 @@ def completeness_columns(df: DataFrame, by: By = None, nulls: str = "strict",
 CELL_KEYS = ("sheet_id", "column")
 
 
-def _share_of_first(first: Column) -> Column:
-    counts = F.coalesce(
-        *[F.when(first == k, F.count_if(F.col("kind") == k)) for k in KINDS]
-    )
-    return ratio(counts, F.count(F.lit(1)))
+def _kind_code() -> Column:
+    """Kind as a small number: fixed-width buffers keep the aggregate hashed."""
+    code = F
+    for i, k in enumerate(KINDS):
+        code = code.when(F.col("kind") == k, F.lit(i))
+    return code.otherwise(F.lit(len(KINDS) - 1))
+
+
+def kind_counts() -> list[Column]:
+    return [F.count_if(F.col("kind") == k).alias(f"__k{i}") for i, k in enumerate(KINDS)]
+
+
+def kind_list() -> Column:
+    """Sorted kinds of value present, from the counts of ``kind_counts``."""
+    named = [(k, i) for i, k in enumerate(KINDS) if k != "null"]
+    return F.array_compact(F.array(
+        *[F.when(F.col(f"__k{i}") > 0, F.lit(k)) for k, i in sorted(named)]
+    ))
+
+
+def _share_of_first() -> Column:
+    """Share of cells with the kind of the first one, after ``kind_counts``."""
+    same = F.get(F.array(*[F.col(f"__k{i}") for i in range(len(KINDS))]), F.col("__first"))
+    return ratio(same, sum((F.col(f"__k{i}") for i in range(1, len(KINDS))), F.col("__k0")))
 
 
 def infer_column_type(cells: DataFrame) -> DataFrame:
@@ -379,10 +398,13 @@ def type_consistency(cells: DataFrame, rounded: bool = True) -> DataFrame:
 
     One aggregate: the first kind and the count of every kind travel together.
     """
-    first = F.min_by("kind", "row_no")
-    share = _share_of_first(first)
-    return cells.groupBy(*CELL_KEYS).agg(
-        first.alias("first_kind"),
+    counted = cells.groupBy(*CELL_KEYS).agg(
+        F.min_by(_kind_code(), "row_no").alias("__first"), *kind_counts()
+    )
+    share = _share_of_first()
+    return counted.select(
+        *CELL_KEYS,
+        F.get(F.array(*[F.lit(k) for k in KINDS]), F.col("__first")).alias("first_kind"),
         (half_up(share, 3) if rounded else share).alias("type_consistency"),
     )
 
@@ -417,12 +439,15 @@ def consistency(cells: DataFrame) -> DataFrame:
     Format consistency looks at text columns: a column holding at least one
     text (or boolean) cell; pure number columns keep 1.0.
     """
-    first = F.min_by("kind", "row_no")
-    texts = F.count_if(F.col("kind").isin("text", "bool"))
     lengths = F.when(F.col("kind") != "null", F.length("raw").cast("double"))
-    grouped = cells.groupBy(*CELL_KEYS).agg(
-        _share_of_first(first).alias("__type"),
-        F.when(texts > 0, _format_share(lengths)).otherwise(F.lit(1.0)).alias("__format"),
+    counted = cells.groupBy(*CELL_KEYS).agg(
+        F.min_by(_kind_code(), "row_no").alias("__first"), *kind_counts(),
+        _format_share(lengths).alias("__even"),
+    )
+    texts = F.col(f"__k{KINDS.index('text')}") + F.col(f"__k{KINDS.index('bool')}")
+    grouped = counted.select(
+        *CELL_KEYS, _share_of_first().alias("__type"),
+        F.when(texts > 0, F.col("__even")).otherwise(F.lit(1.0)).alias("__format"),
     )
     return grouped.select(
         *CELL_KEYS,
@@ -432,14 +457,10 @@ def consistency(cells: DataFrame) -> DataFrame:
     )
 
 
-def _kind_set() -> Column:
-    return F.array_sort(F.collect_set(F.when(F.col("kind") != "null", F.col("kind"))))
-
-
 def mixed_types(cells: DataFrame) -> DataFrame:
     """Columns holding more than one kind of value, with the sorted kinds."""
-    grouped = cells.groupBy(*CELL_KEYS).agg(_kind_set().alias("kinds"))
-    return grouped.where(F.size("kinds") > 1)
+    grouped = cells.groupBy(*CELL_KEYS).agg(*kind_counts())
+    return grouped.select(*CELL_KEYS, kind_list().alias("kinds")).where(F.size("kinds") > 1)
 
 
 def numeric_columns(cells: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ from sheetloom.functions.exprs import (
     ratio,
 )
 from sheetloom.operators.mapping import FINDING_COLUMNS, mapping_check, mapping_score
+from sheetloom.operators.profiling import kind_counts, kind_list
+from sheetloom.plans.lineage import materialize
 
 ENVELOPE_KEYS = ("filename", "total_rows", "columns", "data")
 By = str | Sequence[str] | None
@@ -176,7 +178,7 @@ def content_facts(cells: DataFrame, k: float = 3.0) -> DataFrame:
     grouped = cells.groupBy("sheet_id", "column").agg(
         F.count(F.lit(1)).alias("total_rows"),
         count_true(blank).alias("blanks"),
-        F.array_sort(F.collect_set(F.when(F.col("kind") != "null", F.col("kind")))).alias("kinds"),
+        *kind_counts(),
         F.count(number).alias("numbers"),
         F.min(number).alias("__lo"), F.max(number).alias("__hi"),
         F.avg(number).alias("__mean"), F.stddev_pop(number).alias("__std"),
@@ -186,7 +188,7 @@ def content_facts(cells: DataFrame, k: float = 3.0) -> DataFrame:
     return grouped.select(
         "sheet_id", "column", "total_rows",
         ratio(F.col("blanks"), F.col("total_rows")).alias("null_rate"),
-        "kinds", "numbers", F.coalesce(far, F.lit(False)).alias("has_outliers"),
+        kind_list().alias("kinds"), "numbers", F.coalesce(far, F.lit(False)).alias("has_outliers"),
     )
 
 
@@ -330,61 +332,63 @@ STEP_ADVICE = {
 }
 
 
-def step_results(scores: Mapping[str, DataFrame], findings: DataFrame) -> DataFrame:
+def step_results(scores: Mapping[str, DataFrame]) -> DataFrame:
     """One row per (sheet, step): validity, counts, score, advice.
 
-    ``scores`` maps a step to (sheet_id, score).  A step is valid without errors.
+    ``scores`` maps a step to (sheet_id, errors, warnings, score); a step is
+    valid without errors.
     """
     parts = [
-        d.select("sheet_id", F.lit(step).alias("step"), F.col("score").cast("double"))
+        d.select("sheet_id", F.lit(step).alias("step"), "errors", "warnings",
+                 F.col("score").cast("double").alias("score"))
         for step, d in scores.items()
     ]
-    steps = reduce(DataFrame.unionByName, parts)
-    marks = findings.groupBy("sheet_id", "step").agg(
-        F.count_if(F.col("severity") == "error").alias("errors"),
-        F.count_if(F.col("severity") == "warning").alias("warnings"),
-    )
-    joined = join_on(steps, marks, ["sheet_id", "step"], "left")
     advice = F.create_map(*[x for k, v in STEP_ADVICE.items() for x in (F.lit(k), F.lit(v))])
-    errors = F.coalesce("errors", F.lit(0))
-    return joined.select(
-        "sheet_id", "step", (errors == 0).alias("is_valid"), errors.alias("errors"),
-        F.coalesce("warnings", F.lit(0)).alias("warnings"), "score",
-        F.when(errors > 0, F.element_at(advice, F.col("step"))).alias("recommendation"),
+    return reduce(DataFrame.unionByName, parts).select(
+        "sheet_id", "step", (F.col("errors") == 0).alias("is_valid"), "errors", "warnings", "score",
+        F.when(F.col("errors") > 0, F.element_at(advice, F.col("step"))).alias("recommendation"),
     )
 
 
 def validate_all(cells: DataFrame, meta: DataFrame, mapping: DataFrame | None = None,
-                 structure: DataFrame | None = None,
-                 dictionary: Dictionary = LOGISTICS) -> tuple[DataFrame, DataFrame]:
+                 structure: DataFrame | None = None, dictionary: Dictionary = LOGISTICS,
+                 cut: bool = True) -> tuple[DataFrame, DataFrame]:
     """Structure, mapping (when given) and content steps.
 
     ``meta`` has (sheet_id, total_rows); ``structure`` holds findings of
     ``check_envelope`` / ``row_conformance``.  Returns (findings, step results).
+    Both need the content facts and the mapping, which hold one row per column
+    or field, so these are written once (``cut``) and the cells read once.
     """
     facts = content_facts(cells)
+    if cut:
+        facts = materialize(facts)
+        mapping = materialize(mapping) if mapping is not None else None
     content = findings_from_facts(facts, meta)
     findings = content.select(*FINDING_COLUMNS)
     if structure is not None:
         findings = findings.unionByName(structure.select(*FINDING_COLUMNS))
-        shape = structure
-    else:
-        shape = content.where(F.lit(False))
+    shape = structure if structure is not None else content.where(F.lit(False))
+
+    rated = content_score(content, facts).drop("errors", "warnings")
+    marks = _marks(content)
+    whole = join_on(join_on(meta.select("sheet_id"), rated, ["sheet_id"], "left"),
+                    marks, ["sheet_id"], "left")
     scores = {
-        "structure": structure_score(shape, meta).select(
-            "sheet_id", F.col("data_quality_score").alias("score")
+        "structure": structure_score(shape, meta).withColumnRenamed("data_quality_score", "score"),
+        "content": whole.select(
+            "sheet_id",
+            *[F.coalesce(c, F.lit(0)).alias(c) for c in ("errors", "warnings")],
+            F.coalesce("content_quality_score", F.lit(0.0)).alias("score"),
         ),
-        "content": join_on(
-            meta.select("sheet_id"), content_score(content, facts), ["sheet_id"], "left"
-        ).select("sheet_id", F.coalesce("content_quality_score", F.lit(0.0)).alias("score")),
     }
     if mapping is not None:
         checked = mapping_check(mapping, dictionary)
         findings = findings.unionByName(checked)
-        scores["mapping"] = mapping_score(checked, mapping, dictionary).select(
-            "sheet_id", F.col("mapping_quality_score").alias("score")
+        scores["mapping"] = mapping_score(checked, mapping, dictionary).withColumnRenamed(
+            "mapping_quality_score", "score"
         )
-    return findings, step_results(scores, findings)
+    return findings, step_results(scores)
 
 
 def validation_summary(steps: DataFrame) -> DataFrame:
