@@ -11,6 +11,7 @@ from sheetloom.dictionary import ENGLISH, literal_tokens, normalize_literal
 from sheetloom.operators import mapping as mp
 from sheetloom.operators import matching as mt
 from sheetloom.plans import onboarding
+from sheetloom.plans.lineage import materialize
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -202,6 +203,11 @@ def greedy(spark, d):
     return mt.assign_greedy(mt.rule_scores(classified(spark, d), ENGLISH), ENGLISH)
 
 
+def base_profiles(spark, d):
+    """Classified profiles, written once for operators that read them twice."""
+    return materialize(classified(spark, d))
+
+
 FILLED_SIM = ",\n".join([
     GREEDY,
     SIMS.split("named AS MATERIALIZED")[1].join(["named AS MATERIALIZED", ""]),
@@ -217,7 +223,7 @@ FILLED_SIM = ",\n".join([
 
 @query("fill_by_similarity", f"WITH {FILLED_SIM} SELECT {_M}, {srnd('score', 6)} AS score FROM m2")
 def _(spark, d):
-    base = classified(spark, d)
+    base = base_profiles(spark, d)
     first = mt.assign_greedy(mt.rule_scores(base, ENGLISH), ENGLISH)
     return rnd(mt.fill_by_similarity(first, mt.similarity_scores(base, ENGLISH), ENGLISH), 6, "score")
 
@@ -241,7 +247,7 @@ def _(spark, d):
 
 def filled(spark, d):
     """Rules plus keywords: a mapping with shared columns."""
-    base = classified(spark, d)
+    base = base_profiles(spark, d)
     first = mt.assign_greedy(mt.rule_scores(base, ENGLISH), ENGLISH)
     return mp.fill_by_keywords(first, base, ENGLISH)
 
@@ -482,7 +488,7 @@ def _(spark, d):
 SELECT *, {srnd('greatest(0e0, least(100e0, (100e0 - errors * 30 - warnings * 10) * (mapped_fields / 15e0)))', 6)}
   AS mapping_quality_score FROM s""")
 def _(spark, d):
-    m = filled(spark, d)
+    m = materialize(filled(spark, d))
     return rnd(mp.mapping_score(mp.mapping_check(m, ENGLISH), m, ENGLISH), 6, "mapping_quality_score")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from sheetloom.functions.exprs import text_kind
 from sheetloom.operators import reshape as rs
 from sheetloom.operators.profiling import profile_cells
 from sheetloom.plans.onboarding import repair_headers
+from sheetloom.plans.lineage import shared_folder
 from sheetloom.sources import sheets as src
 
 QUERIES: dict = {}
@@ -31,11 +31,8 @@ def query(name: str, sql: str | None = None):
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder next to the checkpoints of the cluster, else a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        return tempfile.mkdtemp(prefix=f"sheetloom-{name}-")
-    return os.path.join(root, f"{name}-{os.urandom(6).hex()}")
+    """A new folder next to the tables the cluster shares."""
+    return os.path.join(shared_folder(spark), f"{name}-{os.urandom(6).hex()}")
 
 
 # ----------------------------------------------------------------- sources

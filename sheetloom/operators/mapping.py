@@ -21,7 +21,6 @@ from sheetloom.functions.exprs import (
     strip,
 )
 
-MAPPED = F.col
 FINDING_COLUMNS = ("sheet_id", "step", "severity", "subject", "code", "detail")
 
 
@@ -244,96 +243,102 @@ def resolve_conflicts(mapping: DataFrame, dictionary: Dictionary = LOGISTICS) ->
 # ------------------------------------------------------------------- judgement
 
 
-def _findings(df: DataFrame, step: str, severity: str, subject: Column, code: str,
+def _findings(df: DataFrame, step: str, severity: str, subject: Column, code: str | Column,
               detail: Column) -> DataFrame:
     return df.select(
         "sheet_id", F.lit(step).alias("step"), F.lit(severity).alias("severity"),
-        subject.alias("subject"), F.lit(code).alias("code"), detail.alias("detail"),
+        subject.alias("subject"),
+        (F.lit(code) if isinstance(code, str) else code).alias("code"), detail.alias("detail"),
     )
 
 
-def mapping_issues(mapping: DataFrame, dictionary: Dictionary = LOGISTICS) -> DataFrame:
-    """Missing reported fields, route without waybill, no quantity field at all."""
-    wanted = [f.name for f in dictionary.fields if f.required_note]
+def _mapping_state(mapping: DataFrame, dictionary: Dictionary) -> DataFrame:
+    """All per-sheet facts of a mapping in one aggregate of its few rows."""
     std = F.col("std_field")
-    state = mapping.groupBy("sheet_id").agg(
-        F.array_sort(
-            F.collect_list(F.when(~_mapped() & _flag(std, wanted), F.struct("std_pos", "std_field")))
-        ).alias("__missing"),
-        F.count_if(_mapped() & (std == dictionary.route_field)).alias("__route"),
-        F.count_if(_mapped() & (std == dictionary.waybill_field)).alias("__waybill"),
-        F.count_if(_mapped() & _flag(std, list(dictionary.quantity_fields))).alias("__quantity"),
-    )
-    names = F.array_join(F.col("__missing.std_field"), ", ")
-    checks = F.array(
-        F.struct((F.size("__missing") > 0).alias("bad"),
-                 F.lit("missing_important").alias("code"), names.alias("detail")),
-        F.struct(((F.col("__route") > 0) & (F.col("__waybill") == 0)).alias("bad"),
-                 F.lit("route_without_waybill").alias("code"),
-                 F.lit(dictionary.route_field).alias("detail")),
-        F.struct((F.col("__quantity") == 0).alias("bad"),
-                 F.lit("no_quantity").alias("code"),
-                 F.lit(", ".join(dictionary.quantity_fields)).alias("detail")),
-    )
-    long = state.select("sheet_id", F.inline(checks)).where(F.col("bad"))
-    return long.select(
-        "sheet_id", F.lit("mapping").alias("step"), F.lit("warning").alias("severity"),
-        F.lit("mapping").alias("subject"), "code", "detail",
-    )
 
+    def mapped_among(names) -> Column:
+        return F.count_if(_mapped() & _flag(std, list(names)))
 
-def mapping_confidence(mapping: DataFrame, dictionary: Dictionary = LOGISTICS) -> DataFrame:
-    """``.6 important + .3 other + .1`` in percent (1 dp), and coverage."""
-    important = [f.name for f in dictionary.fields if f.important]
-    other = [f.name for f in dictionary.fields if f.other]
-    std = F.col("std_field")
-    counts = mapping.groupBy("sheet_id").agg(
+    fields = dictionary.fields
+    noted = _flag(std, [f.name for f in fields if f.required_note])
+    return mapping.groupBy("sheet_id").agg(
         F.count(F.lit(1)).alias("total_fields"),
         F.count_if(_mapped()).alias("mapped_fields"),
-        F.count_if(_mapped() & _flag(std, important)).alias("__i"),
-        F.count_if(_mapped() & _flag(std, other)).alias("__o"),
-    )
+        mapped_among(f.name for f in fields if f.important).alias("__important"),
+        mapped_among(f.name for f in fields if f.other).alias("__other"),
+        mapped_among([dictionary.route_field]).alias("__route"),
+        mapped_among([dictionary.waybill_field]).alias("__waybill"),
+        mapped_among(dictionary.quantity_fields).alias("__quantity"),
+        F.array_sort(F.collect_list(
+            F.when(~_mapped() & noted, F.struct("std_pos", "std_field"))
+        )).alias("__missing"),
+        F.array_sort(F.collect_list(
+            F.struct(F.col("std_pos"), F.col("std_field"),
+                     F.coalesce("column", F.lit("missing")).alias("column"))
+        )).alias("__entries"),
+    )
+
+
+def _issue_array(dictionary: Dictionary) -> Column:
+    def issue(bad: Column, code: str, detail: Column) -> Column:
+        return F.when(bad, F.struct(F.lit(code).alias("code"), detail.alias("detail")))
+
+    return F.array_compact(F.array(
+        issue(F.size("__missing") > 0, "missing_important",
+              F.array_join(F.col("__missing.std_field"), ", ")),
+        issue(F.col("__quantity") == 0, "no_quantity",
+              F.lit(", ".join(dictionary.quantity_fields))),
+        issue((F.col("__route") > 0) & (F.col("__waybill") == 0), "route_without_waybill",
+              F.lit(dictionary.route_field)),
+    ))
+
+
+def _confidence(dictionary: Dictionary) -> Column:
+    important = float(sum(f.important for f in dictionary.fields))
+    other = float(sum(f.other for f in dictionary.fields))
     score = (
-        F.lit(0.6) * (F.col("__i").cast("double") / F.lit(float(len(important))))
-        + F.lit(0.3) * (F.col("__o").cast("double") / F.lit(float(len(other))))
+        F.lit(0.6) * (F.col("__important").cast("double") / F.lit(important))
+        + F.lit(0.3) * (F.col("__other").cast("double") / F.lit(other))
         + F.lit(0.1)
     )
-    return counts.select(
+    return half_up(score * 100, 1)
+
+
+def mapping_issues(mapping: DataFrame, dictionary: Dictionary = LOGISTICS) -> DataFrame:
+    """Missing reported fields, route without waybill, no quantity field at all."""
+    state = _mapping_state(mapping, dictionary)
+    long = state.select("sheet_id", F.inline(_issue_array(dictionary)))
+    return _findings(long, "mapping", "warning", F.lit("mapping"), F.col("code"), F.col("detail"))
+
+
+def mapping_confidence(mapping: DataFrame, dictionary: Dictionary = LOGISTICS) -> DataFrame:
+    """``.6 important + .3 other + .1`` in percent (1 dp), and coverage."""
+    return _mapping_state(mapping, dictionary).select(
         "sheet_id", "total_fields", "mapped_fields",
         ratio(F.col("mapped_fields"), F.col("total_fields")).alias("coverage"),
-        half_up(score * 100, 1).alias("confidence"),
+        _confidence(dictionary).alias("confidence"),
     )
 
 
 def render_mapping(mapping: DataFrame, dictionary: Dictionary = LOGISTICS) -> DataFrame:
     """One JSON document per sheet: mapping, analysis and integer confidence."""
-    packed = mapping.groupBy("sheet_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(F.col("std_pos"), F.col("std_field"),
-                         F.coalesce("column", F.lit("missing")).alias("column"))
-            )
-        ).alias("__e"),
-        F.count_if(_mapped()).alias("__n"),
-    )
-    issues = mapping_issues(mapping, dictionary).groupBy("sheet_id").agg(
-        F.array_sort(F.collect_list(F.concat_ws(": ", "code", "detail"))).alias("__issues")
-    )
-    confidence = mapping_confidence(mapping, dictionary).select("sheet_id", "confidence")
-    joined = join_on(join_on(packed, issues, ["sheet_id"], "left"), confidence, ["sheet_id"])
+    state = _mapping_state(mapping, dictionary).withColumn("__score", _confidence(dictionary))
     entries = F.map_from_entries(
-        F.transform("__e", lambda e: F.struct(e.std_field, e.column))
+        F.transform("__entries", lambda e: F.struct(e.std_field, e.column))
+    )
+    reminders = F.transform(
+        _issue_array(dictionary), lambda i: F.concat_ws(": ", i.code, i.detail)
     )
     document = F.struct(
         entries.alias("mapping"),
         F.struct(
-            F.col("__n").alias("mapped_fields"),
-            F.coalesce("__issues", F.array().cast("array<string>")).alias("reminders"),
-            F.concat(F.col("confidence").cast("string"), F.lit("%")).alias("accuracy"),
+            F.col("mapped_fields"),
+            reminders.alias("reminders"),
+            F.concat(F.col("__score").cast("string"), F.lit("%")).alias("accuracy"),
         ).alias("analysis"),
-        F.floor("confidence").alias("confidence"),
+        F.floor("__score").alias("confidence"),
     )
-    return joined.select("sheet_id", F.to_json(document).alias("document"))
+    return state.select("sheet_id", F.to_json(document).alias("document"))
 
 
 def duplicate_targets(mapping: DataFrame) -> DataFrame:
@@ -392,14 +397,39 @@ def suspicious_mappings(mapping: DataFrame, threshold: float = 0.3) -> DataFrame
 
 def mapping_check(mapping: DataFrame, dictionary: Dictionary = LOGISTICS,
                   threshold: float = 0.3) -> DataFrame:
-    """The three mapping checks folded to one finding per sheet and code."""
-    rows = duplicate_targets(mapping).unionByName(
-        unmapped_fields(mapping, dictionary)
-    ).unionByName(suspicious_mappings(mapping, threshold))
-    return rows.groupBy("sheet_id", "step", "severity", "code").agg(
-        F.lit("mapping").alias("subject"),
-        F.array_join(F.array_sort(F.collect_set("subject")), ", ").alias("detail"),
-    ).select(*FINDING_COLUMNS)
+    """The three mapping checks as one finding per sheet and code.
+
+    A mapping has one row per standard field, so each sheet's rows fit in one
+    small array and all checks share a single aggregate.
+    """
+    packed = mapping.groupBy("sheet_id").agg(
+        F.collect_list(
+            F.when(_mapped(), F.struct("std_field", F.col("column").alias("target")))
+        ).alias("__m")
+    )
+    targets = F.col("__m.target")
+    repeated = F.array_distinct(F.filter(
+        targets, lambda t: F.size(F.filter(targets, lambda x: x == t)) > 1
+    ))
+    gaps = F.array_except(F.array(*[F.lit(n) for n in dictionary.names]), F.col("__m.std_field"))
+    odd = F.transform(
+        F.filter("__m", lambda m: char_similarity(m.std_field, m.target) < threshold),
+        lambda m: m.std_field,
+    )
+
+    def finding(severity: str, code: str, subjects: Column) -> Column:
+        return F.when(F.size(subjects) > 0, F.struct(
+            F.lit("mapping").alias("step"), F.lit(severity).alias("severity"),
+            F.lit("mapping").alias("subject"), F.lit(code).alias("code"),
+            F.array_join(F.array_sort(subjects), ", ").alias("detail"),
+        ))
+
+    checks = F.array_compact(F.array(
+        finding("error", "duplicate_target", repeated),
+        finding("warning", "unmapped_field", gaps),
+        finding("warning", "suspicious_mapping", odd),
+    ))
+    return packed.select("sheet_id", F.inline(checks))
 
 
 def mapping_score(findings: DataFrame, mapping: DataFrame,

@@ -36,6 +36,8 @@ from sheetloom.functions.exprs import (
     schema_kind,
 )
 
+from sheetloom.plans.lineage import materialize
+
 By = str | Sequence[str] | None
 
 
@@ -488,12 +490,14 @@ def integer_share(cells: DataFrame) -> DataFrame:
 
 
 def outliers_3sigma(df: DataFrame, row_id: str, by: By = None,
-                    columns: Sequence[str] | None = None, k: float = 3.0) -> DataFrame:
+                    columns: Sequence[str] | None = None, k: float = 3.0,
+                    cut: bool = True) -> DataFrame:
     """Cells further than ``k`` population deviations from their column mean.
 
     Statistics are one small row per group.  Without groups they enter as a
-    scalar subquery; with groups the join strategy is chosen at run time from
-    the measured size, and a hot group is split by the adaptive skew join.
+    scalar subquery.  With groups they are written once (``cut``), so their
+    true size decides between a broadcast, which leaves the rows where they
+    are, and a shuffle join whose hot groups the adaptive skew join splits.
     """
     keys = as_list(by)
     cols = [c for c in data_columns(df, [*keys, row_id], columns)
@@ -506,7 +510,7 @@ def outliers_3sigma(df: DataFrame, row_id: str, by: By = None,
     )
     rows = df.select(*[q(x) for x in keys], q(row_id), *[q(c) for c in cols])
     if keys:
-        joined = join_on(rows, stats, keys)
+        joined = join_on(rows, materialize(stats) if cut else stats, keys)
     else:
         whole = stats.select(F.struct("*").alias("__s")).scalar()
         joined = rows.withColumn("__stats", whole).select("*", "__stats.*")

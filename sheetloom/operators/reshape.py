@@ -27,6 +27,8 @@ from sheetloom.functions.exprs import (
     text_kind,
 )
 
+from sheetloom.plans.lineage import materialize
+
 BLANK_HEADER = "列"
 By = str | Sequence[str] | None
 
@@ -199,12 +201,16 @@ def _settle(df: DataFrame) -> DataFrame:
     return _number_repeats(df, "column", "column")
 
 
-def promote_header(cells: DataFrame, header_rows: DataFrame) -> DataFrame:
+def promote_header(cells: DataFrame, header_rows: DataFrame, cut: bool = True) -> DataFrame:
     """Header cells become column names, rows through it go, rest is renumbered.
 
-    Sheets without a detected header row keep their cells.
+    Sheets without a detected header row keep their cells.  The names (one row
+    per sheet) are written once (``cut``): while they are small, the cells stay
+    where they are instead of being shuffled.
     """
     found = header_rows.select("sheet_id", F.col("header_row").alias("row_no"))
+    if cut:
+        found = materialize(found)
     header_cells = join_on(cells, found, ["sheet_id", "row_no"], "left_semi").select(
         "sheet_id", "row_no", "col_no",
         F.when(~is_unnamed(F.col("raw")), F.col("raw")).alias("header"),
@@ -214,7 +220,7 @@ def promote_header(cells: DataFrame, header_rows: DataFrame) -> DataFrame:
         F.max("row_no").alias("__at"),
         F.map_from_entries(F.collect_list(F.struct("col_no", "column"))).alias("__names"),
     )
-    joined = join_on(cells, repair, ["sheet_id"], "left")
+    joined = join_on(cells, materialize(repair) if cut else repair, ["sheet_id"], "left")
     body = joined.where(F.col("__at").isNull() | (F.col("row_no") > F.col("__at")))
     return body.select(
         "sheet_id",

@@ -3,23 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only a local session without one
+    gets a temporary folder, set once for the session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="sheetloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once into the reliable checkpoint folder of the cluster.
+    """Computes ``df`` once into a table in the shared folder and reads it back.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only a local session
-    without one gets a temporary folder.
+    Meant for summaries (one row per sheet, column or field).  What is read
+    back has its true size, so a join with it is broadcast only when that size
+    is below Spark's threshold and never shuffles the large side needlessly.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="sheetloom-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
