@@ -367,6 +367,25 @@ def _(spark, d):
     return rnd(va.composite_score(s), 4, "composite").select("sheet_id", "composite")
 
 
-@query("quality_report")
+_PRESENT = " + ".join(f"({c} IS NOT NULL)::INT" for c in _OC)
+
+
+@query("quality_report", f"""WITH {RECO},
+advice AS (SELECT * FROM adv UNION ALL SELECT sheet_id, 'sheet', 'good', NULL FROM total WHERE sheet_id NOT IN (SELECT sheet_id FROM adv)),
+listed AS (SELECT sheet_id, string_agg(subject || ':' || code, ',' ORDER BY subject, code) AS recommendations FROM advice GROUP BY sheet_id),
+pct AS (SELECT sheet_id, {srnd(f'CAST({_PRESENT} AS DOUBLE) / 5e0 * 100', 2)} AS p FROM ords),
+spread AS (SELECT sheet_id, min(p) AS row_min, max(p) AS row_max, {srnd('avg(p)', 2)} AS row_mean,
+  {srnd('stddev_pop(p)', 2)} AS row_std FROM pct GROUP BY sheet_id)
+SELECT total.sheet_id, overall AS completeness, 5 AS metric_columns, 5 AS analysed_columns, 5 AS compared_columns,
+  recommendations, row_min, row_max, row_mean, row_std
+FROM total JOIN listed ON listed.sheet_id = total.sheet_id JOIN spread ON spread.sheet_id = total.sheet_id""")
 def _(spark, d):
-    return nested_report(quality_report(order_sheets(spark, d), "sheet_id", "o_orderkey"))
+    report = nested_report(quality_report(order_sheets(spark, d), "sheet_id", "o_orderkey"))
+    advice = F.array_sort(F.transform("recommendations", lambda r: F.concat_ws(
+        ":", F.get_json_object(r, "$.subject"), F.get_json_object(r, "$.code"))))
+    return report.select(
+        "sheet_id", "completeness", F.size("quality_metrics").alias("metric_columns"),
+        F.size("field_analysis").alias("analysed_columns"),
+        F.size("consistency").alias("compared_columns"),
+        F.array_join(advice, ",").alias("recommendations"),
+        *[F.col("row_stats")[k].alias(f"row_{k}") for k in ("min", "max", "mean", "std")])

@@ -112,7 +112,7 @@ def text_kind(raw: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every kind of blank, not only spaces."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\f\v"))
 
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　³²"

@@ -6,6 +6,8 @@ field is missing.  Groups per sheet are therefore bounded by the dictionary.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,16 +97,14 @@ def merge_proposals(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def _text_value(text: Column, field: str) -> Column:
-    """Value after ``field:`` (either colon), quotes optional; NULL when absent."""
-    pattern = _literal(field) + r'[：:]\s*"?([^"\n]+)"?'
-    value = strip(F.regexp_extract(text, pattern, 1))
-    return F.when((value != "") & (value != "missing"), value)
-
+    """Value after ``field:`` (either colon), quotes optional; NULL when absent.
 
-def _literal(name: str) -> str:
-    import re
-
-    return re.escape(name)
+    The pattern only runs where the field name occurs at all.
+    """
+    pattern = re.escape(field) + r'[：:]\s*"?([^"\n]+)"?'
+    value = strip(F.regexp_extract(text, pattern, 1))
+    value = F.nullif(F.nullif(value, F.lit("")), F.lit("missing"))
+    return F.when(F.contains(text, F.lit(field)), value)
 
 
 def parse_text_mapping(df: DataFrame, text: str = "text", sheet: str = "sheet_id",

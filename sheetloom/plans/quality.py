@@ -18,18 +18,25 @@ from sheetloom.operators.profiling import (
 )
 from sheetloom.operators.reshape import to_cells
 from sheetloom.operators.validation import recommendations, traffic_lights
+from sheetloom.plans.lineage import materialize
 
 
-def quality_report(df: DataFrame, by: str, row_id: str, exact: bool = True) -> dict[str, DataFrame]:
-    """All report sections as DataFrames keyed by name, each lazily computed."""
+def quality_report(df: DataFrame, by: str, row_id: str, exact: bool = True,
+                   cut: bool = True) -> dict[str, DataFrame]:
+    """All report sections as DataFrames keyed by name.
+
+    Sections that others build on hold one row per column or sheet and are
+    written once (``cut``); the remaining ones are computed when used.
+    """
     data = df.drop(row_id)
+    keep = materialize if cut else (lambda section: section)
 
     def named(section: DataFrame) -> DataFrame:
         return section.withColumnRenamed(by, "sheet_id")
 
-    metrics = named(quality_metrics(data, by, exact))
-    overall = named(completeness_overall(data, by))
-    even = consistency(to_cells(df, row_id, by))
+    metrics = keep(named(quality_metrics(data, by, exact)))
+    overall = keep(named(completeness_overall(data, by)))
+    even = keep(consistency(to_cells(df, row_id, by)))
     return {
         "basic_stats": named(basic_stats(data, by)),
         "quality_metrics": metrics,
