@@ -52,15 +52,15 @@ def _(spark, d):
     return src.read_sheets(spark, path, "json", schema).drop("sheet_id")
 
 
-#: columnar payloads: one row of lists per conversation
-@query("columnar_to_rows", """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT)
-  AS row_no, turn, role, text FROM conversations""")
+#: columnar payloads: one row of lists per vector, the second list is shorter
+@query("columnar_to_rows", """SELECT vec_id, CAST(i - 1 AS INT) AS row_no, CAST(embedding[i] AS DOUBLE) AS embedding,
+  CASE WHEN i <= 10 THEN CAST(embedding[i] AS DOUBLE) END AS head FROM (
+  SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) x""")
 def _(spark, d):
-    packed = table(spark, d, "conversations").groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    lists = packed.select("conv_id", F.col("m.turn").alias("turn"), F.col("m.role").alias("role"),
-                          F.col("m.text").alias("text"), F.lit("no list").alias("note"))
-    return src.columnar_to_rows(lists, keep=["conv_id"])
+    lists = table(spark, d, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("embedding"),
+        F.slice("embedding", 1, 10).cast("array<double>").alias("head"), F.lit("no list").alias("note"))
+    return src.columnar_to_rows(lists, keep=["vec_id"])
 
 
 @query("file_inventory", """SELECT t AS file_name, n AS row_count, CAST(c AS INT) AS column_count FROM (

@@ -142,10 +142,10 @@ SELECT c.id, {part} AS part, coalesce(string_agg(content, '' ORDER BY event_id)
 FROM chunks c JOIN s ON s.id = c.id WHERE stop_at IS NULL OR event_id <= stop_at GROUP BY c.id, {part}"""
 
 
-@query("reassemble_chunks", f"WITH {SSE}" + _REASM.format(part="event_id // 1000000"))
+@query("reassemble_chunks", f"WITH {SSE}" + _REASM.format(part="event_id // 1000000000"))
 def _(spark, d):
     chunks = cv.decode_events(sse(spark, d), keep=["event_id"])
-    return cv.reassemble_chunks(chunks, "id", "event_id", part_size=1_000_000)
+    return cv.reassemble_chunks(chunks, "id", "event_id", part_size=1_000_000_000)
 
 
 @query("reassemble_chunks_parts", f"WITH {SSE}" + _REASM.format(part="event_id // 500"))
@@ -276,4 +276,6 @@ def _(spark, d):
         F.concat(t, F.lit(" ")).alias("content"),
         F.when(t == "error", "stop").otherwise("null").alias("finish_reason"), "ts")
     name = "replies_" + os.urandom(4).hex()
-    return _drain(spark, live.stream_chunks(stream, "6 hours", "1 hour"), name, "append")
+    # event numbers count over all users, so one part spans them all
+    replies = live.stream_chunks(stream, "6 hours", "1 hour", part_size=1_000_000_000)
+    return _drain(spark, replies, name, "append").drop("part", "started")

@@ -127,17 +127,25 @@ def reassemble_chunks(df: DataFrame, id: str = "id", order: str = "seq", content
     """Chunk texts of each reply in order, up to its first stop marker.
 
     A very long reply comes out in parts of at most ``part_size`` consecutive
-    order values, each gathered on its own; ordinary replies have part 0 only.
+    order values; ordinary replies have part 0 only.  Parts are gathered before
+    the stop positions are joined in, so an id that owns many chunks is spread
+    over tasks by part and the join sees one row per part.
     """
-    stopped = q(finish) == "stop"
-    stops = df.groupBy(q(id)).agg(F.min(F.when(stopped, q(order))).alias("stop_at"))
-    joined = join_on(
-        df.select(q(id), q(order), q(content).alias("__c"), stopped.alias("__s")), stops, [id]
+    stopped = F.coalesce(q(finish) == "stop", F.lit(False))
+    parts = df.groupBy(q(id), _part(order, part_size).alias("part")).agg(
+        F.array_sort(F.collect_list(
+            F.struct(q(order).alias("o"), F.coalesce(q(content), F.lit("")).alias("c"),
+                     stopped.alias("s"))
+        )).alias("__chunks"),
+        F.min(q(order)).alias("__from"),
     )
-    before = joined.where(F.col("stop_at").isNull() | (q(order) <= F.col("stop_at")))
-    kept = F.when(~F.coalesce(F.col("__s"), F.lit(False)), F.struct(q(order), F.col("__c")))
-    return before.groupBy(q(id), _part(order, part_size).alias("part")).agg(
-        F.array_join(F.array_sort(F.collect_list(kept)).getField("__c"), "").alias("content"),
-        F.count(kept).alias("chunks"),
-        F.bool_or(F.col("stop_at").isNotNull()).alias("finished"),
+    stops = df.groupBy(q(id)).agg(F.min(F.when(stopped, q(order))).alias("__stop"))
+    joined = join_on(parts, stops, [id])
+    open_end = F.col("__stop").isNull()
+    kept = F.filter("__chunks", lambda x: ~x.s & (open_end | (x.o < F.col("__stop"))))
+    return joined.where(open_end | (F.col("__from") <= F.col("__stop"))).select(
+        q(id), "part",
+        F.array_join(F.transform(kept, lambda x: x.c), "").alias("content"),
+        F.size(kept).cast("long").alias("chunks"),
+        F.col("__stop").isNotNull().alias("finished"),
     )

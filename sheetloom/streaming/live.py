@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sheetloom.functions.exprs import join_on
 from sheetloom.operators.runlog import as_instant, status_aggregates, with_duration
 from sheetloom.sources.sheets import append_history
 
@@ -44,15 +45,21 @@ def stream_validation(stream: DataFrame, check: Callable[[DataFrame], DataFrame]
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def stream_chunks(stream: DataFrame, gap: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+def stream_chunks(stream: DataFrame, gap: str = "10 minutes", late: str = "10 minutes",
+                  part_size: int = 4096) -> DataFrame:
     """Replies put together from a stream of (id, seq, content, finish_reason, ts).
 
     A reply closes once no chunk came for ``gap``; what follows its stop marker
-    is dropped.  Append mode; finished replies leave the state.
+    is dropped.  Append mode; finished replies leave the state.  State holds at
+    most ``part_size`` consecutive chunks per row: a longer reply comes out in
+    parts, of which ``drop_late_parts`` keeps those up to the stop marker.
     """
     timed = stream.withColumn("ts", as_instant(F.col("ts"))).withWatermark("ts", late)
+    part = F.floor(F.col("seq") / F.lit(part_size)).cast("long")
     item = F.struct("seq", "content", "finish_reason")
-    grouped = timed.groupBy("id", F.session_window("ts", gap)).agg(
+    grouped = timed.withColumn("part", part).groupBy(
+        "id", "part", F.session_window("ts", gap)
+    ).agg(
         F.array_sort(F.collect_list(item)).alias("__c"),
         F.min(F.when(F.col("finish_reason") == "stop", F.col("seq"))).alias("stop_at"),
     )
@@ -61,8 +68,16 @@ def stream_chunks(stream: DataFrame, gap: str = "10 minutes", late: str = "10 mi
         lambda x: (F.col("stop_at").isNull() | (x.seq < F.col("stop_at"))),
     )
     return grouped.select(
-        "id",
+        "id", "part", F.col("session_window.start").alias("started"),
         F.array_join(F.transform(kept, lambda x: x.content), "").alias("content"),
         F.size(kept).cast("long").alias("chunks"),
         F.col("stop_at").isNotNull().alias("finished"),
     )
+
+
+def drop_late_parts(parts: DataFrame) -> DataFrame:
+    """Closed parts of replies (a batch) without those after a finished part."""
+    last = parts.where("finished").groupBy("id").agg(F.min("part").alias("__last"))
+    return join_on(parts, last, ["id"], "left").where(
+        F.col("__last").isNull() | (F.col("part") <= F.col("__last"))
+    ).drop("__last")

@@ -37,6 +37,16 @@ def test_events_and_chunks(spark):
     assert [p.content for p in parts] == ["He", "llo", ""]
 
 
+def test_hot_reply_is_whole(spark):
+    df = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("id"),
+        F.col("id").alias("seq"), F.lit("x").alias("content"),
+        F.when(F.col("id") == 8000, "stop").otherwise("null").alias("finish_reason"))
+    parts = cv.reassemble_chunks(df, part_size=500).where("id = 'hot'").collect()
+    assert sum(p.chunks for p in parts) == sum(len(p.content) for p in parts) == 3000
+    assert max(p.chunks for p in parts) <= 500
+
+
 def test_long_conversation_comes_in_parts(spark):
     df = spark.range(2500).select(F.lit("c").alias("conv"), F.col("id").alias("turn"),
                                   F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
@@ -114,6 +124,9 @@ def test_stream_chunks(spark, tmp_path):
     drain(live.stream_chunks(stream), "live_chunks", "append", str(tmp_path / "c"))
     got = {r.id: (r.content, r.finished) for r in spark.table("live_chunks").collect()}
     assert got == {"a": ("Hello", True), "b": ("Hi", False)}
+    drain(live.stream_chunks(stream, part_size=1), "live_parts", "append", str(tmp_path / "c1"))
+    kept = live.drop_late_parts(spark.table("live_parts").where("id = 'a'")).orderBy("part").collect()
+    assert [(r.part, r.content) for r in kept] == [(0, "He"), (1, "llo"), (2, "")]
 
 
 def test_stream_validation_appends_per_batch(spark, tmp_path):
