@@ -5,9 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.inputs import (
-    CATEGORY, CELLS, CLASSIFIED, DATE_WORDS, ID_WORDS, LINE_COLS, LINE_NUM, LINES, NAME_WORDS,
-    ORDERS, PRICE_WORDS, PROFILES, QTY_WORDS, any_of, corpus_frames, in_list, lines, order_cells, order_sheets,
-    profiles, rnd, srnd, table,
+    CELLS,
+    CLASSIFIED,
+    DATE_WORDS,
+    ID_WORDS,
+    LINE_COLS,
+    LINE_NUM,
+    LINES,
+    NAME_WORDS,
+    PRICE_WORDS,
+    PROFILES,
+    QTY_WORDS,
+    any_of,
+    corpus_frames,
+    in_list,
+    lines,
+    order_cells,
+    profiles,
+    rnd,
+    srnd,
+    table,
 )
 from sheetloom import dictionary as fixed
 from sheetloom.operators import classify as cl

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import match
-from checks.inputs import CLASSIFIED, PROFILES, any_of, classified, in_list, profiles, rnd, srnd, table
+from checks.inputs import PROFILES, any_of, profiles, rnd, srnd, table
 from sheetloom.dictionary import ENGLISH
 from sheetloom.operators import evidence as ev
 from sheetloom.operators import matching as mt

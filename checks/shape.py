@@ -7,8 +7,14 @@ import os
 from pyspark.sql import functions as F
 
 from checks.inputs import (
-    CELLS, ORDER_COLS, ORDERS, PROFILES, any_of, kind_sql, lines, LINES, LINE_COLS, order_cells,
-    order_sheets, profiles, table,
+    CELLS,
+    ORDER_COLS,
+    ORDERS,
+    kind_sql,
+    order_cells,
+    order_sheets,
+    profiles,
+    table,
 )
 from sheetloom.functions.exprs import text_kind
 from sheetloom.operators import reshape as rs

@@ -6,7 +6,14 @@ from pyspark.sql import functions as F
 
 from checks import match
 from checks.inputs import (
-    CELLS, LINES, ORDERS, PROFILES, in_list, lines, order_cells, order_sheets, profiles, rnd, srnd,
+    CELLS,
+    LINES,
+    ORDERS,
+    lines,
+    order_cells,
+    order_sheets,
+    rnd,
+    srnd,
     table,
 )
 from checks.profile import METRICS_SQL, ORACLES as PROFILE_SQL

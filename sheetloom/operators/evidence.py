@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sheetloom.functions.exprs import as_list, contains_any, inline_structs, join_on, q, ratio
+from sheetloom.functions.exprs import as_list, contains_any, inline_structs, q, ratio
 
 By = str | Sequence[str] | None
 

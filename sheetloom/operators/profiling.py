@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 from sheetloom.functions.exprs import (
     KINDS,
     as_list,
-    clamp,
     count_true,
     data_columns,
     half_up,

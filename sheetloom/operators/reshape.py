@@ -13,7 +13,6 @@ from sheetloom import dictionary as fixed
 from sheetloom.functions.exprs import (
     as_list,
     contains_any,
-    count_true,
     data_columns,
     inline_structs,
     is_float,
@@ -21,7 +20,6 @@ from sheetloom.functions.exprs import (
     is_number,
     join_on,
     q,
-    ratio,
     schema_kind,
     strip,
     text_kind,

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetloom.functions.exprs import half_up, join_on, ratio
+from sheetloom.functions.exprs import half_up, join_on
 
 # The seven tracked steps.
 TRACKED_STEPS = (

@@ -12,7 +12,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sheetloom.dictionary import LOGISTICS, Dictionary
 from sheetloom.functions.exprs import (
