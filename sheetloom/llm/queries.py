@@ -1,5 +1,5 @@
 """The registered queries of this subpackage and their SQL."""
 
-from sheetloom.llm import quality
+from sheetloom.llm import html, quality, secrets
 
-MODULES = (quality,)
+MODULES = (quality, secrets, html)
