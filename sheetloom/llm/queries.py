@@ -1,5 +1,5 @@
 """The registered queries of this subpackage and their SQL."""
 
-from sheetloom.llm import ann, html, quality, secrets
+from sheetloom.llm import ann, html, quality, secrets, tokenfile
 
-MODULES = (ann, quality, secrets, html)
+MODULES = (ann, quality, secrets, html, tokenfile)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +31,20 @@ KEEP_WHITE = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 DROP_WHITE = re.compile(f"[^{_WHITE}]+")
 
 
+#: Pieces of these characters alone are cut as every version of Unicode cuts them.
+_LATIN, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!-&(-/:-@\\[-`{-~"
+PLAIN = re.compile(f" ?[{_LATIN}0-9{_MARKS}]+")
+PLAIN_KEEP = re.compile(f" ?[{_LATIN}]+| ?[0-9]+| ?[{_MARKS}]+")
+PLAIN_DROP = re.compile(f"[{_LATIN}]+|[0-9]|[{_MARKS}]+")
+
+
+def byte_signs() -> dict[int, str]:
+    """The character a byte-level vocabulary writes for each byte: itself if it prints, else one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
@@ -39,28 +54,34 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        keeps_white = self.tokenizer.normalizer is None
-        self.pattern = KEEP_WHITE if keeps_white else DROP_WHITE
-        # between new pieces stands a sign that no piece holds, with an id that nothing else gets
-        self.sign, self.between = ("\n", "\n") if keeps_white else ("\x01", " \x01 ")
-        (self.sign_id,) = self.tokenizer.encode(self.sign, add_special_tokens=False).ids
+        self.model = self.tokenizer.model
+        self.keeps_white = self.tokenizer.normalizer is None
+        self.pattern, self.plain = (KEEP_WHITE, PLAIN_KEEP) if self.keeps_white else (DROP_WHITE, PLAIN_DROP)
+        self.signs = byte_signs()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-
-    def learn(self, new: list[str]) -> None:
-        together = [p for p in new if not p.isspace() and self.sign not in p]
-        if together:
-            ids = self.tokenizer.encode(self.between.join(together), add_special_tokens=False).ids
-            ids = np.asarray(ids, "<u4")
-            cuts = np.concatenate(([-1], np.flatnonzero(ids == self.sign_id), [len(ids)])).tolist()
-            assert len(cuts) == len(together) + 1
-            raw = ids.tobytes()
-            for piece, a, b in zip(together, cuts, cuts[1:]):
-                self.known[piece] = raw[4 * a + 4:4 * b]
-        for piece in new:
-            if piece.isspace() or self.sign in piece:
-                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-                self.known[piece] = np.asarray(ids, "<u4").tobytes()
+        self.words: dict[str, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        """Ids of what the tokenizer takes for one word: the merges alone."""
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) > PIECES:
+                self.words.clear()
+            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.signs))
+            found = self.words[word] = np.asarray([t.id for t in tokens], "<u4").tobytes()
+        return found
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Plain pieces go to the merges word by word, all others through the whole tokenizer."""
+        odd, known, plain, word = [], self.known, self.plain.findall, self.word
+        for piece in pieces:
+            if PLAIN.fullmatch(piece):
+                known[piece] = b"".join(map(word, plain(piece if self.keeps_white else piece.lower())))
+            else:
+                odd.append(piece)
+        for piece, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False)):
+            known[piece] = np.asarray(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [self.pattern.findall(x) for x in texts]
@@ -69,9 +90,9 @@ class Encoder:
             self.known, self.older = {}, self.known
             missing = set().union(*pieces)
         if missing:
-            again = missing.intersection(self.older)
+            again = {p for p in missing if p in self.older}
             self.known.update((p, self.older[p]) for p in again)
-            self.learn(list(missing - again))
+            self.learn(missing - again)
         get = self.known.__getitem__
         return [b"".join(map(get, x)) for x in pieces]
 
