@@ -1,5 +1,5 @@
 """The registered queries of this subpackage and their SQL."""
 
-from sheetloom.llm import ann, html, mixing, packing, quality, secrets, tokenfile
+from sheetloom.llm import ann, html, mixing, ngrams, packing, quality, secrets, tokenfile
 
-MODULES = (ann, secrets, mixing, quality, tokenfile, packing, html)
+MODULES = (ngrams, ann, secrets, mixing, quality, tokenfile, packing, html)
