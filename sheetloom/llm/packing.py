@@ -15,6 +15,7 @@ Repeated rows are packed as often as they come.  An empty table packs to none.
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -29,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from sheetloom.llm.base import add_columns, keep, picked, ready, table
-from sheetloom.llm.tokens import vocabulary, with_ids
+from sheetloom.llm.tokens import encoder, vocabulary
 
 CAPACITY = 2048
 SWEEPS = 8
@@ -170,25 +171,34 @@ PLACE = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField(
 
 def cut(docs: DataFrame, vocab: str, end_id: int, capacity: int) -> DataFrame:
     """Pieces with their ids and checksum; ``number`` counts the pieces of a length within a task (``cell``)."""
-    names = to_arrow_schema(PIECES)
+    schema, path = to_arrow_schema(PIECES), vocabulary(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
+        own, end = encoder(path), np.asarray([end_id], np.uint32)
         cell, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
+        out: list[list] = [[] for _ in schema]
+
+        def flush() -> pa.RecordBatch:
+            done = [pa.array(c, f.type) for c, f in zip(out, schema)]
+            for column in out:
+                column.clear()
+            return pa.RecordBatch.from_arrays(done, schema=schema)
+
         for batch in batches:
-            out = [[] for _ in names]
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    ids = raw[at:at + 4 * capacity]
+            for key, found in zip(batch.column(0).to_pylist(), own.lists(batch.column(1))):
+                found = np.concatenate((found, end)).astype("<u4")
+                for piece, at in enumerate(range(0, len(found), capacity)):
+                    ids = found[at:at + capacity].tobytes()
                     n = len(ids) // 4
-                    for column, value in zip(out, (key, piece, at // 4, n, ids, zlib.crc32(ids), cell, seen[n])):
+                    for column, value in zip(out, (key, piece, at, n, ids, zlib.crc32(ids), cell, seen[n])):
                         column.append(value)
                     seen[n] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, names)], schema=names)
+                if len(out[0]) >= 1000:
+                    yield flush()
+        if out[0]:
+            yield flush()
 
-    tokens = with_ids(docs, vocabulary(vocab), end_id).select("key", "ids")
-    return tokens.mapInArrow(run, PIECES)
+    return docs.mapInArrow(run, PIECES)
 
 
 def pack(docs: DataFrame, vocab: str, end_id: int, capacity: int = CAPACITY, key: str = "doc_id",

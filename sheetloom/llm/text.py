@@ -68,11 +68,14 @@ class Texts:
         return total[self.bounds[1:]] - total[self.bounds[:-1]]
 
     def word_hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial in its bytes, from prefix sums."""
+        return self.hashes(self.starts, self.ends)
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each stretch of bytes: a polynomial in them, from prefix sums."""
         up, down = _power_tables(len(self.data))
         sums = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        return mix((sums[ends] - sums[starts]) * down[starts])
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -91,7 +94,7 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
 
 
-def slices(column: pa.Array, lower: bool = False) -> Iterator[Texts]:
+def slices(column: pa.Array, lower: bool = False, limit: int = SLICE) -> Iterator[Texts]:
     """The texts of an Arrow column (null: empty), some megabytes at a time."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     n = len(column)
@@ -102,7 +105,7 @@ def slices(column: pa.Array, lower: bool = False) -> Iterator[Texts]:
     whole = np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, side="right")) - 1)
         to = min(to, n)
         data = whole[bounds[at] : bounds[to]]
         yield _texts(at, lower_ascii(data) if lower else data, bounds[at : to + 1] - bounds[at])

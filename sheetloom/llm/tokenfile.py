@@ -29,13 +29,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sheetloom.llm.base import keep, picked, ready, table
-from sheetloom.llm.tokens import vocabulary, with_ids
+from sheetloom.llm.tokens import small_ids, vocabulary, with_ids
 from sheetloom.plans.lineage import shared_folder
 
 LIMIT = 18
 STRIDE = 128
 #: Ids of a block, beyond a single longer document, and of a part.
-BLOCK, PART = 1 << 18, 1 << 24
+BLOCK, PART = 1 << 18, 1 << 23
 
 BLOCKS = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()),
@@ -127,14 +127,14 @@ class Code:
         return out.T.reshape(-1)[:n]
 
 
-def count_ids(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def count_ids(tokens: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids that occur and their counts: as many as the vocabulary has entries, at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                own = np.bincount(np.frombuffer(raw, "<u4"))
+                own = np.bincount(np.frombuffer(raw, kind))
                 if len(own) > len(total):
                     own[: len(total)] += total
                     total = own
@@ -153,20 +153,21 @@ def write_token_file(docs: DataFrame, folder: str, vocab: str, end_id: int, key:
     """Writes the token file of ``docs`` to ``folder``; ``key`` is a whole number."""
     spark = ready(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    tokens = keep(with_ids(rows, vocabulary(vocab), end_id).select("key", "n_tokens", "ids"))
-    ids, counts = count_ids(tokens)
+    kind = "<u2" if small_ids(vocabulary(vocab), end_id) else "<u4"
+    tokens = keep(with_ids(rows, vocabulary(vocab), end_id, kind=kind).select("key", "n_tokens", "ids"))
+    ids, counts = count_ids(tokens, kind)
     lengths = code_lengths(counts)
     spark.createDataFrame([(int(i), int(x)) for i, x in zip(ids, lengths)], "id long, length int").coalesce(1) \
         .write.parquet(f"{folder}/codebook")
-    total = int(counts.sum())
+    total, width = int(counts.sum()), int(kind[2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, number, block, before = Code(ids, lengths), TaskContext.get().partitionId(), 0, 0
         keys, held, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            sizes = [len(x) // 4 for x in held]
-            bits, offsets = code.encode(np.frombuffer(b"".join(held), "<u4"))
+            sizes = [len(x) // width for x in held]
+            bits, offsets = code.encode(np.frombuffer(b"".join(held), kind))
             return pa.RecordBatch.from_arrays([
                 pa.array([number], pa.int32()), pa.array([block], pa.int32()), pa.array([before]),
                 pa.array([keys], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())),
@@ -177,7 +178,7 @@ def write_token_file(docs: DataFrame, folder: str, vocab: str, end_id: int, key:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 keys.append(k)
                 held.append(raw)
-                size += len(raw) // 4
+                size += len(raw) // width
                 if size >= BLOCK:
                     yield flush()
                     block, before, keys, held, size = block + 1, before + size, [], [], 0
@@ -190,7 +191,7 @@ def write_token_file(docs: DataFrame, folder: str, vocab: str, end_id: int, key:
     written = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     size = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
     parts = written.select("part", size.alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
-    # one row per part: a few bytes for each 16 million ids
+    # one row per part: a few bytes for each 8 million ids
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")) \
         .write.parquet(f"{folder}/manifest")

@@ -1,16 +1,18 @@
 """Token ids of whole texts with a public tokenizer file.
 
-Both tokenizers first split a text where white space begins and never merge
-across such a cut, so a text's ids are those of its pieces in turn.  Words repeat
-a lot: each worker keeps the ids of pieces it has met (about ``PIECES`` and as
-many older ones) and asks the tokenizers library for new ones only.
+Both tokenizers cut a text where white space begins and never merge across such
+a cut, so a text's ids are those of its units in turn: white space and the word
+after it.  Units repeat a lot.  They are found and hashed for a megabyte of text
+at once in numpy; each worker keeps the ids of units it has met in a table of
+fixed size and asks the tokenizers library for new ones only.  Two units count
+as the same by their 64-bit hash.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,10 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetloom.llm.base import add_columns, ready
-
-PIECES = 400_000
-#: Characters of text at a time, beyond a single longer text.
-CHARS = 1 << 20
+from sheetloom.llm.text import Texts, slices
+
+#: Slots of the table of units (two per hash), and ids it holds before it starts afresh.
+SLOTS, HELD = 1 << 20, 1 << 23
+#: Words kept with the ids of their merges.
+WORDS = 300_000
+#: Bytes of text at a time, beyond a single longer text.
+BYTES = 1 << 20
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A byte-level vocabulary keeps white space: a blank belongs to the word after it.
 KEEP_WHITE = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
@@ -45,8 +51,12 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+#: UTF-8 of white space beyond ASCII: it may touch a word, so such texts are not cut into units.
+_odd_white = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts as arrays of unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,43 +68,107 @@ class Encoder:
         self.keeps_white = self.tokenizer.normalizer is None
         self.pattern, self.plain = (KEEP_WHITE, PLAIN_KEEP) if self.keeps_white else (DROP_WHITE, PLAIN_DROP)
         self.signs = byte_signs()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, list[int]] = {}
+        self.clear()
 
-    def word(self, word: str) -> bytes:
+    def clear(self) -> None:
+        self.keys = np.zeros(SLOTS, np.uint64)
+        self.first, self.count = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        self.flat, self.used = np.zeros(HELD, np.uint32), 0
+
+    def word(self, word: str) -> list[int]:
         """Ids of what the tokenizer takes for one word: the merges alone."""
         found = self.words.get(word)
         if found is None:
-            if len(self.words) > PIECES:
+            if len(self.words) > WORDS:
                 self.words.clear()
             tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.signs))
-            found = self.words[word] = np.asarray([t.id for t in tokens], "<u4").tobytes()
+            found = self.words[word] = [t.id for t in tokens]
         return found
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Plain pieces go to the merges word by word, all others through the whole tokenizer."""
-        odd, known, plain, word = [], self.known, self.plain.findall, self.word
-        for piece in pieces:
+    def whole(self, text: str) -> list[int]:
+        """Ids of a unit or a text: plain pieces go to the merges word by word, others through the tokenizer."""
+        out: list[int] = []
+        for piece in self.pattern.findall(text):
             if PLAIN.fullmatch(piece):
-                known[piece] = b"".join(map(word, plain(piece if self.keeps_white else piece.lower())))
+                for w in self.plain.findall(piece if self.keeps_white else piece.lower()):
+                    out += self.word(w)
             else:
-                odd.append(piece)
-        for piece, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False)):
-            known[piece] = np.asarray(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [self.pattern.findall(x) for x in texts]
-        missing = set().union(*pieces).difference(self.known)
-        if len(self.known) > PIECES:
-            self.known, self.older = {}, self.known
-            missing = set().union(*pieces)
-        if missing:
-            again = {p for p in missing if p in self.older}
-            self.known.update((p, self.older[p]) for p in again)
-            self.learn(missing - again)
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in pieces]
+                out += self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return out
+
+    def learn(self, part: Texts, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Puts units into the table: in the first of their two slots if that is free, else in the second."""
+        raw = part.data.tobytes()
+        ids = [self.whole(raw[a:b].decode()) for a, b in zip(starts.tolist(), ends.tolist())]
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(count.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate((self.flat[:self.used], np.zeros(total + HELD, np.uint32)))
+        self.flat[self.used:self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        first = self.used + np.cumsum(count) - count
+        self.used += total
+        self.last_count = count
+        one, two = _slots(hashes)
+        slot = np.where(self.keys[one] == 0, one, two)
+        self.keys[slot], self.first[slot], self.count[slot] = hashes, first, count
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slot of each hash and whether it is there."""
+        one, two = _slots(hashes)
+        slot = np.where(self.keys[one] == hashes, one, two)
+        return slot, self.keys[slot] == hashes
+
+    def encode(self, part: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in turn, and the number of ids of each text."""
+        if self.used > HELD:
+            self.clear()
+        cut = np.zeros(len(part.data) + 1, bool)
+        cut[part.ends] = cut[part.bounds] = True
+        cuts = np.flatnonzero(cut)
+        starts, ends = cuts[:-1], cuts[1:]
+        hashes = part.hashes(starts, ends) | np.uint64(1)  # 0 marks a free slot
+        slot, there = self.find(hashes)
+        first, count = self.first[slot], self.count[slot]
+        if not there.all():
+            gone = np.flatnonzero(~there)
+            new, at, which = np.unique(hashes[gone], return_index=True, return_inverse=True)
+            before = self.used
+            self.learn(part, new, starts[gone[at]], ends[gone[at]])
+            # read from what was just appended: a slot may have been taken by another unit
+            own = self.last_count
+            first[gone] = (before + np.cumsum(own) - own)[which]
+            count[gone] = own[which]
+        ids = self.flat[_spread(first, count)]
+        owner = np.searchsorted(starts, part.bounds)
+        upto = np.concatenate(([0], np.cumsum(count)))[owner]
+        return ids, np.diff(upto)
+
+    def lists(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of an Arrow column (null: none)."""
+        for part in slices(column, limit=BYTES):
+            raw = part.data.tobytes()
+            odd = _odd_white.search(raw) is not None
+            ids, sizes = self.encode(part)
+            ends = np.cumsum(sizes)
+            for i, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
+                if odd:
+                    text = raw[part.bounds[i]:part.bounds[i + 1]]
+                    if _odd_white.search(text):
+                        yield np.asarray(self.whole(text.decode()), np.uint32)
+                        continue
+                yield ids[a:b]
+
+
+def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return ((hashes >> np.uint64(1)) & np.uint64(SLOTS - 1)).astype(np.int64), \
+        ((hashes >> np.uint64(40)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each stretch, one after the other."""
+    ends = np.cumsum(count)
+    return np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @lru_cache(maxsize=2)
@@ -108,25 +182,22 @@ def vocabulary(name: str) -> str:
     return name if os.sep in name else public_tokenizers.path(name)
 
 
-def with_ids(docs: DataFrame, path: str, end_id: int, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (32-bit little-endian, ``end_id`` last; null text: only that) and ``n_tokens``."""
+def small_ids(path: str, end_id: int) -> bool:
+    """Whether all ids fit 16 bits."""
+    return max(end_id, encoder(path).tokenizer.get_vocab_size() - 1) < 1 << 16
+
+
+def with_ids(docs: DataFrame, path: str, end_id: int, text: str = "text", kind: str = "<u4") -> DataFrame:
+    """``docs`` with ``ids`` (numbers of ``kind``, ``end_id`` last; null text: only that) and ``n_tokens``."""
     ready(docs.sparkSession)
-    end = np.asarray([end_id], "<u4").tobytes()
+    end = np.asarray([end_id], kind).tobytes()
 
     def make():
         own = encoder(path)
 
         def run(column):
-            texts, out, at = [x or "" for x in column.to_pylist()], [], 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and size < CHARS:
-                    size += len(texts[to])
-                    to += 1
-                out += [x + end for x in own.encode(texts[at:to])]
-                at = to
-            return [pa.array(out, pa.binary())]
+            return [pa.array([x.astype(kind).tobytes() + end for x in own.lists(column)], pa.binary())]
         return run
 
     fields = T.StructType([T.StructField("ids", T.BinaryType())])
-    return add_columns(docs, make, fields, text).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    return add_columns(docs, make, fields, text).withColumn("n_tokens", (F.octet_length("ids") / len(end)).cast("long"))
