@@ -9,11 +9,13 @@ agree, so the hash of each pair of pieces is a signature.  n1 = k // 2 + 2 makes
 two such parts certain, so signatures of empty pieces are left out unless a set
 has several parts that could only give those.  No similar pair is missed.
 
-Sets that share a signature are first compared with the smallest id among them;
-only where a signature still holds several components are all its members of
-different components compared.  Pairs inside a component need no comparison,
-and a group of copies costs a comparison each.  Comparisons are exact, on sets of
-64-bit shingle hashes.
+Each set is first compared with the one it shares most signatures with among the
+smallest ids of its signatures, for a few rounds as long as that joins components:
+a group of copies costs a comparison each.  Sets that share signatures directly or
+through others are a family; only those of different components in a family remain
+to be told apart.  A parity sketch (bits that change with every differing shingle)
+bounds their distance from below inside the join, and what it can't rule out is
+compared.  Comparisons are exact, on sets of 64-bit shingle hashes.
 
 Null or empty text, or one without words: an empty set, linked with nothing.
 Fewer words than a shingle: the whole sequence is one.  Rows with the same id
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -41,8 +43,11 @@ WORDS = 4
 SIMILARITY = (85, 100)
 SPARE = 1
 
+#: Rounds of one comparison per set before the rest of a family is joined.
+ROUNDS = 3
+
 SETS = T.StructType([T.StructField("size", T.LongType()), T.StructField("h1", T.LongType()),
-                     T.StructField("h2", T.LongType())])
+                     T.StructField("h2", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 _SALT1, _SALT2 = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -101,18 +106,44 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
-def set_columns(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """``docs`` with the size of each set and two hashes of it."""
+def parity_sketch(shingles: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """Bits, each the parity of the shingles that fall on it: about four for each shingle that may differ."""
+    p, q = similarity
+    most = 2 * len(shingles) * (q - p) // (q + p)
+    bits = 1 << max(8, (4 * most).bit_length())
+    spread = mix(shingles ^ _SALT2)
+    odd = np.bincount((spread & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def sketch_distance(x: Column, y: Column) -> Column:
+    """Bits that differ; a sketch twice or four times as long is folded first."""
+
+    def fold(a: Column) -> Column:
+        half = (F.size(a) / 2).cast("int")
+        return F.zip_with(F.slice(a, 1, half), F.slice(a, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+
+    def to(a: Column, n: Column) -> Column:
+        return F.when(F.size(a) <= n, a).when(F.size(a) <= 2 * n, fold(a)).otherwise(fold(fold(a)))
+
+    n = F.least(F.size(x), F.size(y))
+    changed = F.zip_with(to(x, n), to(y, n), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    return F.aggregate(changed, F.lit(0), lambda a, v: a + F.coalesce(v, F.lit(0)))
+
+
+def set_columns(docs: DataFrame, text: str, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """``docs`` with the size of each set, two hashes of it and its sketch."""
 
     def make():
         def run(column):
-            size, h1, h2 = [], [], []
+            size, h1, h2, sketch = [], [], [], []
             for part in slices(column, lower=True):
                 for s in shingle_sets(part, words):
                     size.append(len(s))
                     h1.append(mix(s ^ _SALT1).sum().astype(np.int64))
                     h2.append(mix(s ^ _SALT2).sum().astype(np.int64))
-            return [size, h1, h2]
+                    sketch.append(parity_sketch(s, similarity))
+            return [size, h1, h2, sketch]
         return run
 
     return add_columns(docs, make, SETS, text)
@@ -217,45 +248,74 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     ready(docs.sparkSession)
     p, q = similarity
     source = docs.select(F.col(ident(key)).cast("long").alias("id"), F.col(ident(text)).alias("text"))
-    rows = keep(set_columns(source, "text", words).drop("text"))
-    classes = keep(rows.where("id IS NOT NULL AND size > 0").groupBy("size", "h1", "h2")
-                   .agg(F.min("id").alias("class")))
-    named = keep(rows.where("id IS NOT NULL AND size > 0").join(classes, ["size", "h1", "h2"])
-                 .select("id", "class", "size").distinct())
-
-    held = keep(shared(signature_rows(source.where("id IS NOT NULL"), words, similarity)))
-    of = {x: named.select(F.col("id").alias(x), F.col("class").alias(f"{x}_class"), F.col("size").alias(f"{x}_size"))
-          for x in ("id", "first")}
-    near = (p * F.greatest("a_size", "b_size") <= q * F.least("a_size", "b_size"))
-
-    def pairs_of(a: DataFrame) -> DataFrame:
-        return keep(a.where(F.col("a") != F.col("b")).where(near)
-                    .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    star = (held.where("id <> first").select("id", "first").distinct().join(of["id"], "id").join(of["first"], "first")
-            .select(F.col("first_class").alias("a"), F.col("first_size").alias("a_size"),
-                    F.col("id_class").alias("b"), F.col("id_size").alias("b_size")))
-    first_pairs = pairs_of(star)
+    rows = keep(set_columns(source, "text", words, similarity).drop("text"))
+    there = rows.where("id IS NOT NULL AND size > 0")
+    classes = keep(there.groupBy("size", "h1", "h2").agg(F.min("id").alias("class"), F.first("sketch").alias("sketch")))
+    named = keep(there.select("id", "size", "h1", "h2").join(classes.drop("sketch"), ["size", "h1", "h2"])
+                 .select("id", "class").distinct())
+    sketches = classes.select("class", "size", "sketch")
+
+    def with_sketch(pairs: DataFrame) -> DataFrame:
+        for x in ("a", "b"):
+            pairs = pairs.join(sketches.select(F.col("class").alias(x), F.col("size").alias(f"{x}_size"),
+                                               F.col("sketch").alias(f"{x}_sketch")), x)
+        return pairs
+
+    sizes = F.col("a_size") + F.col("b_size")
+    possible = ((p * F.greatest("a_size", "b_size") <= q * F.least("a_size", "b_size"))
+                & ((p + q) * sketch_distance(F.col("a_sketch"), F.col("b_sketch")) <= (q - p) * sizes))
+
+    held = shared(signature_rows(source.where("id IS NOT NULL"), words, similarity))
+    # how many signatures a set shares with the first of each
+    votes = keep(held.where("id <> first").groupBy("id", "first").agg(F.count("*").alias("n")))
+    of = {x: named.select(F.col("id").alias(x), F.col("class").alias(f"{x}_class")) for x in ("id", "first")}
+    star = keep(votes.join(of["id"], "id").join(of["first"], "first")
+                .select(F.col("id_class").alias("a"), F.col("first_class").alias("b"), "n").where("a <> b")
+                .groupBy("a", "b").agg(F.max("n").alias("n")))
+    hopeful = keep(with_sketch(star).where(possible).select("a", "b", "n"))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
         return keep(linked(pairs, keep(sets_of(source, ids, words)), similarity))
 
-    links = compared(first_pairs)
-    found = components(links)
-
-    # signatures whose members still are in several components: their other pairs
-    members = (held.join(of["id"], "id").select("sig", F.col("id_class").alias("id"), F.col("id_size").alias("size"))
-               .join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    members = keep(members)
-    split = (members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo <> hi").select("sig"))
-    apart = members.join(split, "sig", "left_semi").distinct()
-    left = apart.select("sig", F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("component").alias("ca"))
-    right = apart.select("sig", F.col("id").alias("b"), F.col("size").alias("b_size"), F.col("component").alias("cb"))
-    cross = pairs_of(left.join(right, "sig").where("ca < cb"))
-    more = compared(keep(cross.join(first_pairs, ["a", "b"], "left_anti")))
-    every = keep(links.union(more))
+    def labelled(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        for x in ("a", "b"):
+            pairs = pairs.join(found.select(F.col("id").alias(x), F.col("component").alias(f"{x}_c")), x, "left")
+        return pairs.withColumns({f"{x}_c": F.coalesce(f"{x}_c", x) for x in ("a", "b")})
+
+    links, tried, found = None, None, None
+    for _ in range(ROUNDS):
+        left = hopeful
+        if links is not None:
+            left = labelled(left.join(tried, ["a", "b"], "left_anti"), found).where("a_c <> b_c")
+        best = keep(left.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")))
+        if best.isEmpty():
+            break
+        new = compared(best)
+        links = new if links is None else keep(links.union(new))
+        tried = best if tried is None else keep(tried.union(best))
+        found = components(links)
+    if links is None:
+        links = keep(hopeful.select("a", "b"))
+        found = components(links)
+
+    # families that still hold several components
+    families = components(star.select("a", "b"))
+    members = keep(families.select(F.col("id").alias("class"), F.col("component").alias("family"))
+                   .join(found.select(F.col("id").alias("class"), "component"), "class", "left")
+                   .withColumn("component", F.coalesce("component", "class")))
+    split = (members.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo <> hi").select("family"))
+    apart = keep(members.join(split, "family", "left_semi").join(sketches, "class"))
+    sides = [apart.select("family", *[F.col(c).alias(f"{x}_{c}") for c in ("component", "size", "sketch")],
+                          F.col("class").alias(x)) for x in ("a", "b")]
+    cross = keep(sides[0].join(sides[1], "family").where((F.col("a_component") < F.col("b_component")) & possible)
+                 .select("a", "b"))
+    if tried is not None:
+        both_ways = tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        cross = keep(cross.join(both_ways, ["a", "b"], "left_anti"))
+    every = keep(links.union(compared(cross)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                 .distinct())
     final = components(every)
     degree = every.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
     by_class = named.join(final.withColumnRenamed("id", "class"), "class", "left").join(degree, "class", "left") \
