@@ -181,11 +181,16 @@ def rounded(groups: DataFrame) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, each as often as it is taken."""
-    keyed = docs.withColumn("__n", F.xxhash64(*[F.col(ident(c)) for c in docs.columns]))
-    taken = mix(keyed).where(F.col("copies") > 0).select(F.col("key").alias("__key"), "copies")
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__key")))
-    return joined.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    """The documents of the mix, each as often as it is taken; rows with the same id are told apart by number."""
+    nth = F.row_number().over(Window.partitionBy("__id").orderBy("__source", "__size"))
+    taken = (mix(docs).select(F.col("key").alias("__id"), F.col("source").alias("__source"),
+                              F.col("size").alias("__size"), "copies")
+             .withColumn("__n", nth).where(F.col("copies") > 0).select("__id", "__n", "copies"))
+    own = docs.withColumns({"__id": F.col("doc_id"), "__source": F.col("source"), "__size": words_of(F.col("text"))})
+    own = own.withColumn("__n", nth).withColumnRenamed("__id", "__own")
+    joined = own.join(taken, F.col("__own").eqNullSafe(F.col("__id")) & (own["__n"] == taken["__n"]))
+    return joined.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))) \
+        .select(*[own[c] for c in docs.columns])
 
 
 def op5_mix_sources(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,5 @@
 """The registered queries of this subpackage and their SQL."""
 
-from sheetloom.llm import ann, html, lines, mixing, ngrams, packing, quality, secrets, tokenfile
+from sheetloom.llm import ann, html, licenses, lines, mixing, ngrams, packing, quality, secrets, tokenfile
 
-MODULES = (ngrams, ann, secrets, lines, mixing, quality, tokenfile, packing, html)
+MODULES = (ngrams, ann, secrets, lines, mixing, quality, tokenfile, packing, licenses, html)
