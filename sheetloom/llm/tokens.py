@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,9 +27,9 @@ from sheetloom.llm.base import add_columns, ready
 from sheetloom.llm.text import Texts, slices
 
 #: Slots of the table of units (two per hash), and ids it holds before it starts afresh.
-SLOTS, HELD = 1 << 20, 1 << 23
+SLOTS, HELD = 1 << 19, 1 << 22
 #: Words kept with the ids of their merges.
-WORDS = 300_000
+WORDS = 150_000
 #: Bytes of text at a time, beyond a single longer text.
 BYTES = 1 << 20
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -68,44 +69,43 @@ class Encoder:
         self.keeps_white = self.tokenizer.normalizer is None
         self.pattern, self.plain = (KEEP_WHITE, PLAIN_KEEP) if self.keeps_white else (DROP_WHITE, PLAIN_DROP)
         self.signs = byte_signs()
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(SLOTS, np.uint64)
-        self.first, self.count = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        self.first, self.count = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
         self.flat, self.used = np.zeros(HELD, np.uint32), 0
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         """Ids of what the tokenizer takes for one word: the merges alone."""
         found = self.words.get(word)
         if found is None:
             if len(self.words) > WORDS:
                 self.words.clear()
             tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.signs))
-            found = self.words[word] = [t.id for t in tokens]
+            found = self.words[word] = array("I", [t.id for t in tokens]).tobytes()
         return found
 
-    def whole(self, text: str) -> list[int]:
+    def whole(self, text: str) -> bytes:
         """Ids of a unit or a text: plain pieces go to the merges word by word, others through the tokenizer."""
-        out: list[int] = []
+        out: list[bytes] = []
         for piece in self.pattern.findall(text):
             if PLAIN.fullmatch(piece):
-                for w in self.plain.findall(piece if self.keeps_white else piece.lower()):
-                    out += self.word(w)
+                out += map(self.word, self.plain.findall(piece if self.keeps_white else piece.lower()))
             else:
-                out += self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return out
+                out.append(array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes())
+        return b"".join(out)
 
     def learn(self, part: Texts, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Puts units into the table: in the first of their two slots if that is free, else in the second."""
         raw = part.data.tobytes()
         ids = [self.whole(raw[a:b].decode()) for a, b in zip(starts.tolist(), ends.tolist())]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         total = int(count.sum())
         if self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat[:self.used], np.zeros(total + HELD, np.uint32)))
-        self.flat[self.used:self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self.flat[self.used:self.used + total] = np.frombuffer(b"".join(ids), np.uint32)
         first = self.used + np.cumsum(count) - count
         self.used += total
         self.last_count = count
@@ -129,7 +129,7 @@ class Encoder:
         starts, ends = cuts[:-1], cuts[1:]
         hashes = part.hashes(starts, ends) | np.uint64(1)  # 0 marks a free slot
         slot, there = self.find(hashes)
-        first, count = self.first[slot], self.count[slot]
+        first, count = self.first[slot].astype(np.int64), self.count[slot].astype(np.int64)
         if not there.all():
             gone = np.flatnonzero(~there)
             new, at, which = np.unique(hashes[gone], return_index=True, return_inverse=True)
@@ -155,7 +155,7 @@ class Encoder:
                 if odd:
                     text = raw[part.bounds[i]:part.bounds[i + 1]]
                     if _odd_white.search(text):
-                        yield np.asarray(self.whole(text.decode()), np.uint32)
+                        yield np.frombuffer(self.whole(text.decode()), np.uint32)
                         continue
                 yield ids[a:b]
 
@@ -171,7 +171,7 @@ def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One per worker process, so that later tasks find the pieces of earlier ones."""
     return Encoder(path)
