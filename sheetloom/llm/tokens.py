@@ -27,9 +27,9 @@ from sheetloom.llm.base import add_columns, ready
 from sheetloom.llm.text import Texts, slices
 
 #: Slots of the table of units (two per hash), and ids it holds before it starts afresh.
-SLOTS, HELD = 1 << 19, 1 << 22
+SLOTS, HELD = 1 << 20, 1 << 23
 #: Words kept with the ids of their merges.
-WORDS = 150_000
+WORDS = 200_000
 #: Bytes of text at a time, beyond a single longer text.
 BYTES = 1 << 20
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -75,7 +75,7 @@ class Encoder:
     def clear(self) -> None:
         self.keys = np.zeros(SLOTS, np.uint64)
         self.first, self.count = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
-        self.flat, self.used = np.zeros(HELD, np.uint32), 0
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
     def word(self, word: str) -> bytes:
         """Ids of what the tokenizer takes for one word: the merges alone."""
@@ -104,7 +104,7 @@ class Encoder:
         count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         total = int(count.sum())
         if self.used + total > len(self.flat):
-            self.flat = np.concatenate((self.flat[:self.used], np.zeros(total + HELD, np.uint32)))
+            self.flat = np.concatenate((self.flat[:self.used], np.zeros(total + (1 << 20), np.uint32)))
         self.flat[self.used:self.used + total] = np.frombuffer(b"".join(ids), np.uint32)
         first = self.used + np.cumsum(count) - count
         self.used += total
