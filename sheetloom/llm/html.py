@@ -146,6 +146,8 @@ class Weights:
                 score = 0.0  # left out below; it must not cut the text around it
             else:
                 score = 1 - 6 * out if kind == "word" else -0.01 - 4 * out
+                if zone == "none" and what == "never":
+                    score = max(score, -1.0)  # left out below: a short insertion must not cut a text
             self.known[key] = score
         return self.known[key]
 
