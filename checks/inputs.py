@@ -102,7 +102,7 @@ def order_cells(spark: SparkSession, d: str) -> DataFrame:
 def kind_sql(raw: str) -> str:
     return (
         f"CASE WHEN {raw} IS NULL THEN 'null' "
-        f"WHEN regexp_matches({raw}, '^[+-]?[0-9]{{1,18}}$') THEN 'int' "
+        f"WHEN regexp_matches({raw}, '^[+-]?[0-9]+$') THEN 'int' "
         f"WHEN regexp_matches({raw}, '^[+-]?([0-9]+\\.[0-9]*|\\.[0-9]+|[0-9]+)([eE][+-]?[0-9]+)?$') "
         f"THEN 'float' WHEN lower({raw}) IN ('true', 'false') THEN 'bool' ELSE 'text' END"
     )

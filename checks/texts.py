@@ -136,22 +136,23 @@ def _(spark, d):
     return cv.decode_events(sse(spark, d), keep=["event_id"])
 
 
-_REASM = """, s AS (SELECT id, min(event_id) FILTER (WHERE finish_reason = 'stop') AS stop_at FROM chunks GROUP BY id)
+_REASM = """, placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY event_id) - 1 AS pos FROM chunks),
+s AS (SELECT id, min(event_id) FILTER (WHERE finish_reason = 'stop') AS stop_at FROM chunks GROUP BY id)
 SELECT c.id, {part} AS part, coalesce(string_agg(content, '' ORDER BY event_id) FILTER (WHERE finish_reason <> 'stop'), '')
   AS content, count(*) FILTER (WHERE finish_reason <> 'stop') AS chunks, bool_or(stop_at IS NOT NULL) AS finished
-FROM chunks c JOIN s ON s.id = c.id WHERE stop_at IS NULL OR event_id <= stop_at GROUP BY c.id, {part}"""
+FROM placed c JOIN s ON s.id = c.id WHERE stop_at IS NULL OR event_id <= stop_at GROUP BY c.id, {part}"""
 
 
-@query("reassemble_chunks", f"WITH {SSE}" + _REASM.format(part="event_id // 1000000000"))
+@query("reassemble_chunks", f"WITH {SSE}" + _REASM.format(part="CAST(0 AS BIGINT)"))
 def _(spark, d):
     chunks = cv.decode_events(sse(spark, d), keep=["event_id"])
-    return cv.reassemble_chunks(chunks, "id", "event_id", part_size=1_000_000_000)
+    return cv.reassemble_chunks(chunks, "id", "event_id")
 
 
-@query("reassemble_chunks_parts", f"WITH {SSE}" + _REASM.format(part="event_id // 500"))
+@query("reassemble_chunks_parts", f"WITH {SSE}" + _REASM.format(part="pos // 5"))
 def _(spark, d):
     chunks = cv.decode_events(sse(spark, d), keep=["event_id"])
-    return cv.reassemble_chunks(chunks, "id", "event_id", part_size=500)
+    return cv.reassemble_chunks(chunks, "id", "event_id", part_size=5)
 
 
 # --------------------------------------------------------------------- run log
@@ -238,7 +239,7 @@ def _(spark, d):
         event.alias("event"), "ts",
         F.when(t == "error", F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("error"))
     name = "steps_" + os.urandom(4).hex()
-    return _drain(spark, live.stream_step_status(stream), name, "complete").select(
+    return _drain(spark, live.stream_step_status(stream, live.UNBOUNDED), name, "complete").select(
         "run_id", "step", "status", "error", "duration")
 
 
@@ -276,6 +277,5 @@ def _(spark, d):
         F.concat(t, F.lit(" ")).alias("content"),
         F.when(t == "error", "stop").otherwise("null").alias("finish_reason"), "ts")
     name = "replies_" + os.urandom(4).hex()
-    # event numbers count over all users, so one part spans them all
-    replies = live.stream_chunks(stream, "6 hours", "1 hour", part_size=1_000_000_000)
-    return _drain(spark, replies, name, "append").drop("part", "started")
+    replies = live.stream_chunks(stream, "6 hours", "1 hour")
+    return _drain(spark, replies, name, "append").drop("started")

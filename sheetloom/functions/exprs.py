@@ -95,7 +95,7 @@ def schema_kind(dtype: T.DataType) -> str:
     return "text"
 
 
-INT_PATTERN = r"^[+-]?[0-9]{1,18}$"
+INT_PATTERN = r"^[+-]?[0-9]+$"
 FLOAT_PATTERN = r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -110,6 +110,21 @@ def text_kind(raw: Column) -> Column:
     )
 
 
+def one_json_value(text: Column) -> Column:
+    """The text where it is exactly one JSON value, else NULL.
+
+    The JSON parser stops after the first value.  Inside ``[...]`` and inside
+    ``{"w":...}`` a tail can't go unnoticed in both: one sees a second value, the
+    other a second key or broken syntax.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    keyed = F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}")))
+    single = (F.try_variant_get(listed, "$[0]", "variant").isNotNull()
+              & F.try_variant_get(listed, "$[1]", "variant").isNull()
+              & (F.size(F.try_variant_get(keyed, "$", "map<string,variant>")) == 1))
+    return F.when(F.coalesce(single, F.lit(False)), text)
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of blank, not only spaces."""
     return F.btrim(text, F.lit(" \t\n\r\f\v"))

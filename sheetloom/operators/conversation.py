@@ -6,23 +6,33 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from sheetloom.functions.exprs import join_on, q, strip
+from sheetloom.functions.exprs import join_on, one_json_value, q, strip
 
 
-def _part(order: str, size: int) -> Column:
-    return F.floor(q(order) / F.lit(size)).cast("long")
+def long_messages(df: DataFrame, id: str, order: str) -> DataFrame:
+    """``df`` with ``position``, counted from 0 within each id by ``order``: nothing is gathered."""
+    place = W.partitionBy(q(id)).orderBy(q(order))
+    return df.withColumn("position", (F.row_number().over(place) - 1).cast("long"))
+
+
+def _with_part(df: DataFrame, id: str, order: str, size: int | None) -> DataFrame:
+    """``part`` 0 for all, or by position where the caller asks for parts."""
+    if size is None:
+        return df.withColumn("part", F.lit(0).cast("long"))
+    placed = long_messages(df, id, order)
+    return placed.withColumn("part", F.floor(F.col("position") / F.lit(size)).cast("long")).drop("position")
 
 
 def assemble_messages(df: DataFrame, conv: str, order: str, fields: Sequence[str] = ("role", "text"),
-                      part_size: int = 1024) -> DataFrame:
-    """Messages of a conversation as an ordered array.
+                      part_size: int | None = None) -> DataFrame:
+    """Messages of a conversation as an ordered array, one row per conversation.
 
-    ``order`` counts the messages of a conversation.  An endless conversation
-    comes out as several rows of at most ``part_size`` consecutive turns, so no
-    task ever holds one conversation whole; ordinary ones have part 0 only.
+    For conversations without bound ``long_messages`` numbers the messages and
+    gathers none; ``part_size`` cuts them into rows of that many messages each.
     """
-    return df.groupBy(q(conv), _part(order, part_size).alias("part")).agg(
+    return _with_part(df, conv, order, part_size).groupBy(q(conv), "part").agg(
         F.array_sort(F.collect_list(F.struct(q(order), *[q(f) for f in fields]))).alias("messages"),
         F.count(F.lit(1)).alias("message_count"),
     )
@@ -112,7 +122,7 @@ def decode_events(df: DataFrame, c: str = "line", keep: Sequence[str] = ()) -> D
     Lines that are no JSON object with data are dropped.
     """
     body = strip(F.regexp_replace(q(c), r"^data:\s*", ""))
-    parsed = F.when(body.rlike(r"(?s)^\{.*\}$"), F.from_json(body, EVENT_SCHEMA))
+    parsed = F.when(body.rlike(r"(?s)^\{.*\}$"), F.from_json(one_json_value(body), EVENT_SCHEMA))
     rows = df.select(*[q(k) for k in keep], parsed.alias("__e"))
     return rows.where(F.col("__e.data").isNotNull()).select(
         *[q(k) for k in keep],
@@ -123,16 +133,15 @@ def decode_events(df: DataFrame, c: str = "line", keep: Sequence[str] = ()) -> D
 
 
 def reassemble_chunks(df: DataFrame, id: str = "id", order: str = "seq", content: str = "content",
-                      finish: str = "finish_reason", part_size: int = 4096) -> DataFrame:
-    """Chunk texts of each reply in order, up to its first stop marker.
+                      finish: str = "finish_reason", part_size: int | None = None) -> DataFrame:
+    """Chunk texts of each reply in order, up to its first stop marker, one row per reply.
 
-    A very long reply comes out in parts of at most ``part_size`` consecutive
-    order values; ordinary replies have part 0 only.  Parts are gathered before
-    the stop positions are joined in, so an id that owns many chunks is spread
-    over tasks by part and the join sees one row per part.
+    ``part_size`` cuts replies into rows of that many chunks each, by position.
+    Parts are gathered before the stop positions are joined in, so an id that
+    owns many chunks is spread over tasks by part.
     """
     stopped = F.coalesce(q(finish) == "stop", F.lit(False))
-    parts = df.groupBy(q(id), _part(order, part_size).alias("part")).agg(
+    parts = _with_part(df, id, order, part_size).groupBy(q(id), "part").agg(
         F.array_sort(F.collect_list(
             F.struct(q(order).alias("o"), F.coalesce(q(content), F.lit("")).alias("c"),
                      stopped.alias("s"))

@@ -19,6 +19,7 @@ from sheetloom.functions.exprs import (
     half_up,
     inline_structs,
     join_on,
+    one_json_value,
     ratio,
     strip,
 )
@@ -133,7 +134,7 @@ RATING_KEYS = ("confidence", "准确率")
 
 def _as_object(json: Column) -> Column:
     """JSON object as a map of strings; NULL for anything else."""
-    return F.when(json.rlike(r"(?s)^\s*\{"), F.from_json(json, _OBJECT))
+    return F.when(json.rlike(r"(?s)^\s*\{"), F.from_json(one_json_value(json), _OBJECT))
 
 
 def parse_proposals(df: DataFrame, text: str = "text", sheet: str = "sheet_id",

@@ -222,6 +222,11 @@ def _fold(candidates: Column, min_score: float, strict: bool) -> Column:
 
 def _chosen_per_sheet(scores: DataFrame, n_fields: int, min_score: float, strict: bool) -> DataFrame:
     """One row per sheet with the array of accepted (field, column) pairs."""
+    # columns are taken by name, so each name competes once, with its best score:
+    # then at most as many names as earlier fields can be gone, and the cut is exact
+    best = F.min_by(F.struct("score", "col_pos"), F.struct(-F.col("score"), "col_pos"))
+    scores = scores.groupBy("sheet_id", "std_pos", "std_field", "column").agg(best.alias("__b")).select(
+        "sheet_id", "std_pos", "std_field", "column", "__b.score", "__b.col_pos")
     order = W.partitionBy("sheet_id", "std_pos").orderBy(F.desc("score"), "col_pos")
     ranked = scores.withColumn("__rank", F.row_number().over(order)).where(
         F.col("__rank") <= n_fields

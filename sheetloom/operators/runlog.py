@@ -29,19 +29,24 @@ def as_instant(ts: Column) -> Column:
 
 
 def status_aggregates(has_error: bool) -> list[Column]:
-    """The aggregates of a step's state, shared by batch and stream."""
+    """The aggregates of a step's state, shared by batch and stream.
+
+    Events at the same instant count in the order started, completed, failed.
+    """
     ts, event = as_instant(F.col("ts")), F.col("event")
+    when = F.struct(ts, F.when(event == "started", 0).when(event == "completed", 1).otherwise(2))
     state = F.when(event == "started", "running").otherwise(event)
     ended = event.isin("completed", "failed")
     aggs = [
-        F.max_by(state, ts).alias("status"),
+        F.max_by(state, when).alias("status"),
         F.max(F.when(event == "started", ts)).alias("start_time"),
         F.max(F.when(ended, ts)).alias("end_time"),
     ]
     if has_error:
         failed = event == "failed"
         aggs.append(
-            F.max_by(F.when(failed, F.col("error")), F.when(failed, ts)).alias("error")
+            F.max_by(F.when(failed, F.col("error")),
+                     F.when(failed, F.struct(ts, F.col("error")))).alias("error")
         )
     return aggs
 
@@ -64,7 +69,7 @@ def step_status(events: DataFrame) -> DataFrame:
     entries = events.select(
         "run_id", "step", as_instant(F.col("ts")).alias("ts"),
         F.explode("metadata").alias("key", "value"),
-    ).groupBy("run_id", "step", "key").agg(F.max_by("value", "ts").alias("value"))
+    ).groupBy("run_id", "step", "key").agg(F.max_by("value", F.struct("ts", "value")).alias("value"))
     merged = entries.groupBy("run_id", "step").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("metadata")
     )

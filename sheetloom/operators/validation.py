@@ -22,6 +22,7 @@ from sheetloom.functions.exprs import (
     inline_structs,
     is_missing,
     join_on,
+    one_json_value,
     q,
     ratio,
 )
@@ -59,7 +60,7 @@ def check_envelope(df: DataFrame, payload: str, sheet: str = "sheet_id") -> Data
 
     Type checks apply only when every required key is there.
     """
-    base = df.select(F.col(sheet).alias("sheet_id"), F.col(payload).alias("__p"))
+    base = df.select(F.col(sheet).alias("sheet_id"), one_json_value(F.col(payload)).alias("__p"))
     base = base.withColumn("__keys", F.json_object_keys("__p"))
     wanted = F.array(*[F.lit(k) for k in ENVELOPE_KEYS])
     gaps = F.array_except(wanted, F.coalesce("__keys", F.array().cast("array<string>")))
@@ -102,7 +103,7 @@ def row_conformance(df: DataFrame, payload: str, expected: Sequence[str], row_id
     The source label column is never counted as extra.
     """
     want = F.array(*[F.lit(c) for c in expected])
-    keys = F.json_object_keys(F.col(payload))
+    keys = F.json_object_keys(one_json_value(F.col(payload)))
     seen = F.coalesce(keys, F.array().cast("array<string>"))
     allowed = F.array(*[F.lit(c) for c in [*expected, *([label] if label else [])]])
     missing, extra = F.array_except(want, seen), F.array_except(seen, allowed)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetloom.functions.exprs import as_list, q
+from sheetloom.functions.exprs import as_list, ident, q
 
 FORMATS = ("json", "csv", "parquet", "orc")
 
@@ -84,8 +84,10 @@ def union_sheets(sheets: Mapping[str, DataFrame], label: str = "sheet") -> DataF
 def write_json(df: DataFrame, path: str, by: str | Sequence[str] | None = None,
                mode: str = "overwrite", max_records: int = 1_000_000) -> None:
     """JSON lines, one directory per group; big groups roll over into more files."""
-    writer = df.write.mode(mode).option("maxRecordsPerFile", max_records)
     keys = as_list(by)
+    if keys:  # small groups share a task, large ones are split
+        df = df.hint("rebalance", *[q(k) for k in keys])
+    writer = df.write.mode(mode).option("maxRecordsPerFile", max_records)
     (writer.partitionBy(*keys) if keys else writer).json(path)
 
 
@@ -103,7 +105,10 @@ def append_history(findings: DataFrame, path: str, run_id: str) -> None:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "false").parquet(path)
+    """All runs; ``run_id`` stays the text it was written as."""
+    found = spark.read.option("mergeSchema", "false").parquet(path)
+    columns = [f"{ident(f.name)} {f.dataType.simpleString()}" for f in found.schema if f.name != "run_id"]
+    return spark.read.schema(", ".join([*columns, "run_id string"])).parquet(path)
 
 
 def latest_history(history: DataFrame) -> DataFrame:

@@ -8,20 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sheetloom.functions.exprs import join_on
 from sheetloom.operators.runlog import as_instant, status_aggregates, with_duration
 from sheetloom.sources.sheets import append_history
 
 
-def stream_step_status(stream: DataFrame, idle: str | None = None, late: str = "10 minutes") -> DataFrame:
+UNBOUNDED = "unbounded"
+
+
+def stream_step_status(stream: DataFrame, idle: str, late: str = "10 minutes") -> DataFrame:
     """Step states over a stream of events.
 
-    Without ``idle`` every (run, step) stays in state and the result suits
-    update or complete mode.  With ``idle`` a run's step leaves the state once
-    no event came for that long, and its final state is appended.
+    A run's step leaves the state once no event came for ``idle``, and its final
+    state is appended; a step that pauses longer comes out as two rows.  With
+    ``UNBOUNDED`` every (run, step) stays in state and the result suits update or
+    complete mode.
     """
     has_error = "error" in stream.columns
-    if idle is None:
+    if idle == UNBOUNDED:
         return with_duration(stream.groupBy("run_id", "step").agg(*status_aggregates(has_error)))
     timed = stream.withColumn("ts", as_instant(F.col("ts"))).withWatermark("ts", late)
     states = timed.groupBy("run_id", "step", F.session_window("ts", idle)).agg(
@@ -34,32 +37,30 @@ def stream_validation(stream: DataFrame, check: Callable[[DataFrame], DataFrame]
                       checkpoint: str, once: bool = True) -> StreamingQuery:
     """Validates every arriving batch and appends its findings to the history.
 
-    ``check`` maps a batch of rows to findings.  The batch id is the run id, so
-    a batch that is replayed after a failure overwrites its own partition.
+    ``check`` maps a batch of rows to findings.  The run id is that of the stream,
+    which lives as long as its checkpoint, with the batch id: a batch that is
+    replayed after a failure overwrites its own partition, and a stream started
+    afresh adds to the history.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        append_history(check(batch), path, f"{batch_id:09d}")
+        stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        append_history(check(batch), path, f"{stream_id}-{batch_id:09d}")
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def stream_chunks(stream: DataFrame, gap: str = "10 minutes", late: str = "10 minutes",
-                  part_size: int = 4096) -> DataFrame:
+def stream_chunks(stream: DataFrame, gap: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """Replies put together from a stream of (id, seq, content, finish_reason, ts).
 
-    A reply closes once no chunk came for ``gap``; what follows its stop marker
-    is dropped.  Append mode; finished replies leave the state.  State holds at
-    most ``part_size`` consecutive chunks per row: a longer reply comes out in
-    parts, of which ``drop_late_parts`` keeps those up to the stop marker.
+    One row per reply: it closes once no chunk came for ``gap``; what follows its
+    stop marker is dropped.  Append mode; finished replies leave the state.
+    Replies still open at the end of the input stay in the state.
     """
     timed = stream.withColumn("ts", as_instant(F.col("ts"))).withWatermark("ts", late)
-    part = F.floor(F.col("seq") / F.lit(part_size)).cast("long")
     item = F.struct("seq", "content", "finish_reason")
-    grouped = timed.withColumn("part", part).groupBy(
-        "id", "part", F.session_window("ts", gap)
-    ).agg(
+    grouped = timed.groupBy("id", F.session_window("ts", gap)).agg(
         F.array_sort(F.collect_list(item)).alias("__c"),
         F.min(F.when(F.col("finish_reason") == "stop", F.col("seq"))).alias("stop_at"),
     )
@@ -68,16 +69,8 @@ def stream_chunks(stream: DataFrame, gap: str = "10 minutes", late: str = "10 mi
         lambda x: (F.col("stop_at").isNull() | (x.seq < F.col("stop_at"))),
     )
     return grouped.select(
-        "id", "part", F.col("session_window.start").alias("started"),
+        "id", F.col("session_window.start").alias("started"),
         F.array_join(F.transform(kept, lambda x: x.content), "").alias("content"),
         F.size(kept).cast("long").alias("chunks"),
         F.col("stop_at").isNotNull().alias("finished"),
     )
-
-
-def drop_late_parts(parts: DataFrame) -> DataFrame:
-    """Closed parts of replies (a batch) without those after a finished part."""
-    last = parts.where("finished").groupBy("id").agg(F.min("part").alias("__last"))
-    return join_on(parts, last, ["id"], "left").where(
-        F.col("__last").isNull() | (F.col("part") <= F.col("__last"))
-    ).drop("__last")

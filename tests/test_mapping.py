@@ -4,7 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sheetloom.dictionary import LOGISTICS
+from sheetloom.dictionary import ENGLISH, LOGISTICS
 from sheetloom.operators import mapping as mp
 from sheetloom.operators import matching as mt
 from sheetloom.operators.classify import classify
@@ -207,3 +207,23 @@ def test_prompts_hold_the_leading_rows(spark):
     df = spark.createDataFrame([("s", i, f"v{i}") for i in range(10)], "g string, i int, v string")
     row = mp.build_prompts(df, "g", "i", "D: {excel_data}", n=2).first()
     assert row.prompt == 'D: [{"i":0,"v":"v0"}, {"i":1,"v":"v1"}]' and row.sample_rows == 2
+
+
+def test_assignment_with_repeated_names(spark):
+    """Many columns of one name leave the next name to the next field."""
+    fields = ENGLISH.fields[:2]
+    rows = [("s", i, f.name, "a", pos, 0.9) for i, f in enumerate(fields) for pos in range(16)]
+    rows += [("s", 1, fields[1].name, "b", 16, 0.5)]
+    scores = spark.createDataFrame(
+        rows, "sheet_id string, std_pos int, std_field string, column string, col_pos int, score double")
+    got = {r.std_field: r.column for r in mt.assign_greedy(scores, ENGLISH).collect() if r.column}
+    assert got == {fields[0].name: "a", fields[1].name: "b"}
+
+
+def test_long_whole_numbers_are_int(spark):
+    from pyspark.sql import functions as F
+
+    from sheetloom.functions.exprs import text_kind
+
+    df = spark.createDataFrame([("1234567890123456789",), ("20240101000000000001",), ("1.5",)], "t string")
+    assert [r.k for r in df.select(text_kind(F.col("t")).alias("k")).collect()] == ["int", "int", "float"]

@@ -37,6 +37,18 @@ def test_events_and_chunks(spark):
     assert [p.content for p in parts] == ["He", "llo", ""]
 
 
+def test_json_with_a_tail_is_no_json(spark):
+    from sheetloom.functions.exprs import one_json_value
+
+    good = ['{"a": 1}', " [1, 2] ", '"x"', "{}", '{"a": {"b": [1]}}']
+    bad = ['{"a": 1} x', '{"a": 1}{"b": 2}', '{"a": 1}, {"b": 2}', '{"a": 1}, "b": 2', "{", "", None, "1] , [2"]
+    df = spark.createDataFrame([(x,) for x in good + bad], "t string")
+    kept = {r.t for r in df.where(one_json_value(F.col("t")).isNotNull()).collect()}
+    assert kept == set(good)
+    line = 'data: {"data": {"id": "x", "content": "c", "finishReason": "null"}} {"more": 1}'
+    assert cv.decode_events(spark.createDataFrame([(line,)], "line string")).count() == 0
+
+
 def test_hot_reply_is_whole(spark):
     df = spark.range(9000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("id"),
@@ -50,7 +62,12 @@ def test_hot_reply_is_whole(spark):
 def test_long_conversation_comes_in_parts(spark):
     df = spark.range(2500).select(F.lit("c").alias("conv"), F.col("id").alias("turn"),
                                   F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
-    parts = cv.assemble_messages(df, "conv", "turn").orderBy("part").collect()
+    (whole,) = cv.assemble_messages(df, "conv", "turn").collect()
+    assert whole.message_count == 2500 and whole.messages[2499].text == "2499"
+    times = df.withColumn("turn", F.col("turn") * 977)
+    assert [r.position for r in cv.long_messages(times, "conv", "turn").orderBy("turn").collect()] == list(range(2500))
+    df = times
+    parts = cv.assemble_messages(df, "conv", "turn", part_size=1024).orderBy("part").collect()
     assert [p.message_count for p in parts] == [1024, 1024, 452]
     assert parts[1].messages[0].text == "1024"
     assert cv.last_message(df, "conv", "turn").first().last_text == "2499"
@@ -96,7 +113,7 @@ def test_stream_equals_batch(spark, tmp_path):
     e = events(spark)
     e.write.parquet(str(tmp_path / "ev"))
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ev"))
-    drain(live.stream_step_status(stream), "live_steps", "complete", str(tmp_path / "c"))
+    drain(live.stream_step_status(stream, live.UNBOUNDED), "live_steps", "complete", str(tmp_path / "c"))
     key = lambda rows: sorted(map(str, rows))
     batch = rl.step_status(e)
     assert key(spark.table("live_steps").select(*batch.columns).collect()) == key(batch.collect())
@@ -124,9 +141,6 @@ def test_stream_chunks(spark, tmp_path):
     drain(live.stream_chunks(stream), "live_chunks", "append", str(tmp_path / "c"))
     got = {r.id: (r.content, r.finished) for r in spark.table("live_chunks").collect()}
     assert got == {"a": ("Hello", True), "b": ("Hi", False)}
-    drain(live.stream_chunks(stream, part_size=1), "live_parts", "append", str(tmp_path / "c1"))
-    kept = live.drop_late_parts(spark.table("live_parts").where("id = 'a'")).orderBy("part").collect()
-    assert [(r.part, r.content) for r in kept] == [(0, "He"), (1, "llo"), (2, "")]
 
 
 def test_stream_validation_appends_per_batch(spark, tmp_path):
@@ -136,3 +150,22 @@ def test_stream_validation_appends_per_batch(spark, tmp_path):
     check = lambda b: b.where("v < 0").select("sheet_id", F.lit("negative").alias("code"))
     live.stream_validation(stream, check, str(tmp_path / "h"), str(tmp_path / "c")).awaitTermination()
     assert [r.code for r in src.read_history(spark, str(tmp_path / "h")).collect()] == ["negative"]
+
+
+def test_history_survives_a_fresh_start(spark, tmp_path):
+    df = spark.createDataFrame([("s", -1)], "sheet_id string, v int")
+    df.write.parquet(str(tmp_path / "in"))
+    check = lambda b: b.where("v < 0").select("sheet_id", F.lit("negative").alias("code"))
+    for start in ("c1", "c2"):
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        live.stream_validation(stream, check, str(tmp_path / "h"), str(tmp_path / start)).awaitTermination()
+    runs = src.read_history(spark, str(tmp_path / "h"))
+    assert runs.count() == 2 and runs.select("run_id").distinct().count() == 2
+    assert dict(runs.dtypes)["run_id"] == "string"
+
+
+def test_events_of_one_instant(spark):
+    rows = [("r", "s", e, "2024-01-01 00:00:00", None) for e in ("completed", "started")]
+    for part in (rows, rows[::-1]):
+        df = spark.createDataFrame(part, "run_id string, step string, event string, ts string, error string")
+        assert rl.step_status(df).first().status == "completed"
