@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -130,13 +131,24 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(" \t\n\r\f\v"))
 
 
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　³²"
-_NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " 32"
+def _compatible(first: int, last: int) -> dict[str, str]:
+    """Characters with another compatibility form (NFKC), by rule."""
+    forms = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(first, last + 1)}
+    return {c: n for c, n in forms.items() if n != c}
+
+
+_FORMS = _compatible(0xA0, 0xBF) | _compatible(0x2000, 0x33FF) | _compatible(0xFF01, 0xFFEE)
+_SINGLE = {c: n for c, n in _FORMS.items() if len(n) == 1}
+#: Units, numerals in circles, fractions and the like, which become several characters.
+_SEVERAL = {c: n for c, n in _FORMS.items() if len(n) > 1}
 
 
 def fold_width(text: Column) -> Column:
-    """Full-width forms and small powers to ASCII, without leaving the JVM."""
-    return F.translate(text, _WIDE, _NARROW)
+    """Compatibility forms (full width, powers, units, numerals) to plain ones, without leaving the JVM."""
+    plain = F.translate(text, "".join(_SINGLE), "".join(_SINGLE.values()))
+    forms = F.create_map(*[F.lit(x) for kv in _SEVERAL.items() for x in kv])
+    spelled = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(forms, c), c)), "")
+    return F.when(plain.rlike("[" + "".join(_SEVERAL) + "]"), spelled).otherwise(plain)
 
 
 def normalized_name(name: Column) -> Column:

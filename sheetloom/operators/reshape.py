@@ -177,8 +177,9 @@ def detect_header_row(cells: DataFrame, scan: int = 10) -> DataFrame:
 def dedupe_headers(headers: DataFrame) -> DataFrame:
     """Trim, name blanks, and number repeats ``_1``, ``_2`` in column order.
 
-    A numbered name may meet an existing header (``a, a, a_1``); one further
-    pass numbers the later column again.
+    A numbered name may meet an existing header (``a, a, a_1``); a further pass
+    numbers the later column again, and what still meets another name takes the
+    first free number.
     """
     base = F.when(
         F.col("header").isNull() | (strip(F.col("header")) == ""), F.lit(BLANK_HEADER)
@@ -196,7 +197,23 @@ def _number_repeats(df: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def _settle(df: DataFrame) -> DataFrame:
-    return _number_repeats(df, "column", "column")
+    """Names unique per sheet; a sheet's headers fit one row."""
+    again = _number_repeats(df, "column", "column")
+    others = [c for c in again.columns if c not in ("sheet_id", "col_no", "column")]
+
+    def free(taken: Column, name: Column) -> Column:
+        numbers = F.sequence(F.lit(1), F.size(taken) + 1)
+        numbered = F.transform(numbers, lambda k: F.concat_ws("_", name, k.cast("string")))
+        first = F.get(F.filter(numbered, lambda n: ~F.array_contains(taken, n)), 0)
+        return F.when(F.array_contains(taken, name), first).otherwise(name)
+
+    packed = again.groupBy("sheet_id").agg(F.array_sort(F.collect_list(
+        F.struct("col_no", "column", *[q(c) for c in others]))).alias("__h"))
+    names = F.aggregate("__h", F.array().cast("array<string>"),
+                        lambda taken, x: F.concat(taken, F.array(free(taken, x["column"]))))
+    rows = packed.withColumn("__n", names).select("sheet_id", F.inline(F.transform("__h", lambda x, i: F.struct(
+        x["col_no"].alias("col_no"), F.get("__n", i).alias("column"), *[x[c].alias(c) for c in others]))))
+    return rows.select(*[q(c) for c in again.columns])
 
 
 def promote_header(cells: DataFrame, header_rows: DataFrame, cut: bool = True) -> DataFrame:

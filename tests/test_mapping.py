@@ -227,3 +227,14 @@ def test_long_whole_numbers_are_int(spark):
 
     df = spark.createDataFrame([("1234567890123456789",), ("20240101000000000001",), ("1.5",)], "t string")
     assert [r.k for r in df.select(text_kind(F.col("t")).alias("k")).collect()] == ["int", "int", "float"]
+
+
+def test_compatibility_forms(spark):
+    import unicodedata
+
+    from sheetloom.functions.exprs import fold_width
+
+    names = ["体积㎥", "重量㎏", "面积㎡", "①号", "Ⅱ型", "ＡＢＣ　１", "a½b³", "plain", "", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r.f for r in df.select(fold_width(F.col("n")).alias("f")).collect()]
+    assert got == [n and unicodedata.normalize("NFKC", n) for n in names]

@@ -105,3 +105,13 @@ def test_repeated_run_does_not_double_history(spark, tmp_path):
     history = src.read_history(spark, path)
     assert history.count() == 2
     assert [r.run_id for r in src.latest_history(history).collect()] == ["r2"]
+
+
+def test_chained_header_repeats(spark):
+    from sheetloom.operators import reshape
+
+    headers = spark.createDataFrame(
+        [("s", i, h) for i, h in enumerate(["a", "a", "a_1", "a_1_1", " ", None, "b"])],
+        "sheet_id string, col_no int, header string")
+    names = [r["column"] for r in reshape.dedupe_headers(headers).orderBy("col_no").collect()]
+    assert len(set(names)) == 7 and names[:4] == ["a", "a_1", "a_1_1", "a_1_1_1"]
