@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from sheetloom.llm.base import keep
 
 
+#: Members of a large group whose pairs one task handles.
+SHARE = 512
+
+
+def spread(members: DataFrame, group: str, member: str) -> tuple[DataFrame, DataFrame]:
+    """Two copies of ``members`` whose join on (``group``, ``share``) pairs each group's members as a join on
+    ``group`` would, with a large group's pairs dealt to one share for every SHARE members of the first copy."""
+    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    sized = members.join(sizes, group)
+    first = sized.withColumn("share", F.pmod(F.xxhash64(member), "shares").cast("int")).drop("shares")
+    second = sized.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    return first, second
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id each linked id can reach; links are (a, b) of longs, a <> b.
 

@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from sheetloom.functions.exprs import ident
 from sheetloom.llm.base import add_columns, keep, picked, ready, table
-from sheetloom.llm.graph import components
+from sheetloom.llm.graph import components, spread
 from sheetloom.llm.text import Texts, mix, slices, window_hashes
 
 WORDS = 4
@@ -307,9 +307,9 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     split = (members.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .where("lo <> hi").select("family"))
     apart = keep(members.join(split, "family", "left_semi").join(sketches, "class"))
-    sides = [apart.select("family", *[F.col(c).alias(f"{x}_{c}") for c in ("component", "size", "sketch")],
-                          F.col("class").alias(x)) for x in ("a", "b")]
-    cross = keep(sides[0].join(sides[1], "family").where((F.col("a_component") < F.col("b_component")) & possible)
+    sides = [df.select("family", "share", *[F.col(c).alias(f"{x}_{c}") for c in ("component", "size", "sketch")],
+                       F.col("class").alias(x)) for x, df in zip("ab", spread(apart, "family", "class"))]
+    cross = keep(sides[0].join(sides[1], ["family", "share"]).where((F.col("a_component") < F.col("b_component")) & possible)
                  .select("a", "b"))
     if tried is not None:
         both_ways = tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -228,7 +228,11 @@ def dedup_by_hand(source, rows):
 def test_line_dedup(spark, docs, monkeypatch):
     from pyspark.sql import functions as F
 
+    from sheetloom.llm import graph
+
     monkeypatch.setattr(lines, "SMALL", 6)  # both ways of comparing buckets
+    monkeypatch.setattr(lines, "ROUNDS", 1)
+    monkeypatch.setattr(graph, "SHARE", 3)
     rng = random.Random(11)
     pool = [" ".join(f"w{rng.randrange(900)}" for _ in range(rng.choice([1, 3, 6, 12, 30]))) for _ in range(25)]
     hot = " ".join(f"h{rng.randrange(900)}" for _ in range(60)).split()
