@@ -9,13 +9,11 @@ agree, so the hash of each pair of pieces is a signature.  n1 = k // 2 + 2 makes
 two such parts certain, so signatures of empty pieces are left out unless a set
 has several parts that could only give those.  No similar pair is missed.
 
-Each set is first compared with the one it shares most signatures with among the
-smallest ids of its signatures, for a few rounds as long as that joins components:
-a group of copies costs a comparison each.  Sets that share signatures directly or
-through others are a family; only those of different components in a family remain
-to be told apart.  A parity sketch (bits that change with every differing shingle)
-bounds their distance from below inside the join, and what it can't rule out is
-compared.  Comparisons are exact, on sets of 64-bit shingle hashes.
+Sets that share signatures directly or through others are a family.  All pairs of
+different sets in a family are compared: its members are dealt to shares, and a task
+counts the common shingles of two shares at a time by products of 0/1 matrices.  It
+returns the number of links of each set and enough edges to join what is linked, so
+no pair is ever written.  Comparisons are exact, on sets of 64-bit shingle hashes.
 
 Null or empty text, or one without words: an empty set, linked with nothing.
 Fewer words than a shingle: the whole sequence is one.  Rows with the same id
@@ -28,14 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sheetloom.functions.exprs import ident
+from sheetloom.llm import graph
 from sheetloom.llm.base import add_columns, keep, picked, ready, table
-from sheetloom.llm.graph import components, spread
+from sheetloom.llm.graph import components
 from sheetloom.llm.text import Texts, mix, slices, window_hashes
 
 WORDS = 4
@@ -43,11 +42,15 @@ WORDS = 4
 SIMILARITY = (85, 100)
 SPARE = 1
 
-#: Rounds of one comparison per set before the rest of a family is joined.
-ROUNDS = 3
+#: Not used any more: all pairs of a family are compared in one round.
+ROUNDS = 1
+#: Shingles of a share, about; what a task holds is two shares.
+SHARE_SHINGLES = 1 << 20
+#: Shingles (columns) of one matrix product.
+COLUMNS = 4096
 
 SETS = T.StructType([T.StructField("size", T.LongType()), T.StructField("h1", T.LongType()),
-                     T.StructField("h2", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+                     T.StructField("h2", T.LongType())])
 _SALT1, _SALT2 = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -106,44 +109,18 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
-def parity_sketch(shingles: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
-    """Bits, each the parity of the shingles that fall on it: about four for each shingle that may differ."""
-    p, q = similarity
-    most = 2 * len(shingles) * (q - p) // (q + p)
-    bits = 1 << max(8, (4 * most).bit_length())
-    spread = mix(shingles ^ _SALT2)
-    odd = np.bincount((spread & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
-
-
-def sketch_distance(x: Column, y: Column) -> Column:
-    """Bits that differ; a sketch twice or four times as long is folded first."""
-
-    def fold(a: Column) -> Column:
-        half = (F.size(a) / 2).cast("int")
-        return F.zip_with(F.slice(a, 1, half), F.slice(a, half + 1, half), lambda u, v: u.bitwiseXOR(v))
-
-    def to(a: Column, n: Column) -> Column:
-        return F.when(F.size(a) <= n, a).when(F.size(a) <= 2 * n, fold(a)).otherwise(fold(fold(a)))
-
-    n = F.least(F.size(x), F.size(y))
-    changed = F.zip_with(to(x, n), to(y, n), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
-    return F.aggregate(changed, F.lit(0), lambda a, v: a + F.coalesce(v, F.lit(0)))
-
-
-def set_columns(docs: DataFrame, text: str, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """``docs`` with the size of each set, two hashes of it and its sketch."""
+def set_columns(docs: DataFrame, text: str, words: int) -> DataFrame:
+    """``docs`` with the size of each set and two hashes of it."""
 
     def make():
         def run(column):
-            size, h1, h2, sketch = [], [], [], []
+            size, h1, h2 = [], [], []
             for part in slices(column, lower=True):
                 for s in shingle_sets(part, words):
                     size.append(len(s))
                     h1.append(mix(s ^ _SALT1).sum().astype(np.int64))
                     h2.append(mix(s ^ _SALT2).sum().astype(np.int64))
-                    sketch.append(parity_sketch(s, similarity))
-            return [size, h1, h2, sketch]
+            return [size, h1, h2]
         return run
 
     return add_columns(docs, make, SETS, text)
@@ -206,118 +183,107 @@ def shared(rows: DataFrame) -> DataFrame:
             .mapInArrow(run, "sig long, id long, first long"))
 
 
-def linked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by exact intersection."""
+def block_links(share: np.ndarray, sets: list[np.ndarray], similarity: tuple[int, int]) -> np.ndarray:
+    """Which of ``sets`` are similar, as a symmetric matrix: all pairs of one share, or those between two."""
     p, q = similarity
+    size = np.array([len(x) for x in sets])
+    asked = ~np.eye(len(sets), dtype=bool) if share.min() == share.max() else share[:, None] != share[None, :]
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = held[column] > 1  # what one set alone has is in no intersection
+    number = np.cumsum(held > 1) - 1
+    owner, column = owner[several], number[column[several]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.int64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, (start, start + COLUMNS))
+        width = int(column[hi - 1]) - start + 1
+        has = np.zeros((len(sets), width), np.float32)  # sums of at most COLUMNS ones are exact
+        has[owner[lo:hi], column[lo:hi] - start] = 1
+        both += (has @ has.T).astype(np.int64)
+    return asked & (q * both >= p * (size[:, None] + size[None, :] - both))
+
+
+def joining(link: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (first, other) that connect the rows of a link matrix as its links do."""
+    left, out = np.ones(len(link), bool), []
+    for r in range(len(link)):
+        if not left[r]:
+            continue
+        left[r] = False
+        found = np.array([r])
+        while len(found):
+            found = np.flatnonzero(link[found].any(0) & left)
+            left[found] = False
+            out += [(r, int(x)) for x in found]
+    return out
+
+
+def family_links(members: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b, links) from ``members`` (family, class, size): edges (a <> b) that join what is linked, and numbers of
+    links of a = b, to be added up.  Texts travel, not sets: they are compressed to a fraction of the hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep_rows = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum()) if len(y) else 0
-                keep_rows.append(q * both >= p * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep_rows)) for i in (0, 1)],
-                                             names=["a", "b"])
-
-    x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of the documents in ``ids``: sorted 64-bit hashes."""
+        key, share, name, held = None, [], [], []
+
+        def done():
+            if len(held) < 2:
+                return []
+            link, ids = block_links(np.array(share), held, similarity), np.array(name)
+            n = link.sum(1)
+            some = np.flatnonzero(n)
+            edges = np.array(joining(link), np.int64).reshape(-1, 2)
+            return [pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate((ids[edges[:, 0]], ids[some]))),
+                 pa.array(np.concatenate((ids[edges[:, 1]], ids[some]))),
+                 pa.array(np.concatenate((np.zeros(len(edges), np.int64), n[some])))], names=["a", "b", "links"])]
 
-    def make():
-        def run(column):
-            return [pa.array([s.astype("<u8").tobytes() for part in slices(column, lower=True)
-                              for s in shingle_sets(part, words)], pa.binary())]
-        return run
-
-    needed = docs.join(ids, "id", "left_semi").dropDuplicates(["id"])
-    return add_columns(needed, make, T.StructType([T.StructField("shingles", T.BinaryType())]), "text").drop("text")
+        for batch in batches:
+            sets = [x for part in slices(batch.column(5), lower=True) for x in shingle_sets(part, words)]
+            for *block, s, c, x in zip(*[col.to_pylist() for col in batch.columns[:5]], sets):
+                if block != key:
+                    yield from done()
+                    key, share, name, held = block, [], [], []
+                share.append(s)
+                name.append(c)
+                held.append(x)
+        yield from done()
+
+    shares = F.ceil(F.greatest(F.count("*") / graph.SHARE, F.sum("size") / SHARE_SHINGLES)).cast("int")
+    dealt = members.join(members.groupBy("family").agg(shares.alias("shares")), "family")
+    dealt = dealt.withColumn("share", F.pmod(F.xxhash64("class"), "shares").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
+    blocks = (dealt.select("family", "class", "share", other.alias("other"))
+              .select("family", F.least("share", "other").alias("i"), F.greatest("share", "other").alias("j"),
+                      "share", "class"))
+    rows = blocks.join(texts.withColumnRenamed("id", "class"), "class").select(*blocks.columns, "text")
+    return (rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+            .mapInArrow(run, "a long, b long, links long"))
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
                    similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(key, size, component, links): one row per row of ``docs``; ``links`` counts found links of its set."""
+    """(key, size, component, links): one row per row of ``docs``; ``links`` counts the different sets similar to its set."""
     ready(docs.sparkSession)
-    p, q = similarity
     source = docs.select(F.col(ident(key)).cast("long").alias("id"), F.col(ident(text)).alias("text"))
-    rows = keep(set_columns(source, "text", words, similarity).drop("text"))
+    rows = keep(set_columns(source, "text", words).drop("text"))
     there = rows.where("id IS NOT NULL AND size > 0")
-    classes = keep(there.groupBy("size", "h1", "h2").agg(F.min("id").alias("class"), F.first("sketch").alias("sketch")))
-    named = keep(there.select("id", "size", "h1", "h2").join(classes.drop("sketch"), ["size", "h1", "h2"])
+    classes = keep(there.groupBy("size", "h1", "h2").agg(F.min("id").alias("class")))
+    named = keep(there.select("id", "size", "h1", "h2").join(classes, ["size", "h1", "h2"])
                  .select("id", "class").distinct())
-    sketches = classes.select("class", "size", "sketch")
-
-    def with_sketch(pairs: DataFrame) -> DataFrame:
-        for x in ("a", "b"):
-            pairs = pairs.join(sketches.select(F.col("class").alias(x), F.col("size").alias(f"{x}_size"),
-                                               F.col("sketch").alias(f"{x}_sketch")), x)
-        return pairs
-
-    sizes = F.col("a_size") + F.col("b_size")
-    possible = ((p * F.greatest("a_size", "b_size") <= q * F.least("a_size", "b_size"))
-                & ((p + q) * sketch_distance(F.col("a_sketch"), F.col("b_sketch")) <= (q - p) * sizes))
 
-    held = shared(signature_rows(source.where("id IS NOT NULL"), words, similarity))
-    # how many signatures a set shares with the first of each
-    votes = keep(held.where("id <> first").groupBy("id", "first").agg(F.count("*").alias("n")))
+    held = shared(signature_rows(source.where("id IS NOT NULL"), words, similarity)).where("id <> first")
     of = {x: named.select(F.col("id").alias(x), F.col("class").alias(f"{x}_class")) for x in ("id", "first")}
-    star = keep(votes.join(of["id"], "id").join(of["first"], "first")
-                .select(F.col("id_class").alias("a"), F.col("first_class").alias("b"), "n").where("a <> b")
-                .groupBy("a", "b").agg(F.max("n").alias("n")))
-    hopeful = keep(with_sketch(star).where(possible).select("a", "b", "n"))
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
-        return keep(linked(pairs, keep(sets_of(source, ids, words)), similarity))
-
-    def labelled(pairs: DataFrame, found: DataFrame) -> DataFrame:
-        for x in ("a", "b"):
-            pairs = pairs.join(found.select(F.col("id").alias(x), F.col("component").alias(f"{x}_c")), x, "left")
-        return pairs.withColumns({f"{x}_c": F.coalesce(f"{x}_c", x) for x in ("a", "b")})
-
-    links, tried, found = None, None, None
-    for _ in range(ROUNDS):
-        left = hopeful
-        if links is not None:
-            left = labelled(left.join(tried, ["a", "b"], "left_anti"), found).where("a_c <> b_c")
-        best = keep(left.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")))
-        if best.isEmpty():
-            break
-        new = compared(best)
-        links = new if links is None else keep(links.union(new))
-        tried = best if tried is None else keep(tried.union(best))
-        found = components(links)
-    if links is None:
-        links = keep(hopeful.select("a", "b"))
-        found = components(links)
-
-    # families that still hold several components
-    families = components(star.select("a", "b"))
+    star = (keep(held.select("id", "first").distinct()).join(of["id"], "id").join(of["first"], "first")
+            .select(F.col("id_class").alias("a"), F.col("first_class").alias("b")).where("a <> b"))
+    families = components(star)
     members = keep(families.select(F.col("id").alias("class"), F.col("component").alias("family"))
-                   .join(found.select(F.col("id").alias("class"), "component"), "class", "left")
-                   .withColumn("component", F.coalesce("component", "class")))
-    split = (members.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo <> hi").select("family"))
-    apart = keep(members.join(split, "family", "left_semi").join(sketches, "class"))
-    sides = [df.select("family", "share", *[F.col(c).alias(f"{x}_{c}") for c in ("component", "size", "sketch")],
-                       F.col("class").alias(x)) for x, df in zip("ab", spread(apart, "family", "class"))]
-    cross = keep(sides[0].join(sides[1], ["family", "share"]).where((F.col("a_component") < F.col("b_component")) & possible)
-                 .select("a", "b"))
-    if tried is not None:
-        both_ways = tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        cross = keep(cross.join(both_ways, ["a", "b"], "left_anti"))
-    every = keep(links.union(compared(cross)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                 .distinct())
-    final = components(every)
-    degree = every.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+                   .join(classes.groupBy("class").agg(F.max("size").alias("size")), "class"))
+    texts = source.join(members.select(F.col("class").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    found = keep(family_links(members, texts, words, similarity))
+    final = components(found.where("a <> b").select("a", "b"))
+    degree = found.where("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
     by_class = named.join(final.withColumnRenamed("id", "class"), "class", "left").join(degree, "class", "left") \
         .groupBy("id").agg(F.min(F.coalesce("component", "class")).alias("component"),
                            F.max(F.coalesce("links", F.lit(0))).alias("links"))
