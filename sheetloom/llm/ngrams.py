@@ -40,6 +40,9 @@ from sheetloom.llm.text import Texts, mix, slices, window_hashes
 WORDS = 4
 #: Similarity as a fraction of whole numbers.
 SIMILARITY = (85, 100)
+#: What the pipeline's stage takes.
+STAGE_WORDS = 5
+STAGE_SIMILARITY = (8, 10)
 SPARE = 1
 
 #: Not used any more: all pairs of a family are compared in one round.
@@ -293,8 +296,11 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
 
 
 def first_of_group_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest id (of rows with the same id, one)."""
-    groups = similar_groups(docs)
+    """One document of each group stays: that with the smallest id (of rows with the same id, one).
+
+    Near duplicates share four fifths of their runs of five words; the defaults are those of ``op1`` only.
+    """
+    groups = similar_groups(docs, words=STAGE_WORDS, similarity=STAGE_SIMILARITY)
     dropped = groups.where(F.col("key") != F.col("component")).select(F.col("key").alias("doc_id")).distinct()
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     kept = docs.join(dropped, "doc_id", "left_anti")

@@ -32,3 +32,22 @@ def test_links_are_all_links(docs, monkeypatch):
     expected = {i: len({sets[j] for j in of}) for i, of in linked(texts, 4, 85, 100).items()}
     assert max(expected.values()) >= 4
     assert {r.key: r.links for r in ngrams.similar_groups(docs(texts)).collect()} == expected
+
+
+def test_stage_takes_five_words_and_four_fifths(docs, spark):
+    texts = families(random.Random(9), (60, 200), (0, 0, 1, 2, 3, 5))
+    base = [f"u{i}" for i in range(200)]
+    texts |= {50: " ".join(base), 51: " ".join(base[:90] + [f"z{i}" for i in range(16)] + base[106:])}
+    near = linked(texts, 5, 8, 10)
+    assert 51 in near[50] and 51 not in linked(texts, 4, 85, 100)[50]
+    sets, stays = {i: shingles(t, 5) for i, t in texts.items()}, set()
+    for i in sorted(texts):
+        group, todo = {i}, [i]
+        while todo:
+            k = todo.pop()
+            new = (near[k] | {j for j in texts if sets[j] == sets[k]}) - group
+            group |= new
+            todo += new
+        if i == min(group):
+            stays.add(i)
+    assert {r.doc_id for r in ngrams.first_of_group_stage(spark, docs(texts), "").collect()} == stays
