@@ -3,7 +3,9 @@
 Each file is compared with short templates of known licences and headers.  Its
 candidates are windows of consecutive lines around a line that holds a word of
 licence language, so a notice inside a long text is judged by itself; the weight
-of a term is its inverse document frequency over all files.  The best template
+of a term of the templates is its inverse document frequency over all files, at
+most that of a term in one of ``RARE`` files, which is the weight of all other
+terms: scores depend on shares of files, not on their number.  The best template
 at or above ``THRESHOLD`` is the file's own licence.
 
 A file named like a licence file, or one that consists of nothing but its notice,
@@ -30,6 +32,8 @@ from sheetloom.functions.exprs import ident
 from sheetloom.llm.base import add_columns, keep, ready, table, words_of
 
 THRESHOLD = 0.5
+#: A term weighs as if at least one of so many files had it.
+RARE = 100
 #: Lines of a candidate window, at most.
 WINDOW = 4
 NOTICE_WORDS = 100
@@ -98,8 +102,8 @@ class Matcher:
         self.templates = [(name, self.vector(terms(t))) for name, t in TEMPLATES]
 
     def vector(self, found: list[str]) -> dict[str, float]:
-        """Sparse unit vector; terms of no template weigh as if one file had them."""
-        raw = {t: (1 + math.log(c)) * (1 + math.log((1 + self.n) / (1 + self.df.get(t, 1))))
+        """Sparse unit vector; rare terms, and those of no template, weigh as if one of RARE files had them."""
+        raw = {t: (1 + math.log(c)) * (1 + math.log((1 + self.n) / (1 + max(self.df.get(t, 1), self.n / RARE))))
                for t, c in Counter(found).items()}
         norm = math.sqrt(sum(w * w for w in raw.values()))
         return {t: w / norm for t, w in raw.items()} if norm else {}
