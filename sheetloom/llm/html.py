@@ -5,6 +5,9 @@ negative, by weights learned from labelled pages (those whose ``<article>`` or
 ``<main>`` element says where the text is), and one linear scan finds the
 contiguous stretch with the largest sum.  What stands inside it in an element
 that is never text (menus, forms, adverts, notices, comments ...) is left out.
+A word in class, id or role says so only if it stands alone there and the element
+holds neither ``<article>`` or ``<main>`` nor half of the page's words; as part of a
+name (``has-sidebar``) it only counts against the words, outside a labelled region.
 
 Weights are counted on a bounded sample of labelled pages (``sample``, by
 smallest hash of the id); each counts twice, with its label visible and hidden,
@@ -54,6 +57,45 @@ FIELDS = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_c
                        T.StructField("score", T.DoubleType())])
 
 
+def holders(page: str) -> set[int]:
+    """Starts of the tags whose elements hold ``<article>``, ``<main>`` or half of the page's words."""
+    stack: list[tuple[str, int, int, int]] = []  # tag, start, words and regions before it
+    out, spans = set(), []
+    words = regions = at = 0
+
+    def close(k):
+        for _, start, before, inner in stack[k:]:
+            if regions > inner:
+                out.add(start)
+            spans.append((start, words - before))
+        del stack[k:]
+
+    for m in _item.finditer(page):
+        words += len(page[at:m.start()].split())
+        at = m.end()
+        name = (m[3] or "").lower()
+        if not name:
+            continue
+        if m[2]:
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            if k is not None:
+                close(k)
+            continue
+        if name in SELF_CLOSING:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == name:
+                    close(k)
+                    break
+                if stack[k][0] in BLOCK:
+                    break
+        regions += name in REGION
+        if name not in VOID and not m[4].endswith("/"):
+            stack.append((name, m.start(), words, regions))
+    words += len(page[at:].split())
+    close(0)
+    return out | {start for start, n in spans if 2 * n >= words}
+
+
 def items(page: str):
     """(kind, value, role, inside): words with the role of their place, and tags.
 
@@ -62,15 +104,17 @@ def items(page: str):
     """
     low = page.lower()
     region = next((r for r in REGION if f"<{r}" in low), None)
-    stack: list[tuple[str, bool, bool]] = []  # tag, never text, inside the region
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, never text, inside the region, marked in part of a name
+    held = None
     at = 0
 
     def state():
-        return stack[-1][1:] if stack else (False, False)
+        return stack[-1][1:] if stack else (False, False, False)
 
     def text(chunk):
-        never, inside = state()
-        role = "never" if never else "link" if any(x[0] == "a" for x in stack[-4:]) else "text"
+        never, inside, marked = state()
+        link = any(x[0] == "a" for x in stack[-4:])
+        role = "never" if never else "link" if link else "marked" if marked and not inside else "text"
         return "text", html.unescape(chunk), role, inside
 
     for m in _item.finditer(page):
@@ -80,7 +124,7 @@ def items(page: str):
         name = (m[3] or "").lower()
         if not name:
             continue
-        never, inside = state()
+        never, inside, marked = state()
         if m[2]:
             yield "tag", name, "never" if never else "text", inside
             for k in range(len(stack) - 1, -1, -1):
@@ -95,16 +139,19 @@ def items(page: str):
                     break
                 if stack[k][0] in BLOCK:
                     break
-            never, inside = state()
+            never, inside, marked = state()
         inside = inside or name == region
         if not never:
             never = name in NEVER_TEXT
             if not never and m[4] and name not in ("html", "body", "article", "main"):
-                never = any(w in NEVER_WORDS for x in _marks.findall(m[4])
-                            for w in _split.split("".join(x).lower()))
+                names = [w for x in _marks.findall(m[4]) for w in "".join(x).lower().split()]
+                if any(w in NEVER_WORDS for x in names for w in _split.split(x)):
+                    held = holders(page) if held is None else held
+                    if m.start() not in held:
+                        never, marked = any(x in NEVER_WORDS for x in names), True
         yield "tag", name, "never" if never else "text", inside
         if name not in VOID and not m[4].endswith("/"):
-            stack.append((name, never, inside))
+            stack.append((name, never, inside, marked))
     if at < len(page):
         yield text(page[at:])
 
@@ -140,7 +187,7 @@ class Weights:
             inside, outside = self.counts.get(f"{key} 1", 0), self.counts.get(f"{key} 0", 0)
             kind, zone, what = key.split(" ", 2)
             # what was never seen: text counts as inside unless it is a link or outside a labelled region
-            prior = 0.95 if zone == "out" or what == "never" else 0.5 if what == "link" else 0.02
+            prior = 0.95 if zone == "out" or what == "never" else 0.5 if what in ("link", "marked") else 0.02
             out = (outside + 2 * prior) / (inside + outside + 2)
             if zone == "in" and what == "never":
                 score = 0.0  # left out below; it must not cut the text around it
