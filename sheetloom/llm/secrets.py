@@ -6,6 +6,7 @@ the symbol counts, number of runs above and below the alphabet's middle, and
 lag-1 serial correlation.  Fisher's method combines them.  Within each length
 band, over all documents, the Benjamini-Hochberg procedure at rate ``RATE``
 decides which strings are *not* random; the rest is reported as ``random``.
+A run that mixes the signs of base64 and base64url is tested in pieces.
 Bands keep short strings, on which the tests say little, from setting the limit
 for long ones.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,8 @@ _assign = re.compile(ASSIGN, re.I | re.A)
 _access = re.compile(r"AKIA[A-Z0-9]{14,}")
 _hex = re.compile(r"[0-9a-f]{16,}")
 _token = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+# pieces of a run that mixes the signs of both base64 alphabets
+_pieces = (re.compile(r"[A-Za-z0-9+/]{20,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{20,}={0,2}"))
 _letter, _digit = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
@@ -81,6 +85,16 @@ def encoding_of(token: str) -> tuple[str, list[int], int] | None:
     return None
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Spans to test: runs, and where a run's signs fit no encoding its pieces in the alphabets of base64 and base64url."""
+    for m in _token.finditer(text):
+        s, e = m.span()
+        if ("+" in m[0] or "/" in m[0]) and ("_" in m[0] or "-" in m[0]):
+            yield from sorted({(s + x.start(), s + x.end()) for part in _pieces for x in part.finditer(m[0])})
+        else:
+            yield s, e
+
+
 def _two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -139,9 +153,8 @@ def _kernel():
             found = base_spans(text)
             base.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
             own = []
-            for m in _token.finditer(text):
-                s, e = m.span()
-                coded = encoding_of(m[0])
+            for s, e in candidates(text):
+                coded = encoding_of(text[s:e])
                 if coded is None or len(coded[1]) < MIN_LENGTH or any(x <= s and e <= y for x, _, y in found):
                     continue
                 name, symbols, size = coded
