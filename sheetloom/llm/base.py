@@ -39,6 +39,28 @@ def picked(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(ident(c)) for c in cols])
 
 
+#: A key of more than one in so many rows is joined apart from the others.
+HOT = 1000
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join with ``right``, which has each key once, when a few keys may hold most rows of ``left``.
+
+    Keys that more than one row in ``HOT`` has, fewer than ``HOT`` by number, are looked up in a broadcast table and
+    don't move; the others are joined by a shuffle.  Rows with a null key get nulls.  Both sides should be tables.
+    """
+    total = left.count()
+    hot = keep(left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+               .where(F.col("__n") * HOT > total).select(key))
+    few = F.broadcast(keep(right.join(F.broadcast(hot), key, "left_semi")))
+    hot = F.broadcast(hot)
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name != key]
+    there = left.where(F.col(key).isNotNull())
+    return (there.join(hot, key, "left_anti").join(right.join(hot, key, "left_anti"), key, "left")
+            .unionByName(there.join(hot, key, "left_semi").join(few, key, "left"))
+            .unionByName(left.where(F.col(key).isNull()).select("*", *empty)))
+
+
 def words_of(text: Column) -> Column:
     """Number of words of a text, null as 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -17,9 +17,3 @@ def docs(spark):
             + "".join(f", {k} string" for k in more))
 
     return build
-
-
-def words(text):
-    import re
-
-    return re.findall(r"[^\x20\x09-\x0D]+", text or "")

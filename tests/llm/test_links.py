@@ -2,7 +2,7 @@
 
 import random
 
-from test_texts import shingles
+from by_hand import shingles
 
 from sheetloom.llm import graph, ngrams
 

@@ -5,15 +5,13 @@ import random
 import re
 from collections import Counter
 
-from conftest import words
+from by_hand import shingles, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sheetloom.llm import licenses, ngrams, quality, secrets
 from sheetloom.llm.text import slices
 
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
 
 def quality_by_hand(text):
     w = words(text)
@@ -91,11 +89,6 @@ def test_battery_tells_random_from_text():
     assert secrets.battery([i % 4 for i in range(40)], 16) < 1e-4
 
 
-def shingles(text, n=4):
-    w = words((text or "").translate(LOWER))
-    return frozenset(tuple(w[i:i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
-
-
 def groups_by_hand(texts):
     sets = {i: shingles(t) for i, t in texts.items()}
     root = {i: i for i in texts}

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import words
+from by_hand import words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
