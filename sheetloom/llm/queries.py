@@ -1,5 +1,5 @@
 """The registered queries of this subpackage and their SQL."""
 
-from sheetloom.llm import ann, audit, html, licenses, lines, mixing, ngrams, online, packing, quality, secrets, tokenfile
+from sheetloom.llm import align, ann, audit, html, licenses, lines, mixing, ngrams, online, packing, quality, secrets, tokenfile
 
-MODULES = (ngrams, ann, secrets, lines, mixing, quality, tokenfile, packing, licenses, html, audit, online)
+MODULES = (ngrams, ann, secrets, lines, mixing, quality, tokenfile, packing, licenses, html, audit, online, align)
