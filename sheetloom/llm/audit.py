@@ -142,7 +142,7 @@ def steps(k: int) -> list[tuple[int, int]]:
 
 
 def postings(flags: DataFrame, k: int) -> DataFrame:
-    """(part, n, lists, good, toxic): sorted lists of row numbers for each part and range of ``flags``
+    """(part, range, n, lists, good, toxic): sorted lists of row numbers for each part and range of ``flags``
     (part, row, failed, good, toxic)."""
 
     def held(when: Column) -> Column:
@@ -152,7 +152,7 @@ def postings(flags: DataFrame, k: int) -> DataFrame:
     grouped = flags.groupBy("part", F.shiftright("row", RANGE).alias("range")).agg(
         F.count("*").alias("n"), *[held(b).alias(f"fail{f}") for f, b in enumerate(bit)],
         held(F.col("good")).alias("good"), held(F.col("toxic")).alias("toxic"))
-    return grouped.select("part", "n", F.array(*[f"fail{f}" for f in range(k)]).alias("lists"), "good", "toxic")
+    return grouped.select("part", "range", "n", F.array(*[f"fail{f}" for f in range(k)]).alias("lists"), "good", "toxic")
 
 
 def sizes(posted: DataFrame, k: int) -> DataFrame:
@@ -181,7 +181,10 @@ def sizes(posted: DataFrame, k: int) -> DataFrame:
         if held:
             yield flush()
 
-    return posted.mapInArrow(run, "part string, n long, seen int, filter int, gone long, removed long, good long, toxic long")
+    # lists are small for the work they give, so they are dealt by number, not by size
+    tasks = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = posted.repartition(tasks, "part", "range").drop("range")
+    return dealt.mapInArrow(run, "part string, n long, seen int, filter int, gone long, removed long, good long, toxic long")
 
 
 def audit(flags: DataFrame, filters: str = FILTERS) -> DataFrame:
