@@ -21,6 +21,7 @@ from sheetloom.operators import reshape as rs
 from sheetloom.operators.profiling import profile_cells
 from sheetloom.plans.onboarding import repair_headers
 from sheetloom.plans.lineage import shared_folder
+from sheetloom.sources import cells as cl
 from sheetloom.sources import sheets as src
 
 QUERIES: dict = {}
@@ -45,9 +46,73 @@ def scratch(spark, name: str) -> str:
 
 
 @query("read_sheets", """SELECT 'orders.parquet' AS sheet_id, o_orderkey, o_custkey, o_orderstatus, o_totalprice,
-  o_orderpriority FROM orders""")
+  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders""")
 def _(spark, d):
-    return src.read_sheets(spark, f"{d}/orders.parquet", "parquet").drop("o_orderdate")
+    return src.read_sheets(spark, f"{d}/orders.parquet", "parquet").withColumn(
+        "o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+
+
+#: two folders of files with the same name, columns in another order, and one that lacks a column
+def csv_folder(spark, d: str) -> str:
+    root = scratch(spark, "csv")
+    c = table(spark, d, "customer")
+    money = F.when(F.col("c_custkey") % 7 != 0, F.concat(F.lit("a, "), F.lit('"'), F.col("c_name"), F.lit('"')))
+    note = money.alias("note, of")
+    for name, part in (("east 1+2%/订单", c.where("c_nationkey < 12").select("c_custkey", note, "c_mktsegment")),
+                       ("west/订单", c.where("c_nationkey >= 12").select("c_mktsegment", "c_nationkey", "c_custkey"))):
+        part.write.option("header", "true").option("escape", '"').csv(f"{root}/{name}")
+    return root
+
+
+CSV_SHEETS = """sheets AS (
+  SELECT 'east 1+2%/订单' AS folder, c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN 'a, "' || c_name || '"' END AS note,
+         c_mktsegment, NULL AS c_nationkey FROM customer WHERE c_nationkey < 12
+  UNION ALL SELECT 'west/订单', c_custkey, NULL, c_mktsegment, c_nationkey FROM customer WHERE c_nationkey >= 12)"""
+
+
+def folder(c: str = "sheet_id"):
+    return F.regexp_replace(c, "/[^/]*$", "")
+
+
+@query("read_sheets_csv", f"""WITH {CSV_SHEETS} SELECT folder, c_custkey, note, c_mktsegment, c_nationkey FROM sheets""")
+def _(spark, d):
+    schema = "c_custkey bigint, `note, of` string, c_mktsegment string, c_nationkey int"
+    return src.read_sheets(spark, csv_folder(spark, d), "csv", schema).select(
+        folder().alias("folder"), "c_custkey", F.col("`note, of`").alias("note"), "c_mktsegment", "c_nationkey")
+
+
+@query("read_cells", f"""WITH {CSV_SHEETS}, cells AS (
+  SELECT folder, 0 AS col_no, 'c_custkey' AS "column", CAST(c_custkey AS VARCHAR) AS raw, 'int' AS kind FROM sheets
+    WHERE folder LIKE 'east%'
+  UNION ALL SELECT folder, 1, 'note, of', note, CASE WHEN note IS NULL THEN 'null' ELSE 'text' END FROM sheets
+    WHERE folder LIKE 'east%'
+  UNION ALL SELECT folder, 2, 'c_mktsegment', c_mktsegment, 'text' FROM sheets WHERE folder LIKE 'east%'
+  UNION ALL SELECT folder, 0, 'c_mktsegment', c_mktsegment, 'text' FROM sheets WHERE folder LIKE 'west%'
+  UNION ALL SELECT folder, 1, 'c_nationkey', CAST(c_nationkey AS VARCHAR), 'int' FROM sheets WHERE folder LIKE 'west%'
+  UNION ALL SELECT folder, 2, 'c_custkey', CAST(c_custkey AS VARCHAR), 'int' FROM sheets WHERE folder LIKE 'west%')
+SELECT folder, col_no, "column", raw, kind, count(*) AS n FROM cells GROUP BY ALL""")
+def _(spark, d):
+    found = cl.read_cells(spark, csv_folder(spark, d), pathGlobFilter="*.csv")
+    return found.groupBy(folder().alias("folder"), "col_no", "column", "raw", "kind").agg(F.count("row_no").alias("n"))
+
+
+#: records whose keys differ: two kinds of events leave out one each
+@query("read_cells_json", """WITH r AS (
+  SELECT event_type, event_id, CASE WHEN event_type <> 'error' THEN user_id END AS user_id,
+         CASE WHEN event_type <> 'click' THEN event_type || ' "x", ' || user_id END AS note FROM events)
+SELECT event_type, c AS "column", raw, kind, count(*) AS n FROM (
+  SELECT event_type, 'event_id' AS c, CAST(event_id AS VARCHAR) AS raw, 'int' AS kind FROM r
+  UNION ALL SELECT event_type, 'user_id', CAST(user_id AS VARCHAR), 'int' FROM r WHERE event_type <> 'error'
+  UNION ALL SELECT event_type, 'note', note, 'text' FROM r WHERE event_type <> 'click') x GROUP BY ALL""")
+def _(spark, d):
+    e = table(spark, d, "events")
+    note = F.concat(F.col("event_type"), F.lit(' "x", '), F.col("user_id").cast("string"))
+    path = scratch(spark, "records") + "/events"
+    src.write_json(e.select("event_type", "event_id", F.when(F.col("event_type") != "error", F.col("user_id")).alias("user_id"),
+                            F.when(F.col("event_type") != "click", note).alias("note")), path, "event_type")
+    found = cl.read_cells(spark, path, "json", pathGlobFilter="*.json")
+    return found.groupBy(F.regexp_extract("sheet_id", "event_type=([^/]*)", 1).alias("event_type"), "column", "raw",
+                         "kind").agg(F.count("row_no").alias("n"))
 
 
 @query("read_sheets_json", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -69,11 +134,45 @@ def _(spark, d):
     return src.columnar_to_rows(lists, keep=["vec_id"])
 
 
-@query("file_inventory", """SELECT t AS file_name, n AS row_count, CAST(c AS INT) AS column_count FROM (
-  SELECT 'orders.parquet' AS t, count(*) AS n, 6 AS c FROM orders)""")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+          "pages", "benchmark", "labels", "conversations")
+
+
+@query("file_inventory", "WITH n AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in TABLES) + """)
+SELECT t || '.parquet' AS file_name, t || '.parquet' AS sheet_id, n AS row_count, CAST(count(*) AS INT) AS column_count,
+       string_agg(column_name, ',' ORDER BY ordinal_position) AS columns
+FROM n JOIN information_schema.columns c ON c.table_name = t GROUP BY t, n""")
+def _(spark, d):
+    return src.file_inventory(spark, d, "*.parquet").select(
+        "file_name", "sheet_id", "row_count", "column_count", F.array_join("columns", ",").alias("columns"))
+
+
+@query("file_inventory_csv", f"""WITH {CSV_SHEETS} SELECT folder, CAST(count(*) AS BIGINT) AS row_count,
+  CASE WHEN folder LIKE 'east%' THEN 'c_custkey|note, of|c_mktsegment' ELSE 'c_mktsegment|c_nationkey|c_custkey' END
+  AS columns FROM sheets GROUP BY folder""")
+def _(spark, d):
+    found = src.file_inventory(spark, csv_folder(spark, d), "*.csv", "csv")
+    return found.groupBy(folder().alias("folder"), F.array_join("columns", "|").alias("columns")).agg(
+        F.sum("row_count").alias("row_count"))
+
+
+#: payloads with unlike columns: a list per kind of event, keys that differ by user, an entry that is no list
+@query("payload_cells", """WITH u AS (SELECT user_id, event_type, event_id, row_number() OVER (
+    PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS i FROM events),
+cols AS (SELECT user_id, event_type, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) - 1 AS col_no,
+    count(*) AS n FROM events GROUP BY user_id, event_type),
+size AS (SELECT user_id, max(n) AS rows FROM cols GROUP BY user_id)
+SELECT CAST(c.user_id AS VARCHAR) AS sheet_id, r.i AS row_no, CAST(c.col_no AS INT) AS col_no, c.event_type AS "column",
+  CAST(u.event_id AS VARCHAR) AS raw, CASE WHEN u.event_id IS NULL THEN 'null' ELSE 'int' END AS kind
+FROM cols c JOIN size s USING (user_id) JOIN range(0, 100000) r(i) ON r.i < s.rows
+LEFT JOIN u ON u.user_id = c.user_id AND u.event_type = c.event_type AND u.i = r.i""")
 def _(spark, d):
-    return src.file_inventory(spark, d, "orders.parquet").select(
-        "file_name", "row_count", "column_count")
+    lists = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
+    entry = F.concat(F.lit('"'), F.col("event_type"), F.lit('": '), F.to_json("ids"))
+    payloads = lists.groupBy(F.col("user_id").cast("string").alias("sheet_id")).agg(F.concat(
+        F.lit('{"note": "none", '), F.array_join(F.array_sort(F.collect_list(entry)), ", "), F.lit("}")).alias("payload"))
+    return cl.payload_cells(payloads)
 
 
 @query("union_sheets", """SELECT 'customers' AS sheet, c_acctbal AS acctbal, c_name AS name, c_mktsegment AS segment

@@ -111,21 +111,46 @@ def text_kind(raw: Column) -> Column:
     )
 
 
+#: Names in double quotes only; numbers may be NaN or infinite.
+JSON_OPTIONS = {"allowSingleQuotes": "false"}
+
+
 def one_json_value(text: Column) -> Column:
     """The text where it is exactly one JSON value, else NULL.
 
-    The JSON parser stops after the first value.  Inside ``[...]`` and inside
-    ``{"w":...}`` a tail can't go unnoticed in both: one sees a second value, the
-    other a second key or broken syntax.
+    The JSON parser stops after the first value, so the text is read as the first of two
+    elements.  The second is a hash of the text: a tail would be a third element, would break
+    the syntax, or would end the list before the hash.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    keyed = F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}")))
-    single = (F.try_variant_get(listed, "$[0]", "variant").isNotNull()
-              & F.try_variant_get(listed, "$[1]", "variant").isNull()
-              & (F.size(F.try_variant_get(keyed, "$", "map<string,variant>")) == 1))
+    mark = F.xxhash64(text).cast("string")
+    parsed = F.from_json(F.concat(F.lit("["), text, F.lit(","), mark, F.lit("]")), "array<string>", JSON_OPTIONS)
+    # bound once: the list is used twice
+    single = F.get(F.transform(F.array(parsed), lambda x: (F.size(x) == 2) & (F.get(x, F.lit(1)) == mark)), F.lit(0))
     return F.when(F.coalesce(single, F.lit(False)), text)
 
 
+def last_wins(entries: Column) -> Column:
+    """A map whose repeated keys stay where they first come and have their last value."""
+    keys, backwards = F.map_keys(entries), F.reverse(F.map_entries(entries))
+    kept = F.transform(F.array_distinct(keys), lambda k: F.struct(
+        k.alias("key"), F.get(F.filter(backwards, lambda e: e["key"] == k), F.lit(0))["value"].alias("value")))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(F.map_from_entries(kept))
+
+
+def json_keys(text: Column) -> Column:
+    """Keys of a JSON object in order; NULL for anything else.  The text should be a single value."""
+    # the quick way knows no NaN
+    return F.coalesce(F.json_object_keys(text), F.map_keys(json_object(text)))
+
+
+def json_object(text: Column, values: str = "string") -> Column:
+    """A JSON object as a map, the last of repeated keys kept; NULL for anything else.
+
+    The text should be a single value (see ``one_json_value``).
+    """
+    return F.when(strip(text).startswith("{"), last_wins(F.from_json(text, f"map<string,{values}>", JSON_OPTIONS)))
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of blank, not only spaces."""
     return F.btrim(text, F.lit(" \t\n\r\f\v"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sheetloom.functions.exprs import join_on, one_json_value, q, strip
+from sheetloom.functions.exprs import JSON_OPTIONS, join_on, one_json_value, q, strip
 
 
 def long_messages(df: DataFrame, id: str, order: str) -> DataFrame:
@@ -122,8 +122,8 @@ def decode_events(df: DataFrame, c: str = "line", keep: Sequence[str] = ()) -> D
     Lines that are no JSON object with data are dropped.
     """
     body = strip(F.regexp_replace(q(c), r"^data:\s*", ""))
-    parsed = F.when(body.rlike(r"(?s)^\{.*\}$"), F.from_json(one_json_value(body), EVENT_SCHEMA))
-    rows = df.select(*[q(k) for k in keep], parsed.alias("__e"))
+    rows = df.select(*[q(k) for k in keep], one_json_value(F.when(body.startswith("{"), body)).alias("__b"))
+    rows = rows.select(*[q(k) for k in keep], F.from_json("__b", EVENT_SCHEMA, JSON_OPTIONS).alias("__e"))
     return rows.where(F.col("__e.data").isNotNull()).select(
         *[q(k) for k in keep],
         F.col("__e.data.id").alias("id"),

@@ -19,6 +19,10 @@ from sheetloom.functions.exprs import (
     half_up,
     inline_structs,
     join_on,
+    JSON_OPTIONS,
+    ident,
+    json_object,
+    last_wins,
     one_json_value,
     ratio,
     strip,
@@ -97,13 +101,16 @@ def merge_proposals(first: DataFrame, second: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- parsing
 
 
+# Fixed value: what may stand between a field's name and its column, and how the column is written.
+TEXT_VALUE = r'[：:]\s*"?([^"\n]+)"?'
+
+
 def _text_value(text: Column, field: str) -> Column:
     """Value after ``field:`` (either colon), quotes optional; NULL when absent.
 
     The pattern only runs where the field name occurs at all.
     """
-    pattern = re.escape(field) + r'[：:]\s*"?([^"\n]+)"?'
-    value = strip(F.regexp_extract(text, pattern, 1))
+    value = strip(F.regexp_extract(text, re.escape(field) + TEXT_VALUE, 1))
     value = F.nullif(F.nullif(value, F.lit("")), F.lit("missing"))
     return F.when(F.contains(text, F.lit(field)), value)
 
@@ -122,50 +129,39 @@ def parse_text_mapping(df: DataFrame, text: str = "text", sheet: str = "sheet_id
     return df.select(F.col(sheet).alias("sheet_id"), inline_structs(rows))
 
 
-_OBJECT = "map<string,string>"
-_BODIES = (
-    (r"(?s)\{.*\}", 0),
-    (r"(?s)```json\s*(\{.*?\})\s*```", 1),
-    (r"(?s)```\s*(\{.*?\})\s*```", 1),
-)
+FENCE = "```"
 NESTED_KEYS = ("映射结果", "mapping")
 RATING_KEYS = ("confidence", "准确率")
+_OBJECT = "map<string,string>"
+
 
+def outer_braces(text: Column) -> Column:
+    """The text from its first ``{`` to its last ``}``; NULL without both."""
+    first = F.instr(text, "{")
+    last = F.length(text) - F.instr(F.reverse(text), "}") + 1
+    return F.when((first > 0) & F.contains(text, F.lit("}")) & (first < last), F.substring(text, first, last - first + 1))
 
-def _as_object(json: Column) -> Column:
-    """JSON object as a map of strings; NULL for anything else."""
-    return F.when(json.rlike(r"(?s)^\s*\{"), F.from_json(one_json_value(json), _OBJECT))
+
+def fenced_object(text: Column, tag: str) -> Column:
+    """The first ``{...}`` that fills a fenced block opened with ``tag``; NULL without one."""
+    pieces = F.split(text, FENCE)
+    # what stands between two fences, whichever of them opens
+    inner = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))
+    tagged = F.filter(inner, lambda p: p.startswith(tag))
+    bodies = F.transform(tagged, lambda p: strip(F.substring(p, F.lit(len(tag) + 1), F.length(p))))
+    return F.get(F.filter(bodies, lambda p: p.startswith("{") & p.endswith("}")), F.lit(0))
 
 
 def parse_proposals(df: DataFrame, text: str = "text", sheet: str = "sheet_id",
                     dictionary: Dictionary = LOGISTICS) -> DataFrame:
     """Mapping proposed in a reply: JSON body, fenced JSON, or text lines.
 
-    The first body that parses and holds a nested mapping, standard fields or a
+    The first body that is one JSON object and holds a nested mapping, standard fields or a
     rating decides; a rating alone, or no usable body, means the text lines.
     Standard fields without a value are missing.
     """
     staged = df.select(F.col(sheet).alias("sheet_id"), F.col(text).alias("__text"))
-    staged = staged.withColumn("__d", F.lit(None).cast(f"struct<how:string,m:{_OBJECT}>"))
-    known = F.array(*[F.lit(n) for n in dictionary.names])
-    ratings = F.array(*[F.lit(k) for k in RATING_KEYS])
-    for pattern, group in _BODIES:
-        # each body is parsed once, and only where no earlier one has decided
-        body = F.nullif(F.regexp_extract("__text", pattern, group), F.lit(""))
-        staged = staged.withColumn("__o", F.when(F.col("__d").isNull(), _as_object(body)))
-        staged = staged.withColumn(
-            "__n", F.coalesce(*[_as_object(F.element_at("__o", k)) for k in NESTED_KEYS])
-        )
-        keys = F.map_keys("__o")
-        decision = (
-            F.when(F.col("__n").isNotNull(),
-                   F.struct(F.lit("json").alias("how"), F.col("__n").alias("m")))
-            .when(F.arrays_overlap(keys, known),
-                  F.struct(F.lit("json").alias("how"), F.col("__o").alias("m")))
-            .when(F.arrays_overlap(keys, ratings),
-                  F.struct(F.lit("text").alias("how"), F.lit(None).cast(_OBJECT).alias("m")))
-        )
-        staged = staged.withColumn("__d", F.coalesce("__d", decision))
+    staged = _decided(staged, dictionary)
     from_json = F.col("__d.how") == "json"
     rows = []
     for i, f in enumerate(dictionary.fields):
@@ -182,17 +178,49 @@ def parse_proposals(df: DataFrame, text: str = "text", sheet: str = "sheet_id",
     return staged.select("sheet_id", inline_structs(rows))
 
 
+def reply_kinds(df: DataFrame, text: str = "text", sheet: str = "sheet_id",
+                dictionary: Dictionary = LOGISTICS) -> DataFrame:
+    """What each reply is for the mapping: ``none`` (NULL), ``empty`` (a nested mapping without entries) or ``mapping``."""
+    staged = _decided(df.select(F.col(sheet).alias("sheet_id"), F.col(text).alias("__text")), dictionary)
+    return staged.select("sheet_id", F.when(F.col("__text").isNull(), "none")
+                         .when(F.size("__d.m") == 0, "empty").otherwise("mapping").alias("reply"))
+
+
+def _decided(staged: DataFrame, dictionary: Dictionary) -> DataFrame:
+    """``__d``: how the reply of ``__text`` is read, and the mapping it holds as JSON."""
+    staged = staged.withColumn("__d", F.lit(None).cast(f"struct<how:string,m:{_OBJECT}>"))
+    known = F.array(*[F.lit(n) for n in dictionary.names])
+    ratings = F.array(*[F.lit(k) for k in RATING_KEYS])
+    nested_type = ", ".join(f"{ident(k)} {_OBJECT}" for k in NESTED_KEYS)
+    for body in (outer_braces(F.col("__text")), fenced_object(F.col("__text"), "json"),
+                 fenced_object(F.col("__text"), "")):
+        # each body is read once, and only where no earlier one has decided
+        staged = staged.withColumn("__b", one_json_value(F.when(F.col("__d").isNull(), body)))
+        staged = staged.withColumn("__o", json_object(F.col("__b")))
+        nested = F.from_json(F.when(F.arrays_overlap(F.map_keys("__o"), F.array(*[F.lit(k) for k in NESTED_KEYS])),
+                                    F.col("__b")), nested_type, JSON_OPTIONS)
+        staged = staged.withColumn("__n", nested)
+        staged = staged.withColumn("__n", last_wins(F.coalesce(*[F.col("__n").getField(k) for k in NESTED_KEYS])))
+        keys = F.map_keys("__o")
+        decision = (
+            F.when(F.col("__n").isNotNull(),
+                   F.struct(F.lit("json").alias("how"), F.col("__n").alias("m")))
+            .when(F.arrays_overlap(keys, known),
+                  F.struct(F.lit("json").alias("how"), F.col("__o").alias("m")))
+            .when(F.arrays_overlap(keys, ratings),
+                  F.struct(F.lit("text").alias("how"), F.lit(None).cast(_OBJECT).alias("m")))
+        )
+        staged = staged.withColumn("__d", F.coalesce("__d", decision))
+    return staged
+
+
 def extract_mapping_object(df: DataFrame, text: str = "text", sheet: str = "sheet_id") -> DataFrame:
     """Entries of ``"mapping"`` between the first ``{`` and the last ``}``,
     only when the reply mentions a mapping at all."""
-    body = F.nullif(F.regexp_extract(F.col(text), r"(?s)\{.*\}", 0), F.lit(""))
-    found = F.when(
-        F.contains(F.lower(F.col(text)), F.lit("mapping")),
-        _as_object(F.element_at(_as_object(body), "mapping")),
-    )
-    return df.select(
-        F.col(sheet).alias("sheet_id"), F.explode(found).alias("std_field", "column")
-    )
+    asked = F.when(F.contains(F.lower(F.col(text)), F.lit("mapping")), outer_braces(F.col(text)))
+    body = df.select(F.col(sheet).alias("sheet_id"), one_json_value(asked).alias("__b"))
+    found = F.from_json("__b", f"mapping {_OBJECT}", JSON_OPTIONS).getField("mapping")
+    return body.select("sheet_id", F.explode(last_wins(found)).alias("std_field", "column"))
 
 
 # ------------------------------------------------------------------ conflicts

@@ -22,6 +22,8 @@ from sheetloom.functions.exprs import (
     inline_structs,
     is_missing,
     join_on,
+    JSON_OPTIONS,
+    json_keys,
     one_json_value,
     q,
     ratio,
@@ -44,37 +46,23 @@ def _finding(step, severity, subject, code, detail) -> Column:
 # ------------------------------------------------------------------ structure
 
 
-def _json_type(value: Column) -> Column:
-    """First significant character class of a JSON fragment."""
-    head = F.substring(F.trim(value), 1, 1)
-    return (
-        F.when(value.isNull(), "null")
-        .when(head == "{", "object")
-        .when(head == "[", "array")
-        .otherwise("scalar")
-    )
-
-
 def check_envelope(df: DataFrame, payload: str, sheet: str = "sheet_id") -> DataFrame:
     """Required keys, row-count type and list types of a JSON envelope.
 
     Type checks apply only when every required key is there.
     """
     base = df.select(F.col(sheet).alias("sheet_id"), one_json_value(F.col(payload)).alias("__p"))
-    base = base.withColumn("__keys", F.json_object_keys("__p"))
+    base = base.withColumn("__keys", json_keys(F.col("__p")))
     wanted = F.array(*[F.lit(k) for k in ENVELOPE_KEYS])
     gaps = F.array_except(wanted, F.coalesce("__keys", F.array().cast("array<string>")))
-    document = F.try_parse_json("__p")
-
-    def json_type(key: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(document, f"$.{key}", "variant"))
-
-    total = F.try_variant_get(document, "$.total_rows", "bigint")
-    bad_total = ~F.coalesce((json_type("total_rows") == "BIGINT") & (total >= 0), F.lit(False))
+    # a value of another type reads as NULL
+    document = F.from_json("__p", "total_rows bigint, columns array<string>, data array<string>", JSON_OPTIONS)
+    base = base.withColumn("__v", document)
+    bad_total = ~F.coalesce(F.col("__v.total_rows") >= 0, F.lit(False))
     complete = F.size(gaps) == 0
 
     def not_list(key: str) -> Column:
-        return ~F.coalesce(json_type(key).startswith("ARRAY"), F.lit(False))
+        return F.col(f"__v.{key}").isNull()
 
     missing = F.transform(
         gaps, lambda k: _finding("structure", "error", k, "missing_key", F.lit("absent"))
@@ -103,12 +91,16 @@ def row_conformance(df: DataFrame, payload: str, expected: Sequence[str], row_id
     The source label column is never counted as extra.
     """
     want = F.array(*[F.lit(c) for c in expected])
-    keys = F.json_object_keys(one_json_value(F.col(payload)))
+    # read once, before the findings ask for it
+    df = df.select(F.col(sheet).cast("string").alias("sheet_id"), F.col(row_id).cast("string").alias("__row"),
+                   one_json_value(F.col(payload)).alias("__p"))
+    df = df.withColumn("__keys", json_keys(F.col("__p")))
+    keys = F.col("__keys")
     seen = F.coalesce(keys, F.array().cast("array<string>"))
     allowed = F.array(*[F.lit(c) for c in [*expected, *([label] if label else [])]])
     missing, extra = F.array_except(want, seen), F.array_except(seen, allowed)
-    is_object = keys.isNotNull() & (_json_type(F.col(payload)) == "object")
-    subject = F.col(row_id).cast("string")
+    is_object = keys.isNotNull()  # NULL for any other value
+    subject = F.col("__row")
     checks = F.array(
         F.when(~is_object, _finding("structure", "error", subject, "row_not_object",
                                     F.lit("not an object"))),
@@ -119,7 +111,7 @@ def row_conformance(df: DataFrame, payload: str, expected: Sequence[str], row_id
                _finding("structure", "warning", subject, "extra_columns",
                         F.array_join(F.array_sort(extra), ", "))),
     )
-    out = df.select(F.col(sheet).cast("string").alias("sheet_id"), F.explode(checks).alias("__f"))
+    out = df.select("sheet_id", F.explode(checks).alias("__f"))
     return out.where(F.col("__f").isNotNull()).select("sheet_id", "__f.*")
 
 

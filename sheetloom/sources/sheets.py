@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetloom.functions.exprs import as_list, ident, q
+from sheetloom.sources.cells import csv_headers, csv_rows, json_keys_of_files, plain_path, sheet_path
 
 FORMATS = ("json", "csv", "parquet", "orc")
 
@@ -17,20 +19,27 @@ FORMATS = ("json", "csv", "parquet", "orc")
 def _reader(spark: SparkSession, fmt: str, schema, options: Mapping[str, str]):
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format {fmt!r}, expected one of {FORMATS}")
-    defaults = {"csv": {"header": "true"}, "json": {"primitivesAsString": "false"}}
+    defaults = {"json": {"primitivesAsString": "false"}, "parquet": {"mergeSchema": "true"}, "orc": {"mergeSchema": "true"}}
     reader = spark.read.format(fmt).options(**{**defaults.get(fmt, {}), **options})
     return reader.schema(schema) if schema is not None else reader
 
 
 def read_sheets(spark: SparkSession, path: str | Sequence[str], fmt: str = "json",
                 schema: T.StructType | str | None = None, **options: str) -> DataFrame:
-    """Rows of all files under ``path`` with the file name as ``sheet_id``.
+    """Rows of all files under ``path`` with the file's path below it as ``sheet_id``.
 
-    JSON may be lines or (``multiLine="true"``) lists of records per file; give a
-    ``schema`` to spare the inference pass.
+    Values go to columns by name, whatever the order of a file's columns; a column that a file lacks is NULL there.
+    JSON may be lines or (``multiLine="true"``) lists of records per file.  CSV values are texts, or what ``schema``
+    says where their text reads as that; give a ``schema`` to spare the pass that finds the columns.
     """
-    df = _reader(spark, fmt, schema, options).load(path)
-    return df.select(F.col("_metadata.file_name").alias("sheet_id"), "*")
+    if fmt == "csv":
+        if schema is None:
+            return csv_rows(spark, path, **options)
+        fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        rows = csv_rows(spark, path, fields.names, **options)
+        return rows.select("sheet_id", *[q(f.name).try_cast(f.dataType).alias(f.name) for f in fields])
+    df = _reader(spark, fmt, schema, {"recursiveFileLookup": "true", **options}).load(path)
+    return df.select(sheet_path(path).alias("sheet_id"), "*")
 
 
 def columnar_to_rows(df: DataFrame, cols: Sequence[str] | None = None,
@@ -48,30 +57,61 @@ def columnar_to_rows(df: DataFrame, cols: Sequence[str] | None = None,
     )
 
 
+def _footers(listed: DataFrame, fmt: str) -> DataFrame:
+    """(sheet_id, columns, row_count) of Parquet or ORC files (sheet_id, uri): tasks read the files' ends alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs, orc, parquet
+
+        for batch in batches:
+            names, rows = [], []
+            for uri in batch.column("uri").to_pylist():
+                if uri.startswith("/"):
+                    system, place = fs.LocalFileSystem(), uri
+                else:
+                    system, place = fs.FileSystem.from_uri(uri)
+                with system.open_input_file(place) as file:
+                    if fmt == "parquet":
+                        end = parquet.ParquetFile(file)
+                        names.append(end.schema_arrow.names)
+                        rows.append(end.metadata.num_rows)
+                    else:
+                        end = orc.ORCFile(file)
+                        names.append(end.schema.names)
+                        rows.append(end.nrows)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("sheet_id"), pa.array(names, pa.list_(pa.string())), pa.array(rows, pa.int64())],
+                names=["sheet_id", "columns", "row_count"])
+
+    return listed.select("sheet_id", "uri").mapInArrow(run, "sheet_id string, columns array<string>, row_count long")
+
+
 def file_inventory(spark: SparkSession, path: str, glob: str = "*", fmt: str = "parquet",
                    **options: str) -> DataFrame:
-    """Name, bytes, row count and column list of every matching file.
+    """Name, id (path below ``path``), bytes, time, rows and own columns of every matching file.
 
-    Sizes come from the listing (contents are pruned away), rows from a scan
-    that reads no column; files without rows keep a zero.
+    Sizes come from the listing, whose contents are pruned away.  Parquet and ORC files tell rows and columns in their
+    footers; CSV files are counted, with the first line that isn't blank as header; JSON files are read for the keys
+    of their records.  A file without any has no columns and zero rows; files of no bytes are not listed by Spark.
     """
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option(
-        "recursiveFileLookup", "true"
-    ).load(path).select(
-        F.regexp_replace("path", "^file:/+", "/").alias("path"),
-        F.col("length").alias("bytes"), "modificationTime",
-    )
-    data = _reader(spark, fmt, None, {"pathGlobFilter": glob, **options}).load(path)
-    counted = data.groupBy(
-        F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path")
-    ).agg(F.count(F.lit(1)).alias("row_count"))
-    return listed.join(counted, "path", "left").select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), "path", "bytes",
-        "modificationTime",
-        F.coalesce("row_count", F.lit(0)).alias("row_count"),
-        F.lit(len(data.columns)).alias("column_count"),
-        F.array(*[F.lit(c) for c in data.columns]).alias("columns"),
-    )
+    if fmt not in FORMATS:
+        raise ValueError(f"unsupported format {fmt!r}, expected one of {FORMATS}")
+    uri = F.col("_metadata.file_path")
+    local = F.when(uri.startswith("file:"), plain_path(uri)).otherwise(uri)
+    listed = spark.read.format("binaryFile").options(pathGlobFilter=glob, recursiveFileLookup="true").load(path).select(
+        sheet_path(path).alias("sheet_id"), local.alias("uri"),
+        F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_modification_time").alias("modificationTime"))
+    if fmt in ("parquet", "orc"):
+        found = _footers(listed.where("bytes > 0"), fmt)
+    elif fmt == "csv":
+        found = csv_headers(spark, path, pathGlobFilter=glob, **options)
+    else:
+        found = json_keys_of_files(spark, path, pathGlobFilter=glob, **options)
+    columns = F.coalesce("columns", F.array().cast("array<string>"))
+    return listed.join(found, "sheet_id", "left").select(
+        F.element_at(F.split("sheet_id", "/"), -1).alias("file_name"), "sheet_id", "bytes", "modificationTime",
+        F.coalesce("row_count", F.lit(0)).alias("row_count"), F.size(columns).alias("column_count"),
+        columns.alias("columns"))
 
 
 def union_sheets(sheets: Mapping[str, DataFrame], label: str = "sheet") -> DataFrame:
