@@ -543,6 +543,32 @@ def _(spark, d):
         "sheet_id", "std_field", "std_pos", "column")
 
 
+#: a reply for each sheet: one that proposes its first column, one without entries but with a line, none
+def sheet_replies(spark, d):
+    kind = F.length("sheet_id") % 3
+    first = profiles(spark, d).groupBy("sheet_id").agg(F.min_by("column", "position").alias("c"))
+    return first.select("sheet_id", F.when(kind == 0, F.concat(F.lit('ok {"mapping": {"order_key": "'), F.col("c"),
+                                                              F.lit('", "vehicle": "missing"}}')))
+                        .when(kind == 1, F.concat(F.lit('{"mapping": {}}\ncarrier: '), F.col("c"))).alias("text"))
+
+
+_replied = _rest[:_rest.index("m3 AS MATERIALIZED")] + """first AS (SELECT sheet_id, arg_min("column", position) AS c FROM all_profiles GROUP BY sheet_id),
+m3 AS MATERIALIZED (SELECT m.sheet_id, m.std_field, m.std_pos, length(m.sheet_id) % 3 AS kind, m.score, CASE length(m.sheet_id) % 3
+  WHEN 0 THEN CASE WHEN m.std_field = 'order_key' THEN c END
+  WHEN 1 THEN CASE WHEN m.std_field = 'carrier' THEN c ELSE m."column" END
+  ELSE coalesce(m."column", h.first_col) END AS "column"
+  FROM m1 m JOIN first f ON f.sheet_id = m.sheet_id LEFT JOIN hits h ON h.sheet_id = m.sheet_id AND h.std_pos = m.std_pos)"""
+REPLIED = (USABLE + _replied + WHOLE[len(USABLE + _rest):]).replace(
+    "open3 AS (SELECT sheet_id, std_pos FROM m3 WHERE \"column\" IS NULL)",
+    "open3 AS (SELECT sheet_id, std_pos FROM m3 WHERE \"column\" IS NULL AND kind <> 1)")
+
+
+@query("map_fields_replies", f"WITH {REPLIED} SELECT {_R} FROM final")
+def _(spark, d):
+    return onboarding.map_fields(profiles(spark, d), ENGLISH, sheet_replies(spark, d)).select(
+        "sheet_id", "std_field", "std_pos", "column")
+
+
 @query("map_fields_confidence", f"WITH {WHOLE},\n{CONFIDENCE} SELECT * FROM conf")
 def _(spark, d):
     return mp.mapping_confidence(onboarding.map_fields(profiles(spark, d), ENGLISH), ENGLISH)

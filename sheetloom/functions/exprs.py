@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -111,6 +111,11 @@ def text_kind(raw: Column) -> Column:
     )
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 #: Names in double quotes only; numbers may be NaN or infinite.
 JSON_OPTIONS = {"allowSingleQuotes": "false"}
 
@@ -122,25 +127,25 @@ def one_json_value(text: Column) -> Column:
     elements.  The second is a hash of the text: a tail would be a third element, would break
     the syntax, or would end the list before the hash.
     """
-    mark = F.xxhash64(text).cast("string")
-    parsed = F.from_json(F.concat(F.lit("["), text, F.lit(","), mark, F.lit("]")), "array<string>", JSON_OPTIONS)
-    # bound once: the list is used twice
-    single = F.get(F.transform(F.array(parsed), lambda x: (F.size(x) == 2) & (F.get(x, F.lit(1)) == mark)), F.lit(0))
-    return F.when(F.coalesce(single, F.lit(False)), text)
+
+    def read(value: Column) -> Column:
+        listed = F.concat(F.lit("["), value["text"], F.lit(","), value["mark"], F.lit("]"))
+        return bound(F.from_json(listed, "array<string>", JSON_OPTIONS), lambda x: F.when(
+            (F.size(x) == 2) & (F.get(x, F.lit(1)) == value["mark"]), value["text"]))
+
+    return bound(text, lambda t: bound(F.struct(t.alias("text"), F.xxhash64(t).cast("string").alias("mark")), read))
 
 
 def last_wins(entries: Column) -> Column:
     """A map whose repeated keys stay where they first come and have their last value."""
-    keys, backwards = F.map_keys(entries), F.reverse(F.map_entries(entries))
-    kept = F.transform(F.array_distinct(keys), lambda k: F.struct(
-        k.alias("key"), F.get(F.filter(backwards, lambda e: e["key"] == k), F.lit(0))["value"].alias("value")))
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(F.map_from_entries(kept))
 
+    def settled(m: Column) -> Column:
+        backwards, names = F.reverse(F.map_entries(m)), F.array_distinct(F.map_keys(m))
+        kept = F.transform(names, lambda k: F.struct(
+            k.alias("key"), F.get(F.filter(backwards, lambda e: e["key"] == k), F.lit(0))["value"].alias("value")))
+        return F.when(F.size(names) == F.size(m), m).otherwise(F.map_from_entries(kept))
 
-def json_keys(text: Column) -> Column:
-    """Keys of a JSON object in order; NULL for anything else.  The text should be a single value."""
-    # the quick way knows no NaN
-    return F.coalesce(F.json_object_keys(text), F.map_keys(json_object(text)))
+    return bound(entries, settled)
 
 
 def json_object(text: Column, values: str = "string") -> Column:
@@ -151,6 +156,12 @@ def json_object(text: Column, values: str = "string") -> Column:
     return F.when(strip(text).startswith("{"), last_wins(F.from_json(text, f"map<string,{values}>", JSON_OPTIONS)))
 
 
+def json_keys(text: Column) -> Column:
+    """Keys of a JSON object in order; NULL for anything else.  The text should be a single value."""
+    # the quick way knows no NaN
+    return F.coalesce(F.json_object_keys(text), F.map_keys(json_object(text)))
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of blank, not only spaces."""
     return F.btrim(text, F.lit(" \t\n\r\f\v"))

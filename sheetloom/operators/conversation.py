@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sheetloom.functions.exprs import JSON_OPTIONS, join_on, one_json_value, q, strip
+from sheetloom.functions.exprs import JSON_OPTIONS, bound, join_on, one_json_value, q, strip
+from sheetloom.plans.lineage import materialize
 
 
 def long_messages(df: DataFrame, id: str, order: str) -> DataFrame:
@@ -17,14 +18,46 @@ def long_messages(df: DataFrame, id: str, order: str) -> DataFrame:
     return df.withColumn("position", (F.row_number().over(place) - 1).cast("long"))
 
 
-def _with_part(df: DataFrame, id: str, order: str, size: int | None) -> DataFrame:
-    """``part`` 0 for all, or by position where the caller asks for parts."""
-    if size is None:
-        return df.withColumn("part", F.lit(0).cast("long"))
+def _with_part(df: DataFrame, id: str, order: str, size: int) -> DataFrame:
+    """``part`` by position: ``size`` rows each."""
     placed = long_messages(df, id, order)
     return placed.withColumn("part", F.floor(F.col("position") / F.lit(size)).cast("long")).drop("position")
 
 
+#: Rows of an id that one task always takes; more are put together in parts.
+PART_ROWS = 1 << 16
+
+
+def gather_ordered(rows: DataFrame, id: str, order: str, item: Column, fold: Callable[[Column], Column],
+                   merge: Callable[[Column], Column], cut: bool = False) -> DataFrame:
+    """(id, value), one row per id: ``fold`` of the id's items, an array of (o, x) in order.
+
+    No task gathers an id of more than ``PART_ROWS`` rows.  A range partitioning by id and order deals its rows to
+    tasks in stretches of equal size, each task folds its stretch, and ``merge`` puts an id's folded stretches, an
+    array in order, together.  Rows are counted first; ``cut`` writes them once where they are costly to make.
+    """
+    rows = rows.select(q(id).alias("id"), q(order).alias("o"), item.alias("x"))
+    if cut:
+        rows = materialize(rows)
+    hot = materialize(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART_ROWS))
+    items = F.sort_array(F.collect_list(F.struct("o", "x")))
+
+    def whole(part: DataFrame) -> DataFrame:
+        return part.groupBy("id").agg(items.alias("__i")).select("id", fold(F.col("__i")).alias("value"))
+
+    many = hot.agg(F.sum("n")).first()[0]
+    if many is None:
+        return whole(rows)
+    # a given number of stretches, so that small ones aren't put together; rows of equal order are in the same one
+    dealt = join_on(rows, hot, ["id"], "left_semi").repartitionByRange(-(-many // PART_ROWS), "id", "o")
+    dealt = dealt.withColumn("__p", F.spark_partition_id())
+    parts = dealt.groupBy("id", "__p").agg(items.alias("__i"), F.min("o").alias("__from")).select(
+        "id", F.struct("__from", fold(F.col("__i")).alias("v")).alias("__part"))
+    merged = parts.groupBy("id").agg(F.array_sort(F.collect_list("__part")).alias("__parts")).select(
+        "id", merge(F.transform("__parts", lambda x: x["v"])).alias("value"))
+    return whole(join_on(rows, hot, ["id"], "left_anti")).unionByName(merged)
+
+
 def assemble_messages(df: DataFrame, conv: str, order: str, fields: Sequence[str] = ("role", "text"),
                       part_size: int | None = None) -> DataFrame:
     """Messages of a conversation as an ordered array, one row per conversation.
@@ -32,10 +65,13 @@ def assemble_messages(df: DataFrame, conv: str, order: str, fields: Sequence[str
     For conversations without bound ``long_messages`` numbers the messages and
     gathers none; ``part_size`` cuts them into rows of that many messages each.
     """
+    message = F.struct(q(order), *[q(f) for f in fields])
+    if part_size is None:
+        found = gather_ordered(df, conv, order, message, lambda i: F.transform(i, lambda m: m["x"]), F.flatten)
+        return found.select(F.col("id").alias(conv), F.lit(0).cast("long").alias("part"), F.col("value").alias("messages"),
+                            F.size("value").cast("long").alias("message_count"))
     return _with_part(df, conv, order, part_size).groupBy(q(conv), "part").agg(
-        F.array_sort(F.collect_list(F.struct(q(order), *[q(f) for f in fields]))).alias("messages"),
-        F.count(F.lit(1)).alias("message_count"),
-    )
+        F.array_sort(F.collect_list(message)).alias("messages"), F.count(F.lit(1)).alias("message_count"))
 
 
 def last_message(df: DataFrame, conv: str, order: str, text: str = "text") -> DataFrame:
@@ -123,33 +159,56 @@ def decode_events(df: DataFrame, c: str = "line", keep: Sequence[str] = ()) -> D
     """
     body = strip(F.regexp_replace(q(c), r"^data:\s*", ""))
     rows = df.select(*[q(k) for k in keep], one_json_value(F.when(body.startswith("{"), body)).alias("__b"))
-    rows = rows.select(*[q(k) for k in keep], F.from_json("__b", EVENT_SCHEMA, JSON_OPTIONS).alias("__e"))
-    return rows.where(F.col("__e.data").isNotNull()).select(
+    # as a generated row the event is read once, not for each of its fields
+    rows = rows.select(*[q(k) for k in keep], F.inline(F.array(F.from_json("__b", EVENT_SCHEMA, JSON_OPTIONS))))
+    return rows.where(F.col("data").isNotNull()).select(
         *[q(k) for k in keep],
-        F.col("__e.data.id").alias("id"),
-        F.col("__e.data.content").alias("content"),
-        F.col("__e.data.finishReason").alias("finish_reason"),
+        F.col("data.id").alias("id"),
+        F.col("data.content").alias("content"),
+        F.col("data.finishReason").alias("finish_reason"),
     )
 
 
+def _until_stop(chunks: Column) -> Column:
+    """Text, number and stop of chunks (o, x) in order: those before the first stop marker, markers left out."""
+
+    def cut_at(stop: Column) -> Column:
+        kept = F.filter(chunks, lambda c: ~c["x"]["s"] & (stop.isNull() | (c["o"] < stop)))
+        return bound(kept, lambda k: F.struct(F.array_join(F.transform(k, lambda c: c["x"]["c"]), "").alias("content"),
+                                              F.size(k).cast("long").alias("chunks"), stop.isNotNull().alias("finished")))
+
+    return bound(F.get(F.filter(chunks, lambda c: c["x"]["s"]), F.lit(0))["o"], cut_at)
+
+
+def _until_stopped(parts: Column) -> Column:
+    """Parts of a reply in order as one: what follows the first that is finished goes."""
+    last = F.array_position(F.transform(parts, lambda p: p["finished"]), F.lit(True)).cast("int")
+    kept = F.slice(parts, F.lit(1), F.when(last > 0, last).otherwise(F.size(parts)))
+    return F.struct(F.array_join(F.transform(kept, lambda p: p["content"]), "").alias("content"),
+                    F.aggregate(kept, F.lit(0).cast("long"), lambda n, p: n + p["chunks"]).alias("chunks"),
+                    (last > 0).alias("finished"))
+
+
 def reassemble_chunks(df: DataFrame, id: str = "id", order: str = "seq", content: str = "content",
-                      finish: str = "finish_reason", part_size: int | None = None) -> DataFrame:
+                      finish: str = "finish_reason", part_size: int | None = None, cut: bool = True) -> DataFrame:
     """Chunk texts of each reply in order, up to its first stop marker, one row per reply.
 
+    A reply of very many chunks is put together from stretches (see ``gather_ordered``, also for ``cut``).
     ``part_size`` cuts replies into rows of that many chunks each, by position.
-    Parts are gathered before the stop positions are joined in, so an id that
-    owns many chunks is spread over tasks by part.
     """
     stopped = F.coalesce(q(finish) == "stop", F.lit(False))
-    parts = _with_part(df, id, order, part_size).groupBy(q(id), "part").agg(
-        F.array_sort(F.collect_list(
-            F.struct(q(order).alias("o"), F.coalesce(q(content), F.lit("")).alias("c"),
-                     stopped.alias("s"))
-        )).alias("__chunks"),
+    text = F.coalesce(q(content), F.lit(""))
+    if part_size is None:
+        found = gather_ordered(df, id, order, F.struct(text.alias("c"), stopped.alias("s")), _until_stop, _until_stopped, cut)
+        return found.select(F.col("id").alias(id), F.lit(0).cast("long").alias("part"), "value.*")
+    rows = df.select(q(id), q(order), text.alias("c"), stopped.alias("s"))
+    parts = _with_part(rows, id, order, part_size).groupBy(q(id), "part").agg(
+        F.array_sort(F.collect_list(F.struct(q(order).alias("o"), "c", "s"))).alias("__chunks"),
         F.min(q(order)).alias("__from"),
+        F.min(F.when(F.col("s"), q(order))).alias("__at"),
     )
-    stops = df.groupBy(q(id)).agg(F.min(F.when(stopped, q(order))).alias("__stop"))
-    joined = join_on(parts, stops, [id])
+    # the first marker of a reply from its parts, without reading the chunks again
+    joined = parts.withColumn("__stop", F.min("__at").over(W.partitionBy(q(id))))
     open_end = F.col("__stop").isNull()
     kept = F.filter("__chunks", lambda x: ~x.s & (open_end | (x.o < F.col("__stop"))))
     return joined.where(open_end | (F.col("__from") <= F.col("__stop"))).select(

@@ -105,28 +105,30 @@ def merge_proposals(first: DataFrame, second: DataFrame) -> DataFrame:
 TEXT_VALUE = r'[：:]\s*"?([^"\n]+)"?'
 
 
-def _text_value(text: Column, field: str) -> Column:
-    """Value after ``field:`` (either colon), quotes optional; NULL when absent.
+def _text_values(text: Column, dictionary: Dictionary) -> Column:
+    """Per standard field the value after ``field:`` (either colon), quotes optional; NULL when absent.
 
-    The pattern only runs where the field name occurs at all.
+    A pattern only runs where the field's name occurs at all.  One small expression does for all fields, so that it
+    stays within what the JVM compiles.
     """
-    value = strip(F.regexp_extract(text, re.escape(field) + TEXT_VALUE, 1))
-    value = F.nullif(F.nullif(value, F.lit("")), F.lit("missing"))
-    return F.when(F.contains(text, F.lit(field)), value)
+    fields = F.array(*[F.struct(F.lit(f.name).alias("name"), F.lit(re.escape(f.name) + TEXT_VALUE).alias("pattern"))
+                       for f in dictionary.fields])
+
+    def value(field: Column) -> Column:
+        found = strip(F.call_function("regexp_extract", text, field["pattern"], F.lit(1)))
+        return F.when(F.contains(text, field["name"]), F.nullif(F.nullif(found, F.lit("")), F.lit("missing")))
+
+    return F.transform(fields, value)
 
 
 def parse_text_mapping(df: DataFrame, text: str = "text", sheet: str = "sheet_id",
                        dictionary: Dictionary = LOGISTICS) -> DataFrame:
     """``field: value`` lines of a free-text reply, one row per standard field."""
-    rows = [
-        F.struct(
-            F.lit(f.name).alias("std_field"),
-            F.lit(i).alias("std_pos"),
-            _text_value(F.col(text), f.name).alias("column"),
-        )
-        for i, f in enumerate(dictionary.fields)
-    ]
-    return df.select(F.col(sheet).alias("sheet_id"), inline_structs(rows))
+    names = F.array(*[F.lit(n) for n in dictionary.names])
+    # made once per reply, then laid out in rows
+    made = df.select(F.col(sheet).alias("sheet_id"), _text_values(F.col(text), dictionary).alias("__v"))
+    return made.select("sheet_id", F.posexplode("__v").alias("std_pos", "column")).select(
+        "sheet_id", F.get(names, F.col("std_pos")).alias("std_field"), "std_pos", "column")
 
 
 FENCE = "```"
@@ -149,7 +151,8 @@ def fenced_object(text: Column, tag: str) -> Column:
     inner = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))
     tagged = F.filter(inner, lambda p: p.startswith(tag))
     bodies = F.transform(tagged, lambda p: strip(F.substring(p, F.lit(len(tag) + 1), F.length(p))))
-    return F.get(F.filter(bodies, lambda p: p.startswith("{") & p.endswith("}")), F.lit(0))
+    found = F.get(F.filter(bodies, lambda p: p.startswith("{") & p.endswith("}")), F.lit(0))
+    return F.when(F.contains(text, F.lit(FENCE)), found)
 
 
 def parse_proposals(df: DataFrame, text: str = "text", sheet: str = "sheet_id",
@@ -162,20 +165,15 @@ def parse_proposals(df: DataFrame, text: str = "text", sheet: str = "sheet_id",
     """
     staged = df.select(F.col(sheet).alias("sheet_id"), F.col(text).alias("__text"))
     staged = _decided(staged, dictionary)
-    from_json = F.col("__d.how") == "json"
-    rows = []
-    for i, f in enumerate(dictionary.fields):
-        value = F.element_at(F.col("__d.m"), f.name)
-        value = F.when((value != "missing") & (value != ""), value)
-        rows.append(
-            F.struct(
-                F.lit(f.name).alias("std_field"),
-                F.lit(i).alias("std_pos"),
-                F.when(F.coalesce(from_json, F.lit(False)), value)
-                .otherwise(_text_value(F.col("__text"), f.name)).alias("column"),
-            )
-        )
-    return staged.select("sheet_id", inline_structs(rows))
+    from_json = F.coalesce(F.col("__d.how") == "json", F.lit(False))
+    texts = _text_values(F.col("__text"), dictionary)
+    staged = staged.select("sheet_id", F.col("__d.m").alias("__m"), F.when(~from_json, texts).alias("__t"))
+    names = F.array(*[F.lit(n) for n in dictionary.names])
+    rows = staged.select("sheet_id", "__m", "__t", F.posexplode(names).alias("std_pos", "std_field"))
+    value = F.try_element_at("__m", F.col("std_field"))
+    value = F.when((value != "missing") & (value != ""), value)
+    return rows.select("sheet_id", "std_field", "std_pos", F.when(F.col("__t").isNull(), value)
+                       .otherwise(F.get("__t", F.col("std_pos"))).alias("column"))
 
 
 def reply_kinds(df: DataFrame, text: str = "text", sheet: str = "sheet_id",

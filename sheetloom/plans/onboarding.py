@@ -12,6 +12,9 @@ from sheetloom.operators.mapping import (
     fill_by_keywords,
     mapping_confidence,
     merge_proposals,
+    parse_proposals,
+    parse_text_mapping,
+    reply_kinds,
     resolve_conflicts,
 )
 from sheetloom.operators.matching import (
@@ -44,30 +47,60 @@ def usable_profiles(profiles: DataFrame) -> DataFrame:
 
 
 def map_fields(profiles: DataFrame, dictionary: Dictionary = LOGISTICS,
-               proposals: DataFrame | None = None, cut: bool = True) -> DataFrame:
-    """Rules, keywords, similarity and conflict resolution over profiles.
+               replies: DataFrame | None = None, cut: bool = True) -> DataFrame:
+    """Replies, rules, keywords, similarity and conflict resolution over profiles.
+
+    ``replies`` (sheet_id, text) says per sheet what comes first:
+
+    - a reply that proposes something (see ``parse_proposals``): its mapping alone, gaps filled by similarity;
+    - a reply whose mapping is empty: its text lines, then rules, and no fill;
+    - no reply (none, or NULL): rules, then keywords, gaps filled by similarity.
 
     Every stage reads the profiles again; they are tiny next to the data (one
     row per column), so they are written out once (``cut``) instead of letting
-    each stage scan the data.  ``proposals`` (see ``parse_proposals``) go first.
+    each stage scan the data.
     """
     base = usable_profiles(profiles)
     if cut:
         base = materialize(base)
-    mapping = assign_greedy(rule_scores(base, dictionary), dictionary)
-    mapping = fill_by_keywords(mapping, base, dictionary)
-    if proposals is not None:
-        merged = merge_proposals(proposals, mapping)
-        mapping = merged.withColumn("score", F.lit(None).cast("double"))
+    rules = assign_greedy(rule_scores(base, dictionary), dictionary)
+    if replies is None:
+        mapping = fill_by_keywords(rules, base, dictionary)
+        filled = None
+    else:
+        mapping, filled = _from_replies(rules, base, replies, dictionary, cut)
     if cut:
         mapping = materialize(mapping)
-    mapping = fill_by_similarity(mapping, similarity_scores(base, dictionary), dictionary)
-    return resolve_conflicts(mapping, dictionary)
+    similar = similarity_scores(base, dictionary)
+    if filled is not None:
+        similar = join_on(similar, filled, ["sheet_id"], "left_semi")
+    return resolve_conflicts(fill_by_similarity(mapping, similar, dictionary), dictionary)
+
+
+def _from_replies(rules: DataFrame, base: DataFrame, replies: DataFrame, dictionary: Dictionary,
+                  cut: bool) -> tuple[DataFrame, DataFrame]:
+    """The mapping before the fill, and the sheets that get one."""
+    kinds = join_on(base.select("sheet_id").distinct(), reply_kinds(replies, dictionary=dictionary), ["sheet_id"], "left")
+    kinds = kinds.withColumn("reply", F.coalesce("reply", F.lit("none")))
+    if cut:
+        rules, kinds = materialize(rules), materialize(kinds)
+
+    def of(df: DataFrame, *wanted: str) -> DataFrame:
+        return join_on(df, kinds.where(F.col("reply").isin(*wanted)).select("sheet_id"), ["sheet_id"], "left_semi")
+
+    asked = of(replies, "mapping", "empty")
+    score = F.lit(None).cast("double").alias("score")
+    said = parse_proposals(of(asked, "mapping"), dictionary=dictionary).select(
+        "sheet_id", "std_field", "std_pos", "column", F.when(F.col("column").isNotNull(), "proposal").alias("stage"), score)
+    lines = parse_text_mapping(of(asked, "empty"), dictionary=dictionary)
+    mixed = merge_proposals(lines, of(rules, "empty")).withColumn("score", F.lit(None).cast("double"))
+    alone = fill_by_keywords(of(rules, "none"), of(base, "none"), dictionary)
+    return said.unionByName(mixed).unionByName(alone), kinds.where("reply <> 'empty'").select("sheet_id")
 
 
 def onboard(cells: DataFrame, dictionary: Dictionary = LOGISTICS,
-            proposals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+            replies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Cells of raw sheets to (mapping, confidence)."""
     profiles = profile_cells(repair_headers(cells))
-    mapping = map_fields(profiles, dictionary, proposals)
+    mapping = map_fields(profiles, dictionary, replies)
     return mapping, mapping_confidence(mapping, dictionary)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sheetloom.functions.exprs import JSON_OPTIONS, as_list, last_wins, one_json_value, q, strip, text_kind
+from sheetloom.functions.exprs import JSON_OPTIONS, as_list, bound, last_wins, one_json_value, q, strip, text_kind
 from sheetloom.operators.reshape import BLANK_HEADER
 from sheetloom.plans.lineage import materialize
 
@@ -61,13 +61,14 @@ def split_line(line: Column, sep: str = ",") -> Column:
 
     A line whose quotes don't come in pairs is cut at every separator.
     """
-    pieces = F.split(line, QUOTE)
-    # pieces with odd numbers stand inside quotes; an empty one between two of them is a doubled quote
-    outside = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, p).when(
-        (p == "") & (i > 0) & (i < F.size(pieces) - 1), F.lit(QUOTE)).otherwise(F.replace(p, F.lit(sep), F.lit(MARK))))
-    paired = F.split(F.array_join(outside, ""), MARK)
-    plain = F.split(line, re.escape(sep))
-    return F.when(~F.contains(line, F.lit(QUOTE)) | (F.size(pieces) % 2 == 0), plain).otherwise(paired)
+    def paired(pieces: Column) -> Column:
+        # pieces with odd numbers stand inside quotes; an empty one between two of them is a doubled quote
+        outside = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, p).when(
+            (p == "") & (i > 0) & (i < F.size(pieces) - 1), F.lit(QUOTE)).otherwise(F.replace(p, F.lit(sep), F.lit(MARK))))
+        return F.when(F.size(pieces) % 2 == 1, F.split(F.array_join(outside, ""), MARK))
+
+    quoted = F.when(F.contains(line, F.lit(QUOTE)), bound(F.split(line, QUOTE), paired))
+    return F.coalesce(quoted, F.split(line, re.escape(sep)))
 
 
 def _lines(spark: SparkSession, path: str | Sequence[str], options: dict[str, str]) -> DataFrame:

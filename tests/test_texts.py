@@ -1,5 +1,7 @@
 """Messages, replies, chunks, run log and streams."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from sheetloom.operators import conversation as cv
@@ -49,6 +51,45 @@ def test_json_with_a_tail_is_no_json(spark):
     assert cv.decode_events(spark.createDataFrame([(line,)], "line string")).count() == 0
 
 
+def test_long_replies_are_put_together_in_parts(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = []
+    for name, n in (("hot", 4000), ("warm", 300), ("cold", 20), ("open", 900), (None, 700), ("ends", 200)):
+        order = rng.sample(range(10 * n), n)
+        order[1] = order[0]  # a tie
+        stops = {"hot": {order[n // 3]}, "ends": {max(order)}, None: {min(order)}}.get(name, set())
+        rows += [(name, o, rng.choice(["a", "bc", "", None]), "stop" if o in stops else "null") for o in order]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id string, seq int, content string, finish_reason string").repartition(4)
+    plain = sorted(map(str, cv.reassemble_chunks(df).collect()))
+    talks = sorted(map(str, cv.assemble_messages(df, "id", "seq", ("content",)).collect()))
+    monkeypatch.setattr(cv, "PART_ROWS", 250)
+    assert sorted(map(str, cv.reassemble_chunks(df).collect())) == plain
+    assert sorted(map(str, cv.assemble_messages(df, "id", "seq", ("content",)).collect())) == talks
+    got = {r.id: r for r in cv.reassemble_chunks(df).collect()}
+    for name, r in got.items():
+        own = sorted((o, c or "", f == "stop") for i, o, c, f in rows if i == name)
+        stop = min((o for o, _, s in own if s), default=None)
+        kept = [c for o, c, s in own if not s and (stop is None or o < stop)]
+        assert (r.part, r.content, r.chunks, r.finished) == (0, "".join(kept), len(kept), stop is not None), name
+
+
+def test_no_task_gathers_a_hot_reply(spark, monkeypatch):
+    monkeypatch.setattr(cv, "PART_ROWS", 1000)
+    df = spark.range(40000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("id"),
+                                   F.col("id").alias("seq"), F.lit("x").alias("content"))
+
+    def fold(items):
+        return F.struct(F.size(items).alias("n"), F.array_join(F.transform(items, lambda i: i["x"]), "").alias("t"))
+
+    def merge(parts):
+        return F.struct(F.array_max(F.transform(parts, lambda p: p["n"])).alias("n"),
+                        F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("t"))
+
+    found = cv.gather_ordered(df, "id", "seq", F.col("content"), fold, merge).where("id = 'hot'").first().value
+    assert found.t == "x" * 20000 and found.n <= 2 * cv.PART_ROWS
+
+
 def test_hot_reply_is_whole(spark):
     df = spark.range(9000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("id"),
