@@ -51,6 +51,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components not found in {rounds} rounds")
     found = links.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("id"), "component")
     roots = found.select(F.col("component").alias("id"), "component").distinct()
     return keep(found.union(roots))

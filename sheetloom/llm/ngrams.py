@@ -3,26 +3,36 @@
 A document is the set of its word shingles.  Sizes are cut into bands; sets can
 only be similar within a band or between neighbours, so each set gets signatures
 for its own band and for the next.  In a band, two similar sets differ in at most
-k shingles.  The domain of shingles is partitioned n1 times, each part again into
-three; where a part holds at most one differing shingle, two of its three pieces
-agree, so the hash of each pair of pieces is a signature.  n1 = k // 2 + 2 makes
-two such parts certain, so signatures of empty pieces are left out unless a set
-has several parts that could only give those.  No similar pair is missed.
-
-Sets that share signatures directly or through others are a family.  All pairs of
-different sets in a family are compared: its members are dealt to shares, and a task
-counts the common shingles of two shares at a time by products of 0/1 matrices.  It
-returns the number of links of each set and enough edges to join what is linked, so
-no pair is ever written.  Comparisons are exact, on sets of 64-bit shingle hashes.
+k shingles.  For k = 0 the whole set is the signature.  For small k the domain of
+shingles is cut into k + 3 pieces, of which three agree: each choice of three gives
+a signature.  For larger k the domain is cut into parts and each part into three
+pieces; where a part holds at most one differing shingle, two of its three pieces
+agree, so the hash of each pair of pieces is a signature.  (Parts may also stay
+whole; then one without a differing shingle agrees.)  There are so many parts
+that several must be of that kind, so a set whose empty pieces spoil fewer leaves
+out the signatures of empty pieces, which unrelated sets would share.  No similar
+pair is missed.
+
+Sets that share signatures directly or through others are a family.  Each member is
+compared once with the family's first set and turned into its difference from it.
+Two members whose differences are small enough together are linked for certain;
+these links are counted from a histogram of one number per member.  Only pairs that
+this leaves open are compared, by blocks, on the differences: the symmetric
+difference of two members is that of their differences.  A task counts the common
+elements of two shares at a time by products of 0/1 matrices.  It returns numbers
+of links and enough edges to join what is linked, so no pair is ever written.
+Comparisons are exact, on sets of 64-bit shingle hashes.
 
 Null or empty text, or one without words: an empty set, linked with nothing.
 Fewer words than a shingle: the whole sequence is one.  Rows with the same id
-count as one document; a null id gets no link.  An empty table gives no rows.
+count as one document, also when their texts differ; a null id gets no link.  An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +53,13 @@ SIMILARITY = (85, 100)
 #: What the pipeline's stage takes.
 STAGE_WORDS = 5
 STAGE_SIMILARITY = (8, 10)
-SPARE = 1
+#: Differing shingles up to which the domain is cut into pieces once.
+FEW = 9
 
-#: Not used any more: all pairs of a family are compared in one round.
-ROUNDS = 1
 #: Shingles of a share, about; what a task holds is two shares.
 SHARE_SHINGLES = 1 << 20
+#: Sets a task remembers, to emit equal ones once.
+SEEN = 1 << 22
 #: Shingles (columns) of one matrix product.
 COLUMNS = 4096
 
@@ -63,21 +74,41 @@ class Bands:
     def __init__(self, similarity: tuple[int, int] = SIMILARITY):
         self.p, self.q = similarity
         self.last = [0]  # the largest size of each band; band 0 is the empty set
+        self.schemes: dict[int, tuple[int, int, int]] = {}
 
     def of(self, size: int) -> int:
         while self.last[-1] < size:
             self.last.append((self.last[-1] + 1) * self.q // self.p)
         return int(np.searchsorted(self.last, size))
 
-    def parts(self, band: int) -> int:
-        """First-level parts for pairs up to the band's largest size.
+    def differing(self, band: int) -> int:
+        """Shingles that similar sets up to the band's largest size differ in at most.
 
-        They differ in at most (q - p) / (q + p) of the sum of their sizes.
+        That is (q - p) / (q + p) of the sum of their sizes.
         """
         while len(self.last) <= band:
             self.of(self.last[-1] + 1)
-        k = (self.q - self.p) * 2 * self.last[band] // (self.q + self.p)
-        return k // 2 + 1 + SPARE
+        return (self.q - self.p) * 2 * self.last[band] // (self.q + self.p)
+
+
+    def scheme(self, band: int) -> tuple[int, int, int]:
+        """(parts, pieces of a part, spare parts) for pairs in a band.
+
+        The spare parts are as few as outnumber, in all but a few of ten thousand random sets, the parts that have no
+        signature but one of empty pieces; where no number does for three pieces, parts of one piece are tried.
+        """
+        if band not in self.schemes:
+            k, smallest = self.differing(band), self.last[band - 2] + 1 if band > 1 else 1
+            options = []
+            for pieces, needed in ((3, k // 2 + 1), (1, k + 1)):
+                for spare in range(2, k + 6):
+                    parts = needed + spare
+                    agree = 2 if pieces == 3 else 1  # empty pieces that spoil a part
+                    blank = parts * pieces * np.exp(-agree * smallest / (parts * pieces))
+                    options.append((blank + 4 * blank**0.5 + 2 - spare, parts, pieces, spare))
+            found = next((x for x in options if x[0] <= 0), None) or min(options)
+            self.schemes[band] = found[1:]
+        return self.schemes[band]
 
 
 def shingle_sets(part: Texts, words: int) -> Iterator[np.ndarray]:
@@ -87,6 +118,12 @@ def shingle_sets(part: Texts, words: int) -> Iterator[np.ndarray]:
         yield np.unique(window_hashes(hashes[a:b], min(words, max(1, b - a))))
 
 
+def _cuts(shingles: np.ndarray, pieces: int) -> np.ndarray:
+    """Bounds of equal ranges of the hash domain in a sorted set: each piece is a stretch."""
+    limits = (np.arange(1, pieces, dtype=np.float64) / pieces * 2.0**64).astype(np.uint64)
+    return np.concatenate(([0], np.searchsorted(shingles, limits), [len(shingles)]))
+
+
 def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     """Signatures of one set (sorted distinct hashes), for its own band and the next."""
     if not len(shingles):
@@ -95,18 +132,26 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     own = bands.of(len(shingles))
     out = []
     for band in (own, own + 1):
-        n1 = bands.parts(band)
-        # pieces are equal ranges of the hash domain: in a sorted set each is a stretch
-        limits = (np.arange(1, 3 * n1, dtype=np.float64) / (3 * n1) * 2.0**64).astype(np.uint64)
-        cuts = np.concatenate(([0], np.searchsorted(shingles, limits), [len(shingles)]))
-        pieces = (sums[cuts[1:]] - sums[cuts[:-1]]).reshape(n1, 3)
-        empty = (cuts[1:] == cuts[:-1]).reshape(n1, 3)
-        pairs = np.stack((pieces[:, 0] + mix(pieces[:, 1]), pieces[:, 0] + mix(pieces[:, 2] ^ _SALT1),
-                          pieces[:, 1] + mix(pieces[:, 2] ^ _SALT2)), 1)
-        place = np.arange(3 * n1, dtype=np.uint64).reshape(n1, 3) + np.uint64(band << 40)
-        found = mix(pairs + mix(place))
-        if (empty.sum(1) >= 2).sum() <= SPARE:
-            blank = np.stack((empty[:, 0] & empty[:, 1], empty[:, 0] & empty[:, 2], empty[:, 1] & empty[:, 2]), 1)
+        k, salt = bands.differing(band), np.uint64(band << 40)
+        if k == 0:
+            out.append(mix(sums[-1:] + mix(np.array([salt]))))
+            continue
+        if k <= FEW:
+            cuts = _cuts(shingles, k + 3)
+            pieces = mix(sums[cuts[1:]] - sums[cuts[:-1]] + mix(np.arange(k + 3, dtype=np.uint64) + salt))
+            chosen = np.array(list(combinations(range(k + 3), 3)))
+            out.append(mix(pieces[chosen].sum(1) + mix((chosen @ np.array([64, 8, 1])).astype(np.uint64) + salt)))
+            continue
+        parts, pieces, spare = bands.scheme(band)
+        cuts = _cuts(shingles, parts * pieces)
+        held = (sums[cuts[1:]] - sums[cuts[:-1]]).reshape(parts, pieces)
+        blank = (cuts[1:] == cuts[:-1]).reshape(parts, pieces)
+        if pieces == 3:
+            held = np.stack((held[:, 0] + mix(held[:, 1]), held[:, 0] + mix(held[:, 2] ^ _SALT1),
+                             held[:, 1] + mix(held[:, 2] ^ _SALT2)), 1)
+            blank = np.stack((blank[:, 0] & blank[:, 1], blank[:, 0] & blank[:, 2], blank[:, 1] & blank[:, 2]), 1)
+        found = mix(held + mix(np.arange(parts * pieces, dtype=np.uint64).reshape(parts, pieces) + salt))
+        if blank.any(1).sum() <= spare:
             found = found[~blank]
         out.append(found.reshape(-1))
     return np.concatenate(out)
@@ -130,25 +175,26 @@ def set_columns(docs: DataFrame, text: str, words: int) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """(sig, id) of ``docs`` (id, text); a task emits equal sets once."""
+    """(sig, id) of the sets of ``docs`` (text); ``id`` is the set's first hash, and a task emits equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(similarity), set()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for part in slices(batch.column(1), lower=True):
+            for part in slices(batch.column(0), lower=True):
                 sigs, owners = [], []
-                for i, s in enumerate(shingle_sets(part, words), part.first):
-                    whole = (int(mix(s ^ _SALT1).sum()), int(mix(s ^ _SALT2).sum())) if len(s) else None
+                for s in shingle_sets(part, words):
+                    whole = int(mix(s ^ _SALT1).sum()) if len(s) else None
                     if whole is None or whole in seen:
                         continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(whole)
                     own = signatures(s, bands)
                     sigs.append(own)
-                    owners.append(np.full(len(own), ids[i], np.int64))
+                    owners.append(np.full(len(own), whole, np.uint64))
                 if sigs:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owners))],
+                        [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owners).view(np.int64))],
                         names=["sig", "id"])
 
     return docs.mapInArrow(run, "sig long, id long")
@@ -186,12 +232,17 @@ def shared(rows: DataFrame) -> DataFrame:
             .mapInArrow(run, "sig long, id long, first long"))
 
 
-def block_links(share: np.ndarray, sets: list[np.ndarray], similarity: tuple[int, int]) -> np.ndarray:
-    """Which of ``sets`` are similar, as a symmetric matrix: all pairs of one share, or those between two."""
+def block_links(share: np.ndarray, sets: list[np.ndarray], size: np.ndarray, open_by: np.ndarray,
+                similarity: tuple[int, int]) -> np.ndarray:
+    """Which of the sets of ``size`` are similar, as a symmetric matrix: pairs of one share, or those between two.
+
+    ``sets`` holds their differences from one set; only pairs whose sum of ``open_by`` is positive are asked for.
+    """
     p, q = similarity
-    size = np.array([len(x) for x in sets])
     asked = ~np.eye(len(sets), dtype=bool) if share.min() == share.max() else share[:, None] != share[None, :]
-    owner = np.repeat(np.arange(len(sets)), size)
+    asked &= open_by[:, None] + open_by[None, :] > 0
+    own = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), own)
     _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     several = held[column] > 1  # what one set alone has is in no intersection
     number = np.cumsum(held > 1) - 1
@@ -205,7 +256,8 @@ def block_links(share: np.ndarray, sets: list[np.ndarray], similarity: tuple[int
         has = np.zeros((len(sets), width), np.float32)  # sums of at most COLUMNS ones are exact
         has[owner[lo:hi], column[lo:hi] - start] = 1
         both += (has @ has.T).astype(np.int64)
-    return asked & (q * both >= p * (size[:, None] + size[None, :] - both))
+    apart = own[:, None] + own[None, :] - 2 * both
+    return asked & ((q + p) * apart <= (q - p) * (size[:, None] + size[None, :]))
 
 
 def joining(link: np.ndarray) -> list[tuple[int, int]]:
@@ -223,17 +275,59 @@ def joining(link: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def family_links(members: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """(a, b, links) from ``members`` (family, class, size): edges (a <> b) that join what is linked, and numbers of
-    links of a = b, to be added up.  Texts travel, not sets: they are compressed to a fraction of the hashes."""
+DIFFERENCES = "family long, class long, size long, open_by long, diff binary"
+
+
+def differences(members: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """Members (family, class, size, id, mark), with their texts from (id, mark, text), as their differences from the set whose class is the family's name.
+
+    ``open_by`` is (q + p) * size of the difference - (q - p) * size: two members are linked for certain when their
+    sum is not above zero.  Members are dealt to shares; the first set goes to each share of its family.
+    """
+    p, q = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, share, name, held = None, [], [], []
+        first, last = np.zeros(0, np.uint64), None
+        for batch in batches:
+            family, cls, share = (batch.column(i).to_pylist() for i in range(3))
+            rows = []
+            sets = (x for part in slices(batch.column(3), lower=True) for x in shingle_sets(part, words))
+            for f, c, n, x in zip(family, cls, share, sets, strict=True):
+                if (f, c, n) == last:  # a row that is there several times
+                    continue
+                last = f, c, n
+                if f == c:
+                    first = x
+                    if n > 0:
+                        continue
+                diff = np.setxor1d(x, first, assume_unique=True)
+                rows.append((f, c, len(x), (q + p) * len(diff) - (q - p) * len(x), diff.tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(col, pa.binary() if i == 4 else pa.int64()) for i, col in enumerate(zip(*rows))],
+                    names=["family", "class", "size", "open_by", "diff"])
+
+    shares = F.ceil(F.greatest(F.count("*") / graph.SHARE, F.sum("size") / SHARE_SHINGLES)).cast("int")
+    dealt = members.join(members.groupBy("family").agg(shares.alias("shares")), "family")
+    is_first = F.col("family") == F.col("class")
+    own = F.array(F.pmod(F.xxhash64("class"), "shares").cast("int"))
+    dealt = dealt.withColumn("share", F.explode(F.when(is_first, F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(own)))
+    rows = texts.join(dealt.withColumn("after", (~is_first).cast("int")), ["id", "mark"])
+    return (rows.repartition("family", "share").sortWithinPartitions("family", "share", "after", "class")
+            .select("family", "class", "share", "text").mapInArrow(run, DIFFERENCES))
+
+
+def open_links(open_members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b, links) of the pairs that differences leave open, from rows like those of ``differences``: edges (a <> b)
+    that join what is linked, and numbers of links of a = b, to be added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, share, name, size, open_by, held = None, [], [], [], [], []
 
         def done():
             if len(held) < 2:
                 return []
-            link, ids = block_links(np.array(share), held, similarity), np.array(name)
+            link, ids = block_links(np.array(share), held, np.array(size), np.array(open_by), similarity), np.array(name)
             n = link.sum(1)
             some = np.flatnonzero(n)
             edges = np.array(joining(link), np.int64).reshape(-1, 2)
@@ -243,54 +337,81 @@ def family_links(members: DataFrame, texts: DataFrame, words: int, similarity: t
                  pa.array(np.concatenate((np.zeros(len(edges), np.int64), n[some])))], names=["a", "b", "links"])]
 
         for batch in batches:
-            sets = [x for part in slices(batch.column(5), lower=True) for x in shingle_sets(part, words)]
-            for *block, s, c, x in zip(*[col.to_pylist() for col in batch.columns[:5]], sets):
+            for *block, s, c, n, v, x in zip(*[col.to_pylist() for col in batch.columns]):
                 if block != key:
                     yield from done()
-                    key, share, name, held = block, [], [], []
-                share.append(s)
-                name.append(c)
-                held.append(x)
+                    key, share, name, size, open_by, held = block, [], [], [], [], []
+                for column, value in zip((share, name, size, open_by, held), (s, c, n, v, np.frombuffer(x, np.uint64))):
+                    column.append(value)
         yield from done()
 
-    shares = F.ceil(F.greatest(F.count("*") / graph.SHARE, F.sum("size") / SHARE_SHINGLES)).cast("int")
-    dealt = members.join(members.groupBy("family").agg(shares.alias("shares")), "family")
+    weight = F.sum(F.octet_length("diff")) / 8
+    shares = F.ceil(F.greatest(F.count("*") / graph.SHARE, weight / SHARE_SHINGLES)).cast("int")
+    dealt = open_members.join(open_members.groupBy("family").agg(shares.alias("shares")), "family")
     dealt = dealt.withColumn("share", F.pmod(F.xxhash64("class"), "shares").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
-    blocks = (dealt.select("family", "class", "share", other.alias("other"))
-              .select("family", F.least("share", "other").alias("i"), F.greatest("share", "other").alias("j"),
-                      "share", "class"))
-    rows = blocks.join(texts.withColumnRenamed("id", "class"), "class").select(*blocks.columns, "text")
-    return (rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    blocks = dealt.select("family", "class", "size", "open_by", "diff", "share", other.alias("other")).select(
+        "family", F.least("share", "other").alias("i"), F.greatest("share", "other").alias("j"), "share", "class", "size",
+        "open_by", "diff")
+    return (blocks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
             .mapInArrow(run, "a long, b long, links long"))
 
 
+def family_links(members: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b, links) of all linked pairs of members (see ``differences``), as ``open_links`` gives them."""
+    found = keep(differences(members, texts, words, similarity))
+    of = keep(found.groupBy("family").agg(F.max("open_by").alias("top"), F.min("open_by").alias("low"),
+                                          F.min_by("class", F.struct("open_by", "class")).alias("centre")))
+    # certain links of a member: members whose number is at most its own with the other sign, without itself
+    counts = found.groupBy("family", "open_by").agg(F.count("*").alias("n"))
+    asked = counts.select("family", (-F.col("open_by")).alias("at"), F.lit(0).cast("long").alias("n"), F.col("open_by"))
+    points = counts.select("family", F.col("open_by").alias("at"), "n", F.lit(None).cast("long").alias("open_by"))
+    upto = Window.partitionBy("family").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    sure = (points.unionByName(asked).withColumn("upto", F.sum("n").over(upto)).where("open_by IS NOT NULL")
+            .select("family", "open_by", (F.col("upto") - (F.col("open_by") <= 0).cast("int")).alias("links"))
+            .where("links > 0"))
+    own = found.select("family", "class", "open_by").join(sure, ["family", "open_by"])
+    own = own.select(F.col("class").alias("a"), F.col("class").alias("b"), "links")
+    # the member nearest to the family's first set is linked with each that has a certain link
+    star = found.select("family", "class", "open_by").join(of, "family").where(
+        (F.col("open_by") + F.col("low") <= 0) & (F.col("class") != F.col("centre")))
+    star = star.select(F.col("centre").alias("a"), F.col("class").alias("b"), F.lit(0).cast("long").alias("links"))
+    still = found.join(of.where("top > 0").select("family", "top"), "family").where(
+        F.col("open_by") + F.col("top") > 0).drop("top")
+    return own.unionByName(star).unionByName(open_links(keep(still), similarity))
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
                    similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(key, size, component, links): one row per row of ``docs``; ``links`` counts the different sets similar to its set."""
     ready(docs.sparkSession)
-    source = docs.select(F.col(ident(key)).cast("long").alias("id"), F.col(ident(text)).alias("text"))
-    rows = keep(set_columns(source, "text", words).drop("text"))
+    source = docs.select(F.col(ident(key)).cast("long").alias("id"), F.col(ident(text)).alias("text"),
+                         F.xxhash64(F.col(ident(text))).alias("mark"))
+    rows = keep(set_columns(source.withColumn("row", F.monotonically_increasing_id()), "text", words).drop("text"))
     there = rows.where("id IS NOT NULL AND size > 0")
-    classes = keep(there.groupBy("size", "h1", "h2").agg(F.min("id").alias("class")))
-    named = keep(there.select("id", "size", "h1", "h2").join(classes, ["size", "h1", "h2"])
-                 .select("id", "class").distinct())
+    # a class is a distinct set, named by one of its rows; id and mark tell where its text is
+    classes = keep(there.groupBy("size", "h1", "h2").agg(F.min(F.struct("row", "id", "mark")).alias("at"))
+                   .select("size", "h1", "h2", F.col("at.row").alias("class"), "at.id", "at.mark"))
+    named = keep(there.join(classes.select("size", "h1", "h2", "class"), ["size", "h1", "h2"]).select("id", "class").distinct())
 
-    held = shared(signature_rows(source.where("id IS NOT NULL"), words, similarity)).where("id <> first")
-    of = {x: named.select(F.col("id").alias(x), F.col("class").alias(f"{x}_class")) for x in ("id", "first")}
+    held = shared(signature_rows(source.where("id IS NOT NULL").select("text"), words, similarity)).where("id <> first")
+    of = {x: classes.select(F.col("h1").alias(x), F.col("class").alias(f"{x}_class")) for x in ("id", "first")}
     star = (keep(held.select("id", "first").distinct()).join(of["id"], "id").join(of["first"], "first")
             .select(F.col("id_class").alias("a"), F.col("first_class").alias("b")).where("a <> b"))
     families = components(star)
-    members = keep(families.select(F.col("id").alias("class"), F.col("component").alias("family"))
-                   .join(classes.groupBy("class").agg(F.max("size").alias("size")), "class"))
-    texts = source.join(members.select(F.col("class").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    found = keep(family_links(members, texts, words, similarity))
-    final = components(found.where("a <> b").select("a", "b"))
+    members = families.select(F.col("id").alias("class"), F.col("component").alias("family")).join(classes, "class")
+    members = keep(members.select("family", "class", "size", "id", "mark"))
+    found = keep(family_links(members, source, words, similarity))
+    # texts of one id are one document
+    several = named.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z")
+    same = named.join(several, "id").where(F.col("class") != F.col("a")).select("a", F.col("class").alias("b"))
+    final = components(found.where("a <> b").select("a", "b").unionByName(same))
     degree = found.where("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
-    by_class = named.join(final.withColumnRenamed("id", "class"), "class", "left").join(degree, "class", "left") \
-        .groupBy("id").agg(F.min(F.coalesce("component", "class")).alias("component"),
-                           F.max(F.coalesce("links", F.lit(0))).alias("links"))
-    return (rows.join(by_class, "id", "left")
+    placed = keep(named.join(final.withColumnRenamed("id", "class"), "class", "left").join(degree, "class", "left")
+                  .select("id", F.coalesce("component", "class").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))
+    smallest = placed.groupBy("component").agg(F.min("id").alias("smallest"))
+    by_id = placed.join(smallest, "component").groupBy("id").agg(F.min("smallest").alias("component"), F.max("links").alias("links"))
+    return (rows.join(by_id, "id", "left")
             .select(F.col("id").alias("key"), "size", F.coalesce("component", "id").alias("component"),
                     F.coalesce("links", F.lit(0)).cast("long").alias("links")))
 

@@ -51,3 +51,63 @@ def test_stage_takes_five_words_and_four_fifths(docs, spark):
         if i == min(group):
             stays.add(i)
     assert {r.doc_id for r in ngrams.first_of_group_stage(spark, docs(texts), "").collect()} == stays
+
+
+def test_unrelated_sets_form_no_family():
+    import numpy as np
+
+    rng, bands = np.random.default_rng(3), {x: ngrams.Bands(x) for x in ((85, 100), (8, 10))}
+    for size, n in ((1, 300), (2, 300), (5, 300), (10, 300), (20, 200), (40, 200), (100, 100), (1000, 50), (20000, 60)):
+        for similarity, own in bands.items():
+            seen, joined = set(), 0
+            for _ in range(n):
+                sigs = set(ngrams.signatures(np.sort(rng.integers(0, 2**64, size, np.uint64)), own).tolist())
+                joined += bool(sigs & seen)
+                seen |= sigs
+            assert joined <= n // 50, (size, similarity, joined)
+
+
+def test_similar_sets_share_a_signature():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for p, q in ((85, 100), (8, 10)):
+        bands = ngrams.Bands((p, q))
+        for size in [*range(1, 60), 150, 900]:
+            for _ in range(20):
+                x = np.unique(rng.integers(0, 2**64, size, np.uint64))
+                # as many elements dropped and added as the similarity allows
+                out = int(rng.integers(0, size * (q - p) // q + 1))
+                add = (q * (size - out) - p * size) // p
+                y = np.unique(np.concatenate((rng.permutation(x)[out:], rng.integers(0, 2**64, add, np.uint64))))
+                both = len(np.intersect1d(x, y))
+                assert q * both >= p * (len(x) + len(y) - both)
+                a, b = (set(ngrams.signatures(z, bands).tolist()) for z in (x, y))
+                assert a & b, (size, out, add)
+
+
+def test_chains_and_texts_of_one_id(docs, monkeypatch):
+    monkeypatch.setattr(graph, "SHARE", 4)
+    rng = random.Random(11)
+    base = [f"c{i}" for i in range(120)]
+    texts = {}
+    for i in range(14):  # each is near the next only
+        texts[100 - i] = " ".join(base)
+        base[8 * i:8 * i + 1] = [f"d{rng.randrange(10**6)}"]
+        base[8 * i + 4:8 * i + 5] = [f"e{rng.randrange(10**6)}"]
+    texts |= {i + 200: t for i, t in families(rng, (30, 30, 60), (0, 1, 1, 2)).items()}
+    rows = [*texts.items(), (100, texts[200]), (100, texts[100]), (None, texts[200])]
+    near = linked(texts, 4, 85, 100)
+    group, todo = {100}, [100]
+    near[100] = near[100] | near[200] | {200}
+    while todo:
+        new = near[todo.pop()] - group
+        group |= new
+        todo += new
+    got = {}
+    for r in ngrams.similar_groups(docs(rows)).collect():
+        got.setdefault(r.key, set()).add(r.component)
+    assert min(group) not in (100, None) and len(group) >= 15
+    for i in texts:
+        assert (got[i] == {min(group)}) == (i in group), i
+    assert got[None] == {None}
