@@ -76,6 +76,16 @@ def _(spark, d):
     return pr.uniqueness(lines(spark, d), "sheet_id", exact=False)
 
 
+#: the sketch stays within three times its stated error of 5 %
+@query("uniqueness_sketch_error", per_line_col("count(*) AS total_rows, count({c}) AS non_null, TRUE AS within"))
+def _(spark, d):
+    sketch = pr.uniqueness(lines(spark, d), "sheet_id", exact=False)
+    exact = pr.uniqueness(lines(spark, d), "sheet_id").select("sheet_id", "column", F.col("distinct_count").alias("n"))
+    both = sketch.join(exact, ["sheet_id", "column"])
+    return both.select("sheet_id", "column", "position", "total_rows", "non_null",
+                       (F.abs(F.col("distinct_count") - F.col("n")) <= 3 * 0.05 * F.col("n")).alias("within"))
+
+
 @query("duplication_rate", per_line_col(
     "count({c}) AS non_null, count(DISTINCT {c}) AS distinct_count, "
     "1e0 - CAST(count(DISTINCT {c}) AS DOUBLE) / count({c}) AS duplication_rate"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import match
-from checks.inputs import PROFILES, any_of, profiles, rnd, srnd, table
+from checks.inputs import LINES, PROFILES, any_of, lines, profiles, rnd, srnd, table
 from sheetloom.dictionary import ENGLISH
 from sheetloom.operators import evidence as ev
 from sheetloom.operators import matching as mt
@@ -207,3 +207,22 @@ def _(spark, d):
   ORDER BY uniqueness DESC, position) AS INT) AS rank FROM profiles WHERE null_rate = 0""")
 def _(spark, d):
     return ev.key_candidates(profiles(spark, d)).select("sheet_id", "column", "rank")
+
+
+_PAIRS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_linestatus", "l_shipdate"]
+
+
+def _pair_sql(a: str, b: str) -> str:
+    def side(of: str, other: str, name: str) -> str:
+        return (f"(SELECT sheet_id, max(n) AS {name} FROM (SELECT sheet_id, {of}, count(DISTINCT {other}) AS n FROM lines "
+                f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY sheet_id, {of}) z GROUP BY sheet_id)")
+    return (f"SELECT x.sheet_id, '{a}' AS a, '{b}' AS b, max_b_per_a, max_a_per_b FROM {side(a, b, 'max_b_per_a')} x "
+            f"JOIN {side(b, a, 'max_a_per_b')} y ON y.sheet_id = x.sheet_id")
+
+
+@query("relation_matrix", f"WITH {LINES}, p AS (" + " UNION ALL ".join(
+    _pair_sql(a, b) for i, a in enumerate(_PAIRS) for b in _PAIRS[i + 1:]) + """)
+SELECT *, CASE WHEN max_a_per_b > 1 AND max_b_per_a > 1 THEN 'N:M' WHEN max_a_per_b > 1 THEN 'N:1' WHEN max_b_per_a > 1 THEN '1:N'
+  ELSE '1:1' END AS relation FROM p""")
+def _(spark, d):
+    return ev.relation_matrix(lines(spark, d), _PAIRS, "sheet_id")

@@ -381,9 +381,43 @@ def _(spark, d):
     return rs.promote_header(cells, rs.detect_header_row(cells))
 
 
-@query("repair_headers", PROMOTE)
+#: by number of the customer: a header row to promote, headers that need cleaning, sheets without any text
+def mixed_cells(spark, d):
+    kind = F.substring("sheet_id", 5, 20).cast("int") % 3
+    given = F.get(F.array(F.lit(" order "), F.lit("qty"), F.lit("qty"), F.lit(None).cast("string")), F.col("col_no"))
+    raw = F.when((kind != 2) | (F.col("kind") == "int"), F.col("raw"))
+    return raw_cells(spark, d).withColumn("column", F.when(kind == 1, given).otherwise(F.col("column"))) \
+        .withColumn("raw", raw).withColumn("kind", text_kind(F.col("raw")))
+
+
+MIXED = f"""{RAW}, mixed AS MATERIALIZED (SELECT sheet_id, row_no, col_no, CASE WHEN k <> 1 THEN "column"
+    WHEN col_no = 0 THEN ' order ' WHEN col_no < 3 THEN 'qty' END AS "column",
+    CASE WHEN k <> 2 OR kind = 'int' THEN raw END AS raw, CASE WHEN k <> 2 OR kind = 'int' THEN kind ELSE 'null' END AS kind, k
+  FROM (SELECT *, CAST(substr(sheet_id, 5) AS INT) % 3 AS k FROM cells) x),
+{DETECT.replace("FROM cells WHERE", "FROM mixed WHERE k <> 1 AND")},
+headers AS (SELECT c.sheet_id, c.col_no, CASE WHEN lower(c.raw) LIKE 'unnamed%' THEN NULL ELSE c.raw END AS header
+  FROM mixed c JOIN best b ON b.sheet_id = c.sheet_id AND b.header_row = c.row_no
+  UNION ALL SELECT DISTINCT sheet_id, col_no, "column" FROM mixed WHERE sheet_id NOT IN (SELECT sheet_id FROM best)),
+names AS (WITH {_DEDUPE}),
+repaired AS (SELECT c.sheet_id, coalesce(c.row_no - b.header_row - 1, c.row_no) AS row_no, c.col_no, n."column", c.raw, c.kind
+  FROM mixed c LEFT JOIN best b ON b.sheet_id = c.sheet_id JOIN names n ON n.sheet_id = c.sheet_id AND n.col_no = c.col_no
+  WHERE b.header_row IS NULL OR c.row_no > b.header_row)"""
+
+
+@query("repair_headers", f"WITH {MIXED} SELECT * FROM repaired")
+def _(spark, d):
+    return repair_headers(mixed_cells(spark, d))
+
+
+#: headers as they are: repeated, and blank in the last column
+@query("from_cells_repeated", f"""WITH {MIXED}, c AS (SELECT sheet_id, row_no, max(raw) FILTER (WHERE col_no = 1) AS a,
+  max(raw) FILTER (WHERE col_no = 2) AS b, max(raw) FILTER (WHERE col_no = 3) AS c FROM mixed WHERE k = 1 GROUP BY 1, 2)
+SELECT sheet_id, row_no, a AS qty, b AS qty_1, c AS blank FROM c""")
 def _(spark, d):
-    return repair_headers(raw_cells(spark, d))
+    cells = mixed_cells(spark, d).where(F.substring("sheet_id", 5, 20).cast("int") % 3 == 1)
+    get = lambda k: F.element_at("row", k)
+    return rs.from_cells(cells).select("sheet_id", "row_no", get("qty").alias("qty"), get("qty_1").alias("qty_1"),
+                                       get("列").alias("blank"))
 
 
 # ------------------------------------------------------------- column filters

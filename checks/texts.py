@@ -205,6 +205,14 @@ def _(spark, d):
     return rl.progress_summary(step_events(spark, d))
 
 
+@query("step_rows", f"""WITH {STEP_EVENTS}, r AS (SELECT DISTINCT run_id FROM st),
+w AS (SELECT i::INT - 1 AS step_no, ([{_STEPS}])[i] AS step FROM range(1, 8) t(i))
+SELECT r.run_id, CAST(w.step_no AS INT) AS step_no, w.step, coalesce(status, 'pending') AS status, error, {_DUR} AS duration
+FROM r JOIN w ON TRUE LEFT JOIN st ON st.run_id = r.run_id AND st.step = w.step""")
+def _(spark, d):
+    return rl.step_rows(step_events(spark, d)).drop("metadata")
+
+
 @query("run_summary", f"""WITH {STEP_EVENTS}, {PROGRESS} SELECT run_id, completed_steps = 7 AS success,
   {_PP} AS success_rate, {_EL} AS total_duration, completed_steps, total_steps FROM pr""")
 def _(spark, d):
@@ -279,3 +287,37 @@ def _(spark, d):
     name = "replies_" + os.urandom(4).hex()
     replies = live.stream_chunks(stream, "6 hours", "1 hour")
     return _drain(spark, replies, name, "append").drop("started")
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@query("stream_replies", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS id, event_id, event_type FROM events),
+s AS (SELECT id, min(event_id) FILTER (WHERE event_type = 'error') AS stop_at FROM e GROUP BY id)
+SELECT e.id, coalesce(string_agg(event_type || ' ', '' ORDER BY event_id) FILTER (WHERE stop_at IS NULL OR event_id < stop_at), '')
+  AS content, count(*) FILTER (WHERE stop_at IS NULL OR event_id < stop_at) AS chunks, any_value(stop_at IS NOT NULL) AS finished
+FROM e JOIN s ON s.id = e.id GROUP BY e.id""")
+def _(spark, d):
+    t = F.col("event_type")
+    chunks = table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("seq"), F.concat(t, F.lit(" ")).alias("content"),
+        F.when(t == "error", "stop").otherwise("null").alias("finish_reason"), "ts")
+    place = scratch(spark, "replies")
+    chunks.write.parquet(f"{place}/in")
+    # a last event, years later, moves the watermark beyond all gaps
+    chunks.agg(F.lit("end").alias("id"), F.lit(0).cast("long").alias("seq"), F.lit("").alias("content"),
+               F.lit("null").alias("finish_reason"), (F.max("ts") + F.expr("INTERVAL 5000 DAYS")).alias("ts")) \
+        .write.mode("append").parquet(f"{place}/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKS)
+    try:
+        files = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1000).parquet(f"{place}/in")
+        (live.stream_replies(files, "4000 days", "1 hour").writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start(f"{place}/out").awaitTermination())
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+    return spark.read.schema(live.REPLY).parquet(f"{place}/out").where("id <> 'end'")

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheetloom.functions.exprs import as_list, contains_any, inline_structs, q, ratio
 
@@ -136,16 +137,50 @@ def relation_kind(df: DataFrame, a: str, b: str, by: By = None) -> DataFrame:
     )
 
 
+def relation_matrix(df: DataFrame, columns: Sequence[str], by: By = None) -> DataFrame:
+    """Relation of every pair of columns, as ``relation_kind`` gives it, from one job.
+
+    A row becomes one row per pair, with 64-bit hashes of both values; distinct pairs are counted as for one pair, and
+    a hot value is reduced before it travels.  Rows in which a value of the pair is NULL don't count for it.  A pair
+    without rows is left out.
+    """
+    keys = as_list(by)
+    outer = [q(k) for k in keys]
+    hashed = df.select(*outer, *[F.when(q(c).isNotNull(), F.xxhash64(q(c))).alias(f"__{i}") for i, c in enumerate(columns)])
+    pairs = [F.struct(F.lit(i).alias("__i"), F.lit(j).alias("__j"), F.col(f"__{i}").alias("__a"), F.col(f"__{j}").alias("__b"))
+             for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    spread = hashed.select(*outer, inline_structs(pairs)).where("__a IS NOT NULL AND __b IS NOT NULL").distinct()
+    sides = spread.select(*outer, "__i", "__j", F.inline(F.array(
+        F.struct(F.lit(True).alias("__of_a"), F.col("__a").alias("__v")),
+        F.struct(F.lit(False).alias("__of_a"), F.col("__b").alias("__v")))))
+    degree = sides.groupBy(*outer, "__i", "__j", "__of_a", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    most = degree.groupBy(*outer, "__i", "__j").agg(
+        F.max(F.when(F.col("__of_a"), F.col("__n"))).alias("max_b_per_a"),
+        F.max(F.when(~F.col("__of_a"), F.col("__n"))).alias("max_a_per_b"))
+    names = F.array(*[F.lit(c) for c in columns])
+    many_b, many_a = F.col("max_b_per_a") > 1, F.col("max_a_per_b") > 1
+    return most.select(*outer, F.get(names, F.col("__i")).alias("a"), F.get(names, F.col("__j")).alias("b"),
+                       "max_b_per_a", "max_a_per_b",
+                       F.when(many_a & many_b, "N:M").when(many_a, "N:1").when(many_b, "1:N").otherwise("1:1").alias("relation"))
+
+
 def functional_dependency(df: DataFrame, lhs: str, rhs: Sequence[str], by: By = None) -> DataFrame:
     """Groups of ``lhs`` in which a dependent column takes several values.
 
     A group holds one value exactly when minimum and maximum agree, so no
-    distinct aggregate is needed and all dependents share one pass.
+    distinct aggregate is needed and all dependents share one pass.  Texts are
+    compared by a 64-bit hash: numbers are aggregated in hash tables, while the
+    least of texts would need all rows sorted.
     """
     keys = as_list(by)
     outer = [q(k) for k in keys]
+
+    def value(c: str) -> Column:
+        is_text = isinstance(df.schema[c].dataType, T.StringType)
+        return F.when(q(c).isNotNull(), F.xxhash64(q(c))) if is_text else q(c)
+
     groups = df.where(q(lhs).isNotNull()).groupBy(*outer, q(lhs).alias("__l")).agg(
-        *[(F.min(q(c)) != F.max(q(c))).alias(f"__v{i}") for i, c in enumerate(rhs)]
+        *[(F.min(value(c)) != F.max(value(c))).alias(f"__v{i}") for i, c in enumerate(rhs)]
     )
     totals = groups.groupBy(*outer).agg(
         F.count(F.lit(1)).alias("groups"),

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from sheetloom import dictionary as fixed
 from sheetloom.functions.exprs import (
     as_list,
+    bound,
     contains_any,
     data_columns,
     inline_structs,
@@ -111,16 +112,19 @@ def to_cells(df: DataFrame, row_id: str, by: str | None = None, sheet: str = "sh
 
 
 def from_cells(cells: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows again: typed by explicit ``columns``, else one map per row."""
+    """Rows again: typed by explicit ``columns``, else one map per row.
+
+    In a map a blank header gets a name and a repeated one the first free number.
+    """
     if columns is not None:
         return cells.groupBy("sheet_id", "row_no").pivot("column", list(columns)).agg(
             F.first("raw", ignorenulls=True)
         )
-    entries = F.array_sort(F.collect_list(F.struct("col_no", "column", "raw")))
-    return cells.groupBy("sheet_id", "row_no").agg(entries.alias("__e")).select(
-        "sheet_id", "row_no",
-        F.map_from_entries(F.transform("__e", lambda e: F.struct(e.column, e.raw))).alias("row"),
-    )
+    entries = F.sort_array(F.collect_list(F.struct("col_no", "column", "raw")))
+    rows = cells.groupBy("sheet_id", "row_no").agg(entries.alias("__e"))
+    names = F.transform("__e", lambda e: F.coalesce(e.column, F.lit(BLANK_HEADER)))
+    unique = bound(names, lambda n: F.when(F.size(F.array_distinct(n)) == F.size(n), n).otherwise(free_names(n)))
+    return rows.select("sheet_id", "row_no", F.map_from_arrays(unique, F.transform("__e", lambda e: e.raw)).alias("row"))
 
 
 def infer_cell_kind(cells: DataFrame) -> DataFrame:
@@ -196,10 +200,8 @@ def _number_repeats(df: DataFrame, source: str, target: str) -> DataFrame:
     )
 
 
-def _settle(df: DataFrame) -> DataFrame:
-    """Names unique per sheet; a sheet's headers fit one row."""
-    again = _number_repeats(df, "column", "column")
-    others = [c for c in again.columns if c not in ("sheet_id", "col_no", "column")]
+def free_names(names: Column) -> Column:
+    """Names told apart: one that was there before takes the first free number."""
 
     def free(taken: Column, name: Column) -> Column:
         numbers = F.sequence(F.lit(1), F.size(taken) + 1)
@@ -207,29 +209,43 @@ def _settle(df: DataFrame) -> DataFrame:
         first = F.get(F.filter(numbered, lambda n: ~F.array_contains(taken, n)), 0)
         return F.when(F.array_contains(taken, name), first).otherwise(name)
 
+    return F.aggregate(names, F.array().cast("array<string>"), lambda taken, x: F.concat(taken, F.array(free(taken, x))))
+
+
+def _settle(df: DataFrame) -> DataFrame:
+    """Names unique per sheet; a sheet's headers fit one row."""
+    again = _number_repeats(df, "column", "column")
+    others = [c for c in again.columns if c not in ("sheet_id", "col_no", "column")]
+
     packed = again.groupBy("sheet_id").agg(F.array_sort(F.collect_list(
         F.struct("col_no", "column", *[q(c) for c in others]))).alias("__h"))
-    names = F.aggregate("__h", F.array().cast("array<string>"),
-                        lambda taken, x: F.concat(taken, F.array(free(taken, x["column"]))))
+    names = free_names(F.transform("__h", lambda x: x["column"]))
     rows = packed.withColumn("__n", names).select("sheet_id", F.inline(F.transform("__h", lambda x, i: F.struct(
         x["col_no"].alias("col_no"), F.get("__n", i).alias("column"), *[x[c].alias(c) for c in others]))))
     return rows.select(*[q(c) for c in again.columns])
 
 
-def promote_header(cells: DataFrame, header_rows: DataFrame, cut: bool = True) -> DataFrame:
+def promote_header(cells: DataFrame, header_rows: DataFrame, cut: bool = True, top: DataFrame | None = None,
+                   headers: DataFrame | None = None) -> DataFrame:
     """Header cells become column names, rows through it go, rest is renumbered.
 
-    Sheets without a detected header row keep their cells.  The names (one row
-    per sheet) are written once (``cut``): while they are small, the cells stay
-    where they are instead of being shuffled.
+    Sheets without a detected header row keep their cells; with ``headers``
+    (sheet_id, col_no, header) their names are cleaned and told apart too.  ``top``
+    holds the cells of the first rows, so that ``cells`` need not be read for them.
+    The names (one row per sheet) are written once (``cut``): while they are small,
+    the cells stay where they are instead of being shuffled.
     """
     found = header_rows.select("sheet_id", F.col("header_row").alias("row_no"))
     if cut:
         found = materialize(found)
-    header_cells = join_on(cells, found, ["sheet_id", "row_no"], "left_semi").select(
+    header_cells = join_on(cells if top is None else top, found, ["sheet_id", "row_no"], "left_semi").select(
         "sheet_id", "row_no", "col_no",
         F.when(~is_unnamed(F.col("raw")), F.col("raw")).alias("header"),
     )
+    if headers is not None:
+        rest = join_on(headers, found, ["sheet_id"], "left_anti")
+        header_cells = header_cells.unionByName(rest.select(
+            "sheet_id", F.lit(None).cast("long").alias("row_no"), "col_no", "header"))
     # one small row per sheet: header row and its names by column number
     repair = dedupe_headers(header_cells).groupBy("sheet_id").agg(
         F.max("row_no").alias("__at"),
@@ -246,6 +262,13 @@ def promote_header(cells: DataFrame, header_rows: DataFrame, cut: bool = True) -
     )
 
 
+def column_tops(cells: DataFrame, scan: int = 10) -> DataFrame:
+    """(sheet_id, col_no, column, top): each column with its cells of the first rows, from one pass."""
+    cell = F.struct("row_no", "raw", "kind")
+    return cells.groupBy("sheet_id", "col_no").agg(
+        F.max("column").alias("column"), F.collect_list(F.when(F.col("row_no") < scan, cell)).alias("top"))
+
+
 # ------------------------------------------------------------- column filters
 
 

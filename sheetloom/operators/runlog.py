@@ -76,6 +76,22 @@ def step_status(events: DataFrame) -> DataFrame:
     return join_on(states, merged, ["run_id", "step"], "left")
 
 
+def step_rows(events: DataFrame, steps: Sequence[str] = TRACKED_STEPS) -> DataFrame:
+    """One row per run and tracked step in order; steps without events are pending.
+
+    A run that only has other steps has all tracked ones pending.
+    """
+    states = step_status(events)
+    shown = [c for c in ("status", "duration", "error", "metadata") if c in states.columns]
+    state = F.struct("step", *shown)
+    # at most one struct per tracked step in a run's row
+    runs = states.groupBy("run_id").agg(F.collect_list(F.when(F.col("step").isin(*steps), state)).alias("__s"))
+    rows = runs.select("run_id", "__s", F.posexplode(F.array(*[F.lit(s) for s in steps])).alias("step_no", "step"))
+    rows = rows.withColumn("__x", F.get(F.filter("__s", lambda s: s["step"] == F.col("step")), F.lit(0)))
+    return rows.select("run_id", "step_no", "step", F.coalesce("__x.status", F.lit("pending")).alias("status"),
+                       *[F.col(f"__x.{c}").alias(c) for c in shown if c != "status"])
+
+
 def progress_summary(events: DataFrame, steps: Sequence[str] = TRACKED_STEPS) -> DataFrame:
     """Completed, failed, running and pending steps per run, percentage, elapsed.
 

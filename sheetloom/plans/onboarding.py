@@ -25,6 +25,7 @@ from sheetloom.operators.matching import (
 )
 from sheetloom.operators.profiling import profile_cells
 from sheetloom.operators.reshape import (
+    column_tops,
     detect_header_row,
     drop_sparse,
     promote_header,
@@ -33,12 +34,19 @@ from sheetloom.operators.reshape import (
 from sheetloom.plans.lineage import materialize
 
 
-def repair_headers(cells: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Promotes the header row of the sheets whose headers are mostly unnamed."""
-    headers = cells.select("sheet_id", "col_no", F.col("column").alias("header")).distinct()
+def repair_headers(cells: DataFrame, threshold: float = 0.6, scan: int = 10) -> DataFrame:
+    """Names for the columns of every sheet.
+
+    Where headers are mostly unnamed, the header row among the first rows is promoted.  Where they are not, or no row
+    fits, the headers that are there are trimmed, blank ones named and repeated ones numbered.  The cells are read
+    twice: once for each column's header and first cells, once for the result.
+    """
+    columns = materialize(column_tops(cells, scan))
+    headers = columns.select("sheet_id", "col_no", F.col("column").alias("header"))
+    top = columns.select("sheet_id", "col_no", "column", F.inline("top"))
     broken = unnamed_ratio(headers, threshold).where("repair").select("sheet_id")
-    rows = join_on(detect_header_row(cells), broken, ["sheet_id"], "left_semi")
-    return promote_header(cells, rows)
+    rows = join_on(detect_header_row(top, scan), broken, ["sheet_id"], "left_semi")
+    return promote_header(cells, rows, top=top, headers=headers)
 
 
 def usable_profiles(profiles: DataFrame) -> DataFrame:

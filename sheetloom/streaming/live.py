@@ -74,3 +74,82 @@ def stream_chunks(stream: DataFrame, gap: str = "10 minutes", late: str = "10 mi
         F.size(kept).cast("long").alias("chunks"),
         F.col("stop_at").isNotNull().alias("finished"),
     )
+
+
+REPLY = "id string, content string, chunks long, finished boolean"
+
+
+def _reply_processor(gap_ms: int):
+    """Keeps a reply's chunks until its stop marker, or until no chunk came for ``gap_ms`` of event time."""
+    # named inside a function, so that workers need not find this package
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Replies(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.chunks = handle.getListState("chunks", "seq long, content string")
+            # when the last chunk came, the place of the stop marker, and whether the reply has left
+            self.known = handle.getValueState("known", "last long, stop long, left boolean")
+
+        def _wake(self, at: int) -> None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at)
+
+        def handleInputRows(self, key, rows, timerValues):
+            last, stop, left = self.known.get() if self.known.exists() else (0, None, False)
+            new, stopped_at = [], None
+            for frame in rows:
+                for seq, content, finish, ms in zip(frame["seq"], frame["content"], frame["finish_reason"], frame["ms"]):
+                    last = max(last, int(ms))
+                    if finish == "stop":
+                        if stop is None or seq < stop:
+                            stop, stopped_at = int(seq), int(ms)
+                    elif not left:
+                        new.append((int(seq), content if isinstance(content, str) else ""))
+            if new:
+                self.chunks.appendList(new)
+            # all that came before the marker is there once the watermark has passed it; what has left is remembered
+            # for a while, so that late chunks don't start it again
+            due = stopped_at if stop is not None and not left and stopped_at is not None else None
+            if due is None and stop is not None and not left:
+                due = next(iter(self.handle.listTimers()), last)
+            self._wake(max(due if due is not None else last + gap_ms, timerValues.getCurrentWatermarkInMs() + 1))
+            self.known.update((last, stop, left))
+            yield pd.DataFrame()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            last, stop, left = self.known.get()
+            if left:
+                self.known.clear()
+                yield pd.DataFrame()
+                return
+            kept = sorted(c for c in self.chunks.get() if stop is None or c[0] < stop)
+            self.chunks.clear()
+            if stop is None:
+                self.known.clear()
+            else:
+                self.known.update((last, stop, True))
+                self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + gap_ms)
+            yield pd.DataFrame({"id": [key[0]], "content": ["".join(c[1] for c in kept)], "chunks": [len(kept)],
+                                "finished": [stop is not None]})
+
+        def close(self) -> None:
+            pass
+
+    return Replies()
+
+
+def stream_replies(stream: DataFrame, gap: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """Replies from a stream of (id, seq, content, finish_reason, ts), each as soon as it is complete.
+
+    A reply leaves when the watermark passes its stop marker, with the chunks before it.  One without a marker leaves
+    by a timer, open, once no chunk came for ``gap``.  Chunks that come later for a reply that has left are dropped
+    for another ``gap``.  Append mode; needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    wait = stream.sparkSession.sql(f"SELECT CAST(unix_millis(timestamp_millis(0) + INTERVAL {gap}) AS BIGINT) AS ms").first()
+    timed = stream.withColumn("ts", as_instant(F.col("ts"))).withWatermark("ts", late)
+    rows = timed.select(F.col("id").cast("string").alias("id"), F.col("seq").cast("long").alias("seq"), "content",
+                        "finish_reason", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("id").transformWithStateInPandas(_reply_processor(wait["ms"]), REPLY, "append", "eventTime")

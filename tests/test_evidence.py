@@ -57,3 +57,21 @@ def test_dates_and_zeroes(spark):
     assert (r.pairs, r.ordered, r.in_gap) == (2, 1, 1)
     assert ev.co_zero(df, "v", "w").first().both_zero == 1
     assert ev.pattern_share(df.withColumn("s", F.lit("9.6m")), "s", r"^\d\.\dm$").first().share == 1.0
+
+
+def test_relations_of_all_pairs(spark):
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    names = ["key", "name", "group", "free", "none", "one.two"]
+    rows = [(s, i, f"n{i}", i % 4, rng.choice([None, 1.0, 2.0]), None, "c") for s in ("x", "y") for i in range(40)]
+    df = spark.createDataFrame(rows, "s string, key int, name string, `group` int, free double, none string, `one.two` string")
+    got = {(r.s, r.a, r.b): (r.max_b_per_a, r.max_a_per_b, r.relation) for r in ev.relation_matrix(df, names, "s").collect()}
+    for s in ("x", "y"):
+        for a, b in itertools.combinations(names, 2):
+            if "none" in (a, b):
+                assert (s, a, b) not in got
+                continue
+            one = ev.relation_kind(df.where(f"s = '{s}'"), a, b).first()
+            assert got[s, a, b] == (one.max_b_per_a, one.max_a_per_b, one.relation), (a, b)

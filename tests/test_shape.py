@@ -115,3 +115,25 @@ def test_chained_header_repeats(spark):
         "sheet_id string, col_no int, header string")
     names = [r["column"] for r in reshape.dedupe_headers(headers).orderBy("col_no").collect()]
     assert len(set(names)) == 7 and names[:4] == ["a", "a_1", "a_1_1", "a_1_1_1"]
+
+
+def test_every_sheet_gets_names(cells):
+    from sheetloom.plans.onboarding import repair_headers
+
+    c = cells({"healthy": {" order ": [1], "qty": [2], "qty\t": [3], "": [4]},
+               "titled": {"Unnamed: 0": ["t", "a", "x"], "Unnamed: 1": [None, "a", "y"], "": [None, "unnamed", "z"]},
+               "numbers": {"Unnamed: 0": [1, 2], "Unnamed: 1": [3, 4], " ": [5, 6]}})
+    got = {}
+    for r in repair_headers(c).orderBy("sheet_id", "row_no", "col_no").collect():
+        got.setdefault((r.sheet_id, r.row_no), []).append((r.column, r.raw))
+    assert got == {("healthy", 0): [("order", "1"), ("qty", "2"), ("qty_1", "3"), ("列", "4")],
+                   ("titled", 0): [("a", "x"), ("a_1", "y"), ("列", "z")],
+                   ("numbers", 0): [("Unnamed: 0", "1"), ("Unnamed: 1", "3"), ("列", "5")],
+                   ("numbers", 1): [("Unnamed: 0", "2"), ("Unnamed: 1", "4"), ("列", "6")]}
+
+
+def test_rows_as_maps_of_repeated_headers(spark):
+    c = spark.createDataFrame([("s", 0, i, n, str(i), "int") for i, n in enumerate(["a", "a", "a_1", None, "列", "a"])],
+                              "sheet_id string, row_no long, col_no int, column string, raw string, kind string")
+    row = rs.from_cells(c).first().row
+    assert row == {"a": "0", "a_1": "1", "a_1_1": "2", "列": "3", "列_1": "4", "a_2": "5"}

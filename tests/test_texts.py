@@ -210,3 +210,37 @@ def test_events_of_one_instant(spark):
     for part in (rows, rows[::-1]):
         df = spark.createDataFrame(part, "run_id string, step string, event string, ts string, error string")
         assert rl.step_status(df).first().status == "completed"
+
+
+def test_replies_leave_when_complete(spark, tmp_path):
+    rng = random.Random(8)
+    rows = []
+    for i in range(30):
+        n, start = rng.randint(1, 12), rng.randint(0, 1000)
+        stop = rng.randint(0, n) if i % 3 else None
+        for k in range(n + 1):
+            if k == stop:
+                rows.append((f"r{i}", k, "", "stop", start + k))
+            elif k < n:
+                rows.append((f"r{i}", k, rng.choice(["a", "bc", None]), "null", start + k))
+    rows.sort(key=lambda r: r[4])
+    later = ("later", 0, "x", "null", 100_000)  # moves the watermark beyond all others
+    src_dir = tmp_path / "in"
+    columns = "id string, seq int, content string, finish_reason string, s long"
+    for batch in [rows[part::4] for part in range(4)] + [[later]]:  # batches overlap in time
+        df = spark.createDataFrame(batch, columns)
+        df.select("id", "seq", "content", "finish_reason", F.timestamp_seconds("s").alias("ts")).coalesce(1) \
+            .write.mode("append").parquet(str(src_dir))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema("id string, seq int, content string, finish_reason string, ts timestamp") \
+            .option("maxFilesPerTrigger", 1).parquet(str(src_dir))
+        q = (live.stream_replies(stream, "5 minutes", "30 minutes").writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")))
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(key)
+    got = sorted((r.id, r.content, r.chunks, r.finished) for r in spark.read.schema(live.REPLY).parquet(str(tmp_path / "out")).collect())
+    batch = cv.reassemble_chunks(spark.createDataFrame(rows, columns))
+    assert got == sorted((r.id, r.content, r.chunks, r.finished) for r in batch.collect())
