@@ -46,9 +46,15 @@ REGION = ("article", "main")
 #: Elements that end an open one of the same kind.
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 
-_item = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+#: Of these, what is no text however much of a page it holds, also as the first or last part of a name.
+ALWAYS_WORDS = frozenset("comment comments disqus cookie cookies gdpr advert adverts advertisement".split())
+#: First parts of names that only say what a page has or lacks.
+STATES = frozenset("no not has have with without is hide show".split())
+
+_name = re.compile("[a-zA-Z][a-zA-Z0-9:-]*")
+#: What can end a tag, or begin a quoted value: quotes count after an equals sign alone.
+_stop = re.compile(r"""=\s*["']|>""")
+_raw_end = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _marks = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _split = re.compile(r"[^a-z0-9]+")
 
@@ -57,26 +63,71 @@ FIELDS = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_c
                        T.StructField("score", T.DoubleType())])
 
 
-def holders(page: str) -> set[int]:
-    """Starts of the tags whose elements hold ``<article>``, ``<main>`` or half of the page's words."""
+def tags(page: str):
+    """(start, end, name, closing, attributes) of each tag in lower case; the name is empty for comments, declarations
+    and elements with raw content, which are passed over whole.  One scan forward, whatever the page."""
+    at, n, quotes = 0, len(page), {'"': True, "'": True}
+    while (i := page.find("<", at)) >= 0:
+        at = i + 1
+        if page.startswith("<!--", i):
+            j = page.find("-->", i + 4)
+            at = n if j < 0 else j + 3
+            yield i, at, "", False, ""
+            continue
+        if page[i + 1:i + 2] in ("!", "?"):
+            j = page.find(">", i)
+            if j < 0:
+                return
+            at = j + 1
+            yield i, at, "", False, ""
+            continue
+        closing = page.startswith("/", i + 1)
+        found = _name.match(page, i + 1 + closing)
+        if not found:
+            continue
+        end = found.end()
+        while (m := _stop.search(page, end)) and m[0] != ">":
+            quote, end = m[0][-1], m.end()
+            if quotes[quote]:
+                j = page.find(quote, end)
+                quotes[quote] = j >= 0  # a quote that isn't there isn't further on either
+                end = j + 1 if j >= 0 else end
+        if not m:  # a quote that was never meant swallowed the rest: from here on quotes don't count
+            quotes = {'"': False, "'": False}
+            j = page.find(">", found.end())
+            if j < 0:
+                return
+            stop = j
+        else:
+            stop = m.start()
+        name, at = found[0].lower(), stop + 1
+        if name in _raw_end and not closing:
+            last = _raw_end[name].search(page, at)
+            at = last.end() if last else n
+            yield i, at, "", False, ""
+            continue
+        yield i, at, name, closing, page[found.end():stop]
+
+
+def holders(page: str) -> tuple[set[int], set[int]]:
+    """Starts of the tags whose elements hold ``<article>`` or ``<main>``, and of those with half of the page's words."""
     stack: list[tuple[str, int, int, int]] = []  # tag, start, words and regions before it
-    out, spans = set(), []
+    held, spans = set(), []
     words = regions = at = 0
 
     def close(k):
         for _, start, before, inner in stack[k:]:
             if regions > inner:
-                out.add(start)
+                held.add(start)
             spans.append((start, words - before))
         del stack[k:]
 
-    for m in _item.finditer(page):
-        words += len(page[at:m.start()].split())
-        at = m.end()
-        name = (m[3] or "").lower()
+    for start, end, name, closing, attributes in tags(page):
+        words += len(page[at:start].split())
+        at = end
         if not name:
             continue
-        if m[2]:
+        if closing:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if k is not None:
                 close(k)
@@ -89,11 +140,16 @@ def holders(page: str) -> set[int]:
                 if stack[k][0] in BLOCK:
                     break
         regions += name in REGION
-        if name not in VOID and not m[4].endswith("/"):
-            stack.append((name, m.start(), words, regions))
+        if name not in VOID and not attributes.endswith("/"):
+            stack.append((name, start, words, regions))
     words += len(page[at:].split())
     close(0)
-    return out | {start for start, n in spans if 2 * n >= words}
+    return held, {start for start, n in spans if 2 * n >= words}
+
+
+def _says_always(name: str) -> bool:
+    parts = [x for x in _split.split(name) if x]
+    return bool(parts) and parts[0] not in STATES and (parts[0] in ALWAYS_WORDS or parts[-1] in ALWAYS_WORDS)
 
 
 def items(page: str):
@@ -117,15 +173,14 @@ def items(page: str):
         role = "never" if never else "link" if link else "marked" if marked and not inside else "text"
         return "text", html.unescape(chunk), role, inside
 
-    for m in _item.finditer(page):
-        if m.start() > at:
-            yield text(page[at:m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
+    for start, end, name, closing, attributes in tags(page):
+        if start > at:
+            yield text(page[at:start])
+        at = end
         if not name:
             continue
         never, inside, marked = state()
-        if m[2]:
+        if closing:
             yield "tag", name, "never" if never else "text", inside
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -143,14 +198,16 @@ def items(page: str):
         inside = inside or name == region
         if not never:
             never = name in NEVER_TEXT
-            if not never and m[4] and name not in ("html", "body", "article", "main"):
-                names = [w for x in _marks.findall(m[4]) for w in "".join(x).lower().split()]
+            if not never and attributes and name not in ("html", "body", "article", "main"):
+                names = [w for x in _marks.findall(attributes) for w in "".join(x).lower().split()]
                 if any(w in NEVER_WORDS for x in names for w in _split.split(x)):
                     held = holders(page) if held is None else held
-                    if m.start() not in held:
+                    if start not in held[0] and any(map(_says_always, names)):
+                        never = marked = True
+                    elif start not in held[0] and start not in held[1]:
                         never, marked = any(x in NEVER_WORDS for x in names), True
         yield "tag", name, "never" if never else "text", inside
-        if name not in VOID and not m[4].endswith("/"):
+        if name not in VOID and not attributes.endswith("/"):
             stack.append((name, never, inside, marked))
     if at < len(page):
         yield text(page[at:])
