@@ -312,7 +312,9 @@ def differences(members: DataFrame, texts: DataFrame, words: int, similarity: tu
     is_first = F.col("family") == F.col("class")
     own = F.array(F.pmod(F.xxhash64("class"), "shares").cast("int"))
     dealt = dealt.withColumn("share", F.explode(F.when(is_first, F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(own)))
-    rows = texts.join(dealt.withColumn("after", (~is_first).cast("int")), ["id", "mark"])
+    # written first: the join then sees its size, and the texts stay where they are while it is small
+    dealt = keep(dealt.select("family", "class", "share", (~is_first).cast("int").alias("after"), "id", "mark"))
+    rows = texts.join(dealt, ["id", "mark"])
     return (rows.repartition("family", "share").sortWithinPartitions("family", "share", "after", "class")
             .select("family", "class", "share", "text").mapInArrow(run, DIFFERENCES))
 
