@@ -110,7 +110,6 @@ def test_ngram_join_is_exact(docs, monkeypatch):
     from sheetloom.llm import graph
 
     monkeypatch.setattr(graph, "SHARE", 3)  # several shares a family
-    monkeypatch.setattr(ngrams, "ROUNDS", 1)
     rng = random.Random(3)
     texts, n = {1: None, 2: "", 3: " \n", 4: "One two", 5: "one TWO", 6: "ÉCOLE x y z", 7: "école x y z"}, 10
     for size in (5, 7, 9, 14, 30, 60, 200):
