@@ -232,6 +232,25 @@ def _(spark, d):
     return src.latest_history(src.read_history(spark, path)).drop("validated_at")
 
 
+@query("compact_history", """SELECT o_orderstatus AS sheet_id, o_orderpriority AS subject, count(*) AS n,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 'run 2' ELSE 'run 0' END AS run_id
+  FROM orders GROUP BY o_orderstatus, o_orderpriority""")
+def _(spark, d):
+    path = scratch(spark, "history") + "/runs"
+    found = table(spark, d, "orders").groupBy(
+        F.col("o_orderstatus").alias("sheet_id"), F.col("o_orderpriority").alias("subject")).agg(F.count(F.lit(1)).alias("n"))
+    urgent = F.col("subject") == "1-URGENT"
+    src.append_history(found, path, "run 0")
+    src.append_history(found, path, "run 1")
+    src.compact_history(spark, path)
+    # batches that are played again after they were compacted
+    src.append_history(found.where(~urgent), path, "run 0")
+    src.append_history(found.where("false"), path, "run 1")
+    src.compact_history(spark, path)
+    src.append_history(found.where(urgent), path, "run 2")
+    return src.read_history(spark, path).drop("validated_at")
+
+
 # ------------------------------------------------------------------- cells
 
 

@@ -60,20 +60,33 @@ def with_duration(states: DataFrame) -> DataFrame:
 
 
 def step_status(events: DataFrame) -> DataFrame:
-    """Latest status, times, error and merged metadata per (run, step)."""
-    states = with_duration(
-        events.groupBy("run_id", "step").agg(*status_aggregates("error" in events.columns))
-    )
+    """Latest status, times, error and merged metadata per (run, step).
+
+    Events are read once: they are laid out by metadata key, and what their states are by key is reduced again.
+    Nothing else than maxima is taken, so an event that comes once for each of its keys counts as one.
+    """
+    aggregates = status_aggregates("error" in events.columns)
     if "metadata" not in events.columns:
-        return states
-    entries = events.select(
-        "run_id", "step", as_instant(F.col("ts")).alias("ts"),
-        F.explode("metadata").alias("key", "value"),
-    ).groupBy("run_id", "step", "key").agg(F.max_by("value", F.struct("ts", "value")).alias("value"))
-    merged = entries.groupBy("run_id", "step").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("metadata")
-    )
-    return join_on(states, merged, ["run_id", "step"], "left")
+        return with_duration(events.groupBy("run_id", "step").agg(*aggregates))
+    ts, event = as_instant(F.col("ts")), F.col("event")
+    rank = F.when(event == "started", 0).when(event == "completed", 1).otherwise(2)
+    failed = F.when(event == "failed", F.struct(ts.alias("ts"), F.col("error"))) if "error" in events.columns else F.lit(None)
+    laid = events.select("run_id", "step", F.struct(ts.alias("ts"), rank.alias("rank"), event.alias("event")).alias("last"),
+                         F.when(event == "started", ts).alias("start_time"),
+                         F.when(event.isin("completed", "failed"), ts).alias("end_time"), failed.alias("failed"),
+                         "metadata")
+    laid = laid.select("run_id", "step", "last", "start_time", "end_time", "failed",
+                       F.explode_outer("metadata").alias("key", "value"))
+    maxima = [F.max(c).alias(c) for c in ("last", "start_time", "end_time", "failed")]
+    by_key = laid.groupBy("run_id", "step", "key").agg(*maxima, F.max(F.struct(F.col("last.ts").alias("ts"), "value")).alias("__v"))
+    entry = F.when(F.col("key").isNotNull(), F.struct(F.col("key").alias("key"), F.col("__v.value").alias("value")))
+    states = by_key.groupBy("run_id", "step").agg(*maxima, F.sort_array(F.collect_list(entry)).alias("__m"))
+    state = F.when(F.col("last.event") == "started", "running").otherwise(F.col("last.event"))
+    shown = [F.col("failed.error").alias("error")] if "error" in events.columns else []
+    return with_duration(states.select(
+        "run_id", "step", state.alias("status"), "start_time", "end_time", *shown,
+        F.when(F.size("__m") > 0, F.map_from_entries("__m")).alias("metadata"))).select(
+        "run_id", "step", "status", "start_time", "end_time", *[c for c in ("error",) if shown], "duration", "metadata")
 
 
 def step_rows(events: DataFrame, steps: Sequence[str] = TRACKED_STEPS) -> DataFrame:

@@ -144,11 +144,73 @@ def append_history(findings: DataFrame, path: str, run_id: str) -> None:
     stamped.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={run_id}")
 
 
+#: Findings of many runs in few files, one folder per generation; Spark's readers pass over names that begin so.
+COMPACTED = "_compacted"
+
+
+def _files(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """(name, full path) of what a folder holds; nothing if it isn't there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    return [(x.getPath().getName(), x.getPath().toString()) for x in system.listStatus(path)]
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _live_runs(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Data files of each run that has a folder of its own."""
+    runs = {name[len("run_id="):]: full for name, full in _files(spark, path) if name.startswith("run_id=")}
+    found = {run: [f for n, f in _files(spark, full) if n.endswith(".parquet")] for run, full in runs.items()}
+    return {run: files for run, files in found.items() if files}
+
+
+def _generations(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Complete generations, oldest first: those whose write has been committed."""
+    found = [(int(name.split("=")[1]), full) for name, full in _files(spark, f"{path.rstrip('/')}/{COMPACTED}")
+             if name.startswith("generation=")]
+    return sorted(x for x in found if any(n == "_SUCCESS" for n, _ in _files(spark, x[1])))
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """All runs; ``run_id`` stays the text it was written as."""
-    found = spark.read.option("mergeSchema", "false").parquet(path)
-    columns = [f"{ident(f.name)} {f.dataType.simpleString()}" for f in found.schema if f.name != "run_id"]
-    return spark.read.schema(", ".join([*columns, "run_id string"])).parquet(path)
+    """All runs; ``run_id`` stays the text it was written as.
+
+    A run with a folder of its own counts as that folder says, also where an older form of it was compacted.
+    """
+    live, generations = _live_runs(spark, path), _generations(spark, path)
+    parts = []
+    if generations:
+        old = spark.read.parquet(generations[-1][1])
+        parts.append(old.where(~F.col("run_id").isin(*live)) if live else old)
+    if live or not parts:
+        found = spark.read.option("mergeSchema", "false").parquet(path)
+        columns = [f"{ident(f.name)} {f.dataType.simpleString()}" for f in found.schema if f.name != "run_id"]
+        parts.append(spark.read.schema(", ".join([*columns, "run_id string"])).parquet(path))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def compact_history(spark: SparkSession, path: str) -> None:
+    """Puts the runs of a history together in a new generation of few files.
+
+    What a reader sees never changes: the generation counts once its write is committed, and a run's own files, which
+    say the same, are deleted after that.  A run that is written again at any time has files of other names, which
+    stay and count.  The generation before stays for readers that are at work.
+    """
+    live, generations = _live_runs(spark, path), _generations(spark, path)
+    if not live:
+        return
+    number = generations[-1][0] + 1 if generations else 0
+    whole = read_history(spark, path).hint("rebalance")
+    whole.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{COMPACTED}/generation={number:09d}")
+    for files in live.values():
+        for name in files:
+            _delete(spark, name)
+    for _, folder in generations[:-1]:
+        _delete(spark, folder)
 
 
 def latest_history(history: DataFrame) -> DataFrame:

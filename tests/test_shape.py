@@ -137,3 +137,40 @@ def test_rows_as_maps_of_repeated_headers(spark):
                               "sheet_id string, row_no long, col_no int, column string, raw string, kind string")
     row = rs.from_cells(c).first().row
     assert row == {"a": "0", "a_1": "1", "a_1_1": "2", "列": "3", "列_1": "4", "a_2": "5"}
+
+
+def test_history_of_many_batches_stays_small(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "history")
+
+    def findings(run, n):
+        return spark.createDataFrame([(f"s{i % 3}", f"{run}-{i}") for i in range(n)], "sheet_id string, code string").coalesce(1)
+
+    def seen():
+        return sorted((r.run_id, r.sheet_id, r.code) for r in src.read_history(spark, path).collect())
+
+    want = {}
+
+    def append(run, n, tag=""):
+        src.append_history(findings(f"{run}{tag}", n), path, run)
+        want[run] = [(run, f"s{i % 3}", f"{run}{tag}-{i}") for i in range(n)]
+        assert seen() == sorted(x for rows in want.values() for x in rows)
+
+    for k in range(6):
+        append(f"{k:03d}", 4)
+    src.compact_history(spark, path)
+    append("006", 2)
+    append("002", 3, "again")  # a replayed batch replaces what was compacted
+    append("004", 0)  # and may find nothing
+    before = seen()
+    monkeypatch.setattr(src, "_delete", lambda spark, name: None)  # the job ends before it deletes
+    src.compact_history(spark, path)
+    assert seen() == before
+    monkeypatch.undo()
+    for k in range(7, 9):
+        append(f"{k:03d}", 1)
+        src.compact_history(spark, path)
+        assert seen() == sorted(x for rows in want.values() for x in rows)
+    files = [f for _, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
+    assert len(files) <= 3
+    latest = {r.sheet_id: r.run_id for r in src.latest_history(src.read_history(spark, path)).collect()}
+    assert latest == {"s0": "008", "s1": "002", "s2": "002"}
