@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from checks.inputs import srnd, table
@@ -228,17 +230,39 @@ def _event_stream(spark, d):
     return spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _rocks(spark):
+    """State on the disks of the executors, not in their heaps."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def _drain(spark, df, name: str, mode: str):
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", scratch(spark, name)).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name)
+    """What a stream gives until its input is read, written by its tasks: no row passes through the driver."""
+    place = scratch(spark, name)
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
+    if mode == "complete":  # files can only be added to, so a batch overwrites the one before
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{place}/out"))
+    else:
+        writer = writer.format("parquet").option("path", f"{place}/out")
+    with _rocks(spark):
+        writer.start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{place}/out")
 
 
 @query("stream_step_status", f"""WITH {STEP_EVENTS} SELECT run_id, step, status, error, {_DUR} AS duration FROM st""")
 def _(spark, d):
-    import os
-
     t = F.col("event_type")
     event = F.when(t == "error", "failed").when(t == "purchase", "completed").otherwise("started")
     steps = F.array(*[F.lit(s) for s in rl.TRACKED_STEPS])
@@ -246,8 +270,7 @@ def _(spark, d):
         F.col("user_id").alias("run_id"), F.element_at(steps, F.dayofweek("ts")).alias("step"),
         event.alias("event"), "ts",
         F.when(t == "error", F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("error"))
-    name = "steps_" + os.urandom(4).hex()
-    return _drain(spark, live.stream_step_status(stream, live.UNBOUNDED), name, "complete").select(
+    return _drain(spark, live.stream_step_status(stream, live.UNBOUNDED), "steps", "complete").select(
         "run_id", "step", "status", "error", "duration")
 
 
@@ -277,19 +300,13 @@ SELECT s.id, coalesce(string_agg(event_type || ' ', '' ORDER BY event_id) FILTER
 FROM s JOIN b ON b.id = s.id AND b.session = s.session
 WHERE closes <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY s.id, s.session""")
 def _(spark, d):
-    import os
-
     t = F.col("event_type")
     stream = _event_stream(spark, d).select(
         F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("seq"),
         F.concat(t, F.lit(" ")).alias("content"),
         F.when(t == "error", "stop").otherwise("null").alias("finish_reason"), "ts")
-    name = "replies_" + os.urandom(4).hex()
     replies = live.stream_chunks(stream, "6 hours", "1 hour")
-    return _drain(spark, replies, name, "append").drop("started")
-
-
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    return _drain(spark, replies, "chunks", "append").drop("started")
 
 
 @query("stream_replies", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS id, event_id, event_type FROM events),
@@ -308,16 +325,8 @@ def _(spark, d):
     chunks.agg(F.lit("end").alias("id"), F.lit(0).cast("long").alias("seq"), F.lit("").alias("content"),
                F.lit("null").alias("finish_reason"), (F.max("ts") + F.expr("INTERVAL 5000 DAYS")).alias("ts")) \
         .write.mode("append").parquet(f"{place}/in")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKS)
-    try:
+    with _rocks(spark):
         files = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1000).parquet(f"{place}/in")
         (live.stream_replies(files, "4000 days", "1 hour").writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start(f"{place}/out").awaitTermination())
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
     return spark.read.schema(live.REPLY).parquet(f"{place}/out").where("id <> 'end'")
