@@ -178,18 +178,18 @@ def detect_header_row(cells: DataFrame, scan: int = 10) -> DataFrame:
     )
 
 
-def dedupe_headers(headers: DataFrame) -> DataFrame:
+def dedupe_headers(headers: DataFrame, cut: bool = True) -> DataFrame:
     """Trim, name blanks, and number repeats ``_1``, ``_2`` in column order.
 
     A numbered name may meet an existing header (``a, a, a_1``); a further pass
     numbers the later column again, and what still meets another name takes the
-    first free number.
+    first free number.  The names are written once (``cut``).
     """
     base = F.when(
         F.col("header").isNull() | (strip(F.col("header")) == ""), F.lit(BLANK_HEADER)
     ).otherwise(strip(F.col("header")))
     named = headers.withColumn("__base", base)
-    return _settle(_number_repeats(named, "__base", "column").drop("__base"))
+    return _settle(_number_repeats(named, "__base", "column").drop("__base"), cut)
 
 
 def _number_repeats(df: DataFrame, source: str, target: str) -> DataFrame:
@@ -212,17 +212,44 @@ def free_names(names: Column) -> Column:
     return F.aggregate(names, F.array().cast("array<string>"), lambda taken, x: F.concat(taken, F.array(free(taken, x))))
 
 
-def _settle(df: DataFrame) -> DataFrame:
-    """Names unique per sheet; a sheet's headers fit one row."""
+def _settle(df: DataFrame, cut: bool) -> DataFrame:
+    """Names unique per sheet.
+
+    A name that comes twice can only take the place of its own numbered forms (``x_1``, ``x_1_2``).  So only the
+    families of repeated names are put together, each in one row; all other names stay as they are.
+    """
     again = _number_repeats(df, "column", "column")
+    if cut:
+        again = materialize(again)
+    names = again.groupBy("sheet_id", "column").agg(F.count(F.lit(1)).alias("__n"))
+    repeated = names.where("__n > 1").select("sheet_id", F.col("column").alias("__root"))
+    if cut:
+        repeated = materialize(repeated)
+        if repeated.isEmpty():
+            return again
     others = [c for c in again.columns if c not in ("sheet_id", "col_no", "column")]
-
-    packed = again.groupBy("sheet_id").agg(F.array_sort(F.collect_list(
+    # the first of the repeated names that a name is a numbered form of
+    inner = repeated.select("sheet_id", "__root", F.explode(_forms(F.col("__root"))).alias("__f")).where("__f <> __root")
+    outer = repeated.withColumnRenamed("__root", "__f")
+    roots = join_on(repeated, join_on(inner, outer, ["sheet_id", "__f"], "left_semi"), ["sheet_id", "__root"], "left_anti")
+    forms = names.select("sheet_id", "column", F.explode(_forms(F.col("column"))).alias("__root"))
+    families = join_on(forms, roots, ["sheet_id", "__root"], "left_semi")
+    named = join_on(again, materialize(families) if cut else families, ["sheet_id", "column"], "left")
+
+    packed = named.where("__root IS NOT NULL").groupBy("sheet_id", "__root").agg(F.array_sort(F.collect_list(
         F.struct("col_no", "column", *[q(c) for c in others]))).alias("__h"))
-    names = free_names(F.transform("__h", lambda x: x["column"]))
-    rows = packed.withColumn("__n", names).select("sheet_id", F.inline(F.transform("__h", lambda x, i: F.struct(
+    told = free_names(F.transform("__h", lambda x: x["column"]))
+    rows = packed.withColumn("__n", told).select("sheet_id", F.inline(F.transform("__h", lambda x, i: F.struct(
         x["col_no"].alias("col_no"), F.get("__n", i).alias("column"), *[x[c].alias(c) for c in others]))))
-    return rows.select(*[q(c) for c in again.columns])
+    columns = [q(c) for c in again.columns]
+    return named.where("__root IS NULL").select(*columns).unionByName(rows.select(*columns))
+
+
+def _forms(name: Column) -> Column:
+    """A name and what it is a numbered form of: ``x_1_2``, ``x_1``, ``x``."""
+    ends = F.regexp_extract_all(F.regexp_extract(name, r"((?:_[0-9]+)*)\z", 1), F.lit("_[0-9]+"), F.lit(0))
+    return F.transform(F.sequence(F.lit(0), F.size(ends)), lambda n: F.substring(
+        name, F.lit(1), F.length(name) - F.length(F.array_join(F.slice(ends, F.size(ends) - n + 1, n), ""))))
 
 
 def promote_header(cells: DataFrame, header_rows: DataFrame, cut: bool = True, top: DataFrame | None = None,
@@ -247,7 +274,7 @@ def promote_header(cells: DataFrame, header_rows: DataFrame, cut: bool = True, t
         header_cells = header_cells.unionByName(rest.select(
             "sheet_id", F.lit(None).cast("long").alias("row_no"), "col_no", "header"))
     # one small row per sheet: header row and its names by column number
-    repair = dedupe_headers(header_cells).groupBy("sheet_id").agg(
+    repair = dedupe_headers(header_cells, cut).groupBy("sheet_id").agg(
         F.max("row_no").alias("__at"),
         F.map_from_entries(F.collect_list(F.struct("col_no", "column"))).alias("__names"),
     )

@@ -174,3 +174,39 @@ def test_history_of_many_batches_stays_small(spark, tmp_path, monkeypatch):
     assert len(files) <= 3
     latest = {r.sheet_id: r.run_id for r in src.latest_history(src.read_history(spark, path)).collect()}
     assert latest == {"s0": "008", "s1": "002", "s2": "002"}
+
+
+def test_names_are_told_apart_as_one_by_one(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    pieces = ["a", "a_1", "a_1_1", "a_2", "a_01", "b_1", "b", "x\n", "列_1", "", None, "a_1_1_1"]
+    sheets = {f"s{i}": [rng.choice(pieces) for _ in range(rng.randint(1, 40))] for i in range(30)}
+    rows = [(s, i, h) for s, hs in sheets.items() for i, h in enumerate(hs)]
+    df = spark.createDataFrame(rows, "sheet_id string, col_no int, header string")
+    for cut in (True, False):
+        got = {(r.sheet_id, r.col_no): r["column"] for r in rs.dedupe_headers(df, cut).collect()}
+        assert len(got) == len(rows)
+        for s, hs in sheets.items():
+            names = [(h or "").strip() or "列" for h in hs]
+            for _ in range(2):
+                seen = Counter()
+                for i, n in enumerate(names):
+                    names[i] = f"{n}_{seen[n]}" if seen[n] else n
+                    seen[n] += 1
+            taken = []
+            for n in names:
+                if n in taken:
+                    n = next(f"{n}_{k}" for k in range(1, len(taken) + 2) if f"{n}_{k}" not in taken)
+                taken.append(n)
+            assert [got[s, i] for i in range(len(hs))] == taken
+
+
+def test_a_wide_sheet_is_not_one_row(spark):
+    # 60,000 columns in one row took minutes
+    df = spark.range(60000).select(F.lit("s").alias("sheet_id"), F.col("id").alias("col_no"),
+                                   F.when(F.col("id") % 3 == 0, "w").otherwise(F.concat(F.lit("n"), F.col("id"))).alias("header"))
+    plan = rs.dedupe_headers(df)
+    assert plan.select("column").distinct().count() == 60000
+    assert "collect_list" not in plan._jdf.queryExecution().executedPlan().toString()
