@@ -544,9 +544,9 @@ def _(spark, d):
 
 
 #: a reply for each sheet: one that proposes its first column, one without entries but with a line, none
-def sheet_replies(spark, d):
+def sheet_replies(found):
     kind = F.length("sheet_id") % 3
-    first = profiles(spark, d).groupBy("sheet_id").agg(F.min_by("column", "position").alias("c"))
+    first = found.groupBy("sheet_id").agg(F.min_by("column", "position").alias("c"))
     return first.select("sheet_id", F.when(kind == 0, F.concat(F.lit('ok {"mapping": {"order_key": "'), F.col("c"),
                                                               F.lit('", "vehicle": "missing"}}')))
                         .when(kind == 1, F.concat(F.lit('{"mapping": {}}\ncarrier: '), F.col("c"))).alias("text"))
@@ -565,7 +565,8 @@ REPLIED = (USABLE + _replied + WHOLE[len(USABLE + _rest):]).replace(
 
 @query("map_fields_replies", f"WITH {REPLIED} SELECT {_R} FROM final")
 def _(spark, d):
-    return onboarding.map_fields(profiles(spark, d), ENGLISH, sheet_replies(spark, d)).select(
+    found = materialize(profiles(spark, d))
+    return onboarding.map_fields(found, ENGLISH, sheet_replies(found)).select(
         "sheet_id", "std_field", "std_pos", "column")
 
 

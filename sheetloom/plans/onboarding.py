@@ -88,6 +88,8 @@ def map_fields(profiles: DataFrame, dictionary: Dictionary = LOGISTICS,
 def _from_replies(rules: DataFrame, base: DataFrame, replies: DataFrame, dictionary: Dictionary,
                   cut: bool) -> tuple[DataFrame, DataFrame]:
     """The mapping before the fill, and the sheets that get one."""
+    if cut:  # replies are read three times, and what they are made of should not be
+        replies = materialize(replies)
     kinds = join_on(base.select("sheet_id").distinct(), reply_kinds(replies, dictionary=dictionary), ["sheet_id"], "left")
     kinds = kinds.withColumn("reply", F.coalesce("reply", F.lit("none")))
     if cut:

@@ -38,3 +38,17 @@ def test_files_are_onboarded(spark, tmp_path):
     assert got["正 常.csv", "订单号"] == got["title.csv", "订单号"] == "订单编号"
     assert got["title.csv", "件数"] == "件数" and got["title.csv", "运输日期"] == "发货日期"
     assert confidence.where(F.col("confidence") > 0).count() == 2
+
+
+def test_replies_are_computed_once(spark, cells):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def reply(sheet):
+        read.add(1)
+        return '{"mapping": {}}' if sheet == "b" else '{"mapping": {"订单号": "发货日期"}}'
+
+    profiles = profile_cells(cells({name: SHEET for name in ("a", "b", "c")}))
+    sheets = spark.createDataFrame([("a",), ("b",), ("c",)], "sheet_id string")
+    map_fields(profiles, replies=sheets.select("sheet_id", reply.asNondeterministic()("sheet_id").alias("text"))).collect()
+    assert read.value == 3
