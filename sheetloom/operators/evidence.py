@@ -8,6 +8,7 @@ that owns a third of all rows is reduced before it travels.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -121,6 +122,43 @@ def _fanouts(df: DataFrame, a: str, b: str, by: By) -> DataFrame:
     )
 
 
+#: rows a task holds at once, and the share of all rows from which a value is too frequent for one task
+ROWS_PER_TASK = 250_000
+FREQUENT = 0.001
+
+
+def _frequent(keys: DataFrame, column: str) -> list[int]:
+    """Values (64-bit hashes, none NULL) that hold more than ``FREQUENT`` of all rows, and maybe some that hold less."""
+    row = keys.stat.freqItems([column], FREQUENT).first()
+    maybe = list(row[0] or []) if row else []
+    if not maybe:
+        return []
+    counted = keys.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    often = keys.where(q(column).isin(maybe)).groupBy(q(column)).agg(F.count(F.lit(1)).alias("__n"))
+    return [r[0] for r in often.where(F.col("__n") >= max(2.0, counted * FREQUENT / 2)).collect()]
+
+
+def _tasks(df: DataFrame) -> int:
+    """As many tasks as keep each at ``ROWS_PER_TASK``, however long the table."""
+    return max(df.count() // ROWS_PER_TASK + 1, df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _fanouts_within(df: DataFrame, a: str, b: str, group: str) -> DataFrame:
+    """``_fanouts`` for many groups: each is counted where its rows are, in tasks of bounded size.
+
+    Groups that hold a large share of the rows are left to ``_fanouts``, which spreads them by value.
+    """
+    text = [F.xxhash64(q(c).cast("string")).alias(c) for c in (a, b)]
+    rows = df.where(q(a).isNotNull() & q(b).isNotNull()).select(q(group).alias("__g"), *text)
+    mark = F.xxhash64("__g")
+    hot = _frequent(rows.select(mark.alias("__k")), "__k")
+    near = rows.where(~mark.isin(hot)) if hot else rows
+    found = _fanouts(near.repartition(_tasks(rows), "__g"), a, b, "__g")
+    if hot:
+        found = found.unionByName(_fanouts(rows.where(mark.isin(hot)), a, b, "__g"))
+    return found.withColumnRenamed("__g", group)
+
+
 def bijection(df: DataFrame, a: str, b: str, by: By = None) -> DataFrame:
     """Whether values of ``a`` and ``b`` pair off one to one."""
     return _fanouts(df, a, b, by).withColumn(
@@ -137,29 +175,70 @@ def relation_kind(df: DataFrame, a: str, b: str, by: By = None) -> DataFrame:
     )
 
 
-def relation_matrix(df: DataFrame, columns: Sequence[str], by: By = None) -> DataFrame:
+#: distinct values from which a column's rows are put together by its values
+WIDE = 20_000
+
+
+def relation_matrix(df: DataFrame, columns: Sequence[str], by: By = None, wide: int = WIDE) -> DataFrame:
     """Relation of every pair of columns, as ``relation_kind`` gives it, from one job.
 
-    A row becomes one row per pair, with 64-bit hashes of both values; distinct pairs are counted as for one pair, and
-    a hot value is reduced before it travels.  Rows in which a value of the pair is NULL don't count for it.  A pair
-    without rows is left out.
+    Values travel as 64-bit hashes.  The rows of a column of ``wide`` or more values are put together by its values,
+    all partners in one row: distinct partners are counted there, and only their counts travel on.  Pairs of other
+    columns, and values too frequent for one task, become one row per pair; distinct pairs are few there or spread over
+    all tasks.  Rows in which a value of the pair is NULL don't count for it.  A pair without rows is left out.
     """
     keys = as_list(by)
     outer = [q(k) for k in keys]
+    k = len(columns)
     hashed = df.select(*outer, *[F.when(q(c).isNotNull(), F.xxhash64(q(c))).alias(f"__{i}") for i, c in enumerate(columns)])
-    pairs = [F.struct(F.lit(i).alias("__i"), F.lit(j).alias("__j"), F.col(f"__{i}").alias("__a"), F.col(f"__{j}").alias("__b"))
-             for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    spread = hashed.select(*outer, inline_structs(pairs)).where("__a IS NOT NULL AND __b IS NOT NULL").distinct()
-    sides = spread.select(*outer, "__i", "__j", F.inline(F.array(
-        F.struct(F.lit(True).alias("__of_a"), F.col("__a").alias("__v")),
-        F.struct(F.lit(False).alias("__of_a"), F.col("__b").alias("__v")))))
-    degree = sides.groupBy(*outer, "__i", "__j", "__of_a", "__v").agg(F.count(F.lit(1)).alias("__n"))
-    most = degree.groupBy(*outer, "__i", "__j").agg(
-        F.max(F.when(F.col("__of_a"), F.col("__n"))).alias("max_b_per_a"),
-        F.max(F.when(~F.col("__of_a"), F.col("__n"))).alias("max_a_per_b"))
+    sizes = hashed.agg(*[F.approx_count_distinct(f"__{i}").alias(f"__{i}") for i in range(k)]).first()
+    order = sorted(range(k), key=lambda i: -sizes[i])  # partners of a column have no more values than it has
+    bases = [i for i in order if sizes[i] >= wide]
+    tasks = _tasks(hashed) if bases else 0
+
+    def pair(i: int, j: int) -> Column:
+        return F.lit(min(i, j) * k + max(i, j)).alias("__p")
+
+    def once(i: int, j: int) -> Column:
+        return F.transform(f"__s{j}", lambda v: F.struct(
+            pair(i, j), F.lit(i > j).alias("__of_a"), v.alias("__v"), F.lit(1).cast("long").alias("__n")))
+
+    parts, spread = [], []
+    for at, i in enumerate(order):
+        partners = order[at + 1:]
+        if not partners:
+            continue
+        value = F.col(f"__{i}")
+        if i in bases:
+            hot = _frequent(hashed.where(value.isNotNull()).select(value.alias("__k")), "__k")
+            rest = value.isNotNull() & ~value.isin(hot) if hot else value.isNotNull()
+            lists = hashed.where(rest).repartition(tasks, *outer, value).groupBy(*outer, value).agg(
+                F.collect_list(F.struct(*[F.col(f"__{j}") for j in partners])).alias("__l"))
+            sets = lists.select(*outer, *[F.array_distinct(F.filter(
+                F.col("__l").getField(f"__{j}"), lambda v: v.isNotNull())).alias(f"__s{j}") for j in partners])
+            own = [F.struct(pair(i, j), F.lit(i < j).alias("__of_a"), F.lit(None).cast("long").alias("__v"),
+                            F.size(f"__s{j}").cast("long").alias("__n")) for j in partners]
+            others = [once(i, j) for j in partners]
+            parts.append(sets.select(*outer, F.inline(F.concat(F.array(*own), *others))).where("__n > 0"))
+            if not hot:
+                continue
+            value = F.when(value.isin(hot), value)
+        spread += [F.struct(pair(i, j), (value if i < j else F.col(f"__{j}")).alias("__a"),
+                            (F.col(f"__{j}") if i < j else value).alias("__b")) for j in partners]
+    if spread:
+        distinct = hashed.select(*outer, inline_structs(spread)).where("__a IS NOT NULL AND __b IS NOT NULL").distinct()
+        parts.append(distinct.select(*outer, "__p", F.inline(F.array(
+            F.struct(F.lit(True).alias("__of_a"), F.col("__a").alias("__v"), F.lit(1).cast("long").alias("__n")),
+            F.struct(F.lit(False).alias("__of_a"), F.col("__b").alias("__v"), F.lit(1).cast("long").alias("__n"))))))
+    # a count that is complete has no value; the others are summed
+    degree = reduce(DataFrame.unionByName, parts).groupBy(*outer, "__p", "__of_a", "__v").agg(
+        F.sum("__n").alias("__sum"), F.max("__n").alias("__max"))
+    count = F.when(F.col("__v").isNull(), F.col("__max")).otherwise(F.col("__sum"))
+    most = degree.groupBy(*outer, "__p").agg(F.max(F.when(F.col("__of_a"), count)).alias("max_b_per_a"),
+                                             F.max(F.when(~F.col("__of_a"), count)).alias("max_a_per_b"))
     names = F.array(*[F.lit(c) for c in columns])
     many_b, many_a = F.col("max_b_per_a") > 1, F.col("max_a_per_b") > 1
-    return most.select(*outer, F.get(names, F.col("__i")).alias("a"), F.get(names, F.col("__j")).alias("b"),
+    return most.select(*outer, F.get(names, F.floor(F.col("__p") / k).cast("int")).alias("a"), F.get(names, F.col("__p") % k).alias("b"),
                        "max_b_per_a", "max_a_per_b",
                        F.when(many_a & many_b, "N:M").when(many_a, "N:1").when(many_b, "1:N").otherwise("1:1").alias("relation"))
 
@@ -207,7 +286,7 @@ def dependency_violations(df: DataFrame, lhs: str, rhs: str, by: By = None) -> D
 
 def sequence_consistency(df: DataFrame, group: str, place: str, seq: str) -> DataFrame:
     """Within a group: same place means same sequence number, and back."""
-    flags = _fanouts(df, place, seq, group)
+    flags = _fanouts_within(df, place, seq, group)
     return flags.withColumn(
         "consistent", (F.col("max_b_per_a") == 1) & (F.col("max_a_per_b") == 1)
     )

@@ -75,3 +75,43 @@ def test_relations_of_all_pairs(spark):
                 continue
             one = ev.relation_kind(df.where(f"s = '{s}'"), a, b).first()
             assert got[s, a, b] == (one.max_b_per_a, one.max_a_per_b, one.relation), (a, b)
+
+
+def test_relations_of_wide_columns(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(ev, "FREQUENT", 0.02)
+    rng = random.Random(4)
+    names = ["key", "other", "few", "none"]
+    rows = [(rng.choice(["x", "y", None]), 7 if i % 3 == 0 else i // 2, rng.choice([None, 5, rng.randint(0, 300)]), i % 4, None)
+            for i in range(1500)]  # 7 and 5 are frequent
+    df = spark.createDataFrame(rows, "s string, key int, other int, few int, none string")
+    got = ev.relation_matrix(df, names, "s", wide=100)
+    assert set(got.collect()) == set(ev.relation_matrix(df, names, "s", wide=10**9).collect()) and got.count() == 9
+    for r in got.collect():
+        one = ev.relation_kind(df.where(F.col("s").eqNullSafe(r.s)), r.a, r.b).first()
+        assert (r.max_b_per_a, r.max_a_per_b, r.relation) == (one.max_b_per_a, one.max_a_per_b, one.relation)
+
+
+def test_relations_of_wide_columns_travel_once(spark):
+    df = spark.range(3000).selectExpr("id AS a", "id DIV 2 AS b", "id % 3 AS c")
+    got = ev.relation_matrix(df, ["a", "b", "c"], wide=1000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and {(r.a, r.b): r.relation for r in got.collect()} == {
+        ("a", "b"): "N:1", ("a", "c"): "N:1", ("b", "c"): "N:M"}
+
+
+def test_sequences_of_frequent_and_rare_groups(spark, monkeypatch):
+    monkeypatch.setattr(ev, "FREQUENT", 0.02)
+    rows = [(None if i % 5 == 0 else "hot" if i % 3 == 0 else f"g{i // 4}", i % 7, i % 2 if i % 11 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "w string, place int, seq int")
+    got = {r.w: r for r in ev.sequence_consistency(df, "w", "place", "seq").collect()}
+    want = {r.w: r for r in ev._fanouts(df, "place", "seq", "w").collect()}
+    assert {w: tuple(r)[:3] for w, r in got.items()} == {w: tuple(r) for w, r in want.items()}
+
+
+def test_tasks_of_sequences_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ev, "ROWS_PER_TASK", 500)
+    df = spark.range(10000).selectExpr("id DIV 4 AS w", "id % 4 AS place", "id % 4 AS seq")
+    plan = ev.sequence_consistency(df, "w", "place", "seq")._jdf.queryExecution().executedPlan().toString()
+    assert "21), REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 1
