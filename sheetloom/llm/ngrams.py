@@ -13,8 +13,16 @@ that several must be of that kind, so a set whose empty pieces spoil fewer leave
 out the signatures of empty pieces, which unrelated sets would share.  No similar
 pair is missed.
 
-Sets that share signatures directly or through others are a family.  Each member is
-compared once with the family's first set and turned into its difference from it.
+Sets of one text pattern that are not similar share a signature now and then, as two
+that quote the same passage do where nothing else fell into a part.  So candidates are
+held against sketches, the parities of their shingles in some number of cells: two
+sets differ in at least as many shingles as their sketches differ in bits.  A set far
+from the first one with its signature sends all that have the signature to a closer
+look, in which only those are joined that can be similar by their sketches.  What is
+joined directly or through others is a family; a passage that many sets quote makes
+none, however many they are, and no similar pair is missed.
+
+Each member of a family is compared once with the family's first set and turned into its difference from it.
 Two members whose differences are small enough together are linked for certain;
 these links are counted from a histogram of one number per member.  Only pairs that
 this leaves open are compared, by blocks, on the differences: the symmetric
@@ -62,9 +70,13 @@ SHARE_SHINGLES = 1 << 20
 SEEN = 1 << 22
 #: Shingles (columns) of one matrix product.
 COLUMNS = 4096
+#: Members of families, some tens of bytes each, up to which all tasks get them, so that other texts stay where they are.
+FEW_MEMBERS = 1 << 19
+#: Times the bits that similar sets differ in at most, beyond which two sketches are far apart.
+FAR = 2
 
 SETS = T.StructType([T.StructField("size", T.LongType()), T.StructField("h1", T.LongType()),
-                     T.StructField("h2", T.LongType())])
+                     T.StructField("h2", T.LongType()), T.StructField("sketch", T.BinaryType())])
 _SALT1, _SALT2 = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -157,18 +169,35 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the shingles in cells, two to four times as many as shingles: a power of two, so that halves fold."""
+    cells = 1 << max(6, (2 * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    held = np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((held & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, with as many cells as the smallest of them."""
+    least = min(map(len, sketches))
+    rows = np.empty((len(sketches), least // 8), np.uint64)
+    for i, x in enumerate(sketches):
+        rows[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least // 8), axis=0)
+    return rows
+
+
 def set_columns(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """``docs`` with the size of each set and two hashes of it."""
+    """``docs`` with the size of each set, two hashes and the sketch of it."""
 
     def make():
         def run(column):
-            size, h1, h2 = [], [], []
+            size, h1, h2, cells = [], [], [], []
             for part in slices(column, lower=True):
                 for s in shingle_sets(part, words):
                     size.append(len(s))
                     h1.append(mix(s ^ _SALT1).sum().astype(np.int64))
                     h2.append(mix(s ^ _SALT2).sum().astype(np.int64))
-            return [size, h1, h2]
+                    cells.append(sketch(s))
+            return [size, h1, h2, cells]
         return run
 
     return add_columns(docs, make, SETS, text)
@@ -201,21 +230,24 @@ def signature_rows(docs: DataFrame, words: int, similarity: tuple[int, int]) ->
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """(sig, id, first): rows whose signature another row has, with the smallest id that has it."""
+    """(sig, id, first): different ids whose signature another id has, with the smallest id that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig0 = id0 = first0 = None
         sent0 = False
         for batch in batches:
             sig, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(sig):
+                continue
+            new = np.concatenate(([sig[0] != sig0 or own[0] != id0], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])))
+            sig, own = sig[new], own[new]
             if not len(sig):
                 continue
             goes_on = sig0 is not None and sig[0] == sig0
             start = np.concatenate(([True], sig[1:] != sig[:-1]))
             heads = np.flatnonzero(start)
-            first = np.repeat(own[heads], np.diff(np.concatenate((heads, [len(sig)]))))
-            length = np.repeat(np.diff(np.concatenate((heads, [len(sig)]))), np.diff(np.concatenate((heads, [len(sig)]))))
-            many = length > 1
+            length = np.diff(np.concatenate((heads, [len(sig)])))
+            first, many = np.repeat(own[heads], length), np.repeat(length, length) > 1
             if goes_on:
                 run_len = int(heads[1]) if len(heads) > 1 else len(sig)
                 first[:run_len] = first0
@@ -232,6 +264,73 @@ def shared(rows: DataFrame) -> DataFrame:
             .mapInArrow(run, "sig long, id long, first long"))
 
 
+def near_edges(size: np.ndarray, cells: np.ndarray, similarity: tuple[int, int]) -> list[tuple[int, int]]:
+    """Pairs (first, other) that connect the sets of ``size`` as those do that can be similar by their sketches."""
+    p, q = similarity
+    left, out = np.arange(len(size)), []
+    while len(left) > 1:
+        root, left = left[0], left[1:]
+        todo = [root]
+        while todo and len(left):
+            at = todo.pop()
+            apart = np.bitwise_count(cells[left] ^ cells[at]).sum(1, dtype=np.int64)
+            near = (q + p) * apart <= (q - p) * (size[left] + size[at])
+            found = left[near].tolist()
+            left = left[~near]
+            todo += found
+            out += [(int(root), x) for x in found]
+    return out
+
+
+def candidate_edges(held: DataFrame, classes: DataFrame, sketches: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): classes joined, directly or through others, with all that share a signature and can be similar.
+
+    ``held`` is what ``shared`` gives, ``classes`` has (h1, class), ``sketches`` (class, size, sketch).
+    """
+    p, q = similarity
+
+    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[col.to_pylist() for col in batch.columns], strict=True)
+            near = [(q + p) * int(np.bitwise_count(np.bitwise_xor(*folded([x, y]))).sum()) <= FAR * (q - p) * (m + n)
+                    for *_, m, x, n, y in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(near, pa.bool_())],
+                                             names=["id", "first", "a", "b", "near"])
+
+    def looked_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, name, size, cells = None, [], [], []
+
+        def done():
+            edges = near_edges(np.array(size), folded(cells), similarity) if len(name) > 1 else []
+            own = np.array(name, np.int64)[np.array(edges, np.int64).reshape(-1, 2)]
+            return [pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1])], names=["a", "b"])] if edges else []
+
+        for batch in batches:
+            for sig, c, n, x in zip(*[col.to_pylist() for col in batch.columns], strict=True):
+                if sig != key:
+                    yield from done()
+                    key, name, size, cells = sig, [], [], []
+                name.append(c)
+                size.append(n)
+                cells.append(x)
+        yield from done()
+
+    of = {x: classes.select(F.col("h1").alias(x), F.col("class").alias(y)) for x, y in (("id", "a"), ("first", "b"))}
+    star = keep(held.where("id <> first").select("id", "first").distinct().join(of["id"], "id").join(of["first"], "first"))
+    wanted = star.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    own = keep(sketches.join(wanted, "class"))
+    side = {x: own.select(F.col("class").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_cells"))
+            for x in ("a", "b")}
+    sides = (star.join(side["a"], "a").join(side["b"], "b")
+             .select("id", "first", "a", "b", "a_size", "a_cells", "b_size", "b_cells"))
+    star = keep(sides.mapInArrow(tested, "id long, first long, a long, b long, near boolean"))
+    far = keep(held.join(star.where("NOT near").select("id", "first").distinct(), ["id", "first"]).select("sig").distinct())
+    members = held.join(far, "sig").select("sig", "id").join(of["id"].withColumnRenamed("a", "class"), "id").join(own, "class")
+    looked = (members.select("sig", "class", "size", "sketch").repartition("sig").sortWithinPartitions("sig", "class")
+              .mapInArrow(looked_at, "a long, b long"))
+    return star.where("near").select("a", "b").unionByName(looked).where("a <> b")
+
+
 def block_links(share: np.ndarray, sets: list[np.ndarray], size: np.ndarray, open_by: np.ndarray,
                 similarity: tuple[int, int]) -> np.ndarray:
     """Which of the sets of ``size`` are similar, as a symmetric matrix: pairs of one share, or those between two.
@@ -314,7 +413,7 @@ def differences(members: DataFrame, texts: DataFrame, words: int, similarity: tu
     dealt = dealt.withColumn("share", F.explode(F.when(is_first, F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(own)))
     # written first: the join then sees its size, and the texts stay where they are while it is small
     dealt = keep(dealt.select("family", "class", "share", (~is_first).cast("int").alias("after"), "id", "mark"))
-    rows = texts.join(dealt, ["id", "mark"])
+    rows = texts.join(F.broadcast(dealt) if dealt.count() <= FEW_MEMBERS else dealt, ["id", "mark"])
     return (rows.repartition("family", "share").sortWithinPartitions("family", "share", "after", "class")
             .select("family", "class", "share", "text").mapInArrow(run, DIFFERENCES))
 
@@ -396,11 +495,9 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
                    .select("size", "h1", "h2", F.col("at.row").alias("class"), "at.id", "at.mark"))
     named = keep(there.join(classes.select("size", "h1", "h2", "class"), ["size", "h1", "h2"]).select("id", "class").distinct())
 
-    held = shared(signature_rows(source.where("id IS NOT NULL").select("text"), words, similarity)).where("id <> first")
-    of = {x: classes.select(F.col("h1").alias(x), F.col("class").alias(f"{x}_class")) for x in ("id", "first")}
-    star = (keep(held.select("id", "first").distinct()).join(of["id"], "id").join(of["first"], "first")
-            .select(F.col("id_class").alias("a"), F.col("first_class").alias("b")).where("a <> b"))
-    families = components(star)
+    held = keep(shared(signature_rows(source.where("id IS NOT NULL").select("text"), words, similarity)))
+    sketches = rows.select(F.col("row").alias("class"), "size", "sketch")
+    families = components(candidate_edges(held, classes.select("h1", "class"), sketches, similarity))
     members = families.select(F.col("id").alias("class"), F.col("component").alias("family")).join(classes, "class")
     members = keep(members.select("family", "class", "size", "id", "mark"))
     found = keep(family_links(members, source, words, similarity))

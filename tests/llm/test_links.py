@@ -111,3 +111,50 @@ def test_chains_and_texts_of_one_id(docs, monkeypatch):
     for i in texts:
         assert (got[i] == {min(group)}) == (i in group), i
     assert got[None] == {None}
+
+
+def test_a_common_passage_makes_no_family(docs, monkeypatch):
+    """Texts that quote one passage share signatures now and then; only those that can be similar are a family."""
+    rng, passage, texts = random.Random(13), " ".join(f"p{i}" for i in range(33)), {}
+    for i in range(60):
+        texts[i] = passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(70))
+    for i in range(10):
+        texts[100 + i] = texts[i] + " end"
+    held, found = [], ngrams.family_links
+
+    def kept(members, *rest):
+        held.extend(members.select("family", "id").collect())
+        return found(members, *rest)
+
+    monkeypatch.setattr(ngrams, "family_links", kept)
+    got = {r.key: r.links for r in ngrams.similar_groups(docs(texts)).collect()}
+    assert got == {i: len(of) for i, of in linked(texts, 4, 85, 100).items()}
+    assert sum(got.values()) == 20
+    of = {r.id: r.family for r in held}
+    assert all(of[i] == of[100 + i] for i in range(10))
+    assert max(list(of.values()).count(x) for x in of.values()) == 2
+
+
+def test_sketches_never_set_similar_sets_apart():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for size in (1, 2, 5, 60, 63, 64, 65, 300, 2000):
+        sets = []
+        for _ in range(30):
+            x = np.unique(rng.integers(0, 2**64, size, np.uint64))
+            out, add = rng.integers(0, size // 2 + 1), rng.integers(0, size // 2 + 1)
+            sets += [x, np.unique(np.concatenate((x[out:], rng.integers(0, 2**64, add, np.uint64))))]
+        sets = [s for s in sets if len(s)]
+        cells = ngrams.folded([ngrams.sketch(s) for s in sets])
+        for i, x in enumerate(sets):
+            for y, other in zip(sets[:i], cells):
+                assert np.bitwise_count(cells[i] ^ other).sum() <= len(np.setxor1d(x, y))
+        of = np.array([len(s) for s in sets])
+        root = np.arange(len(sets))
+        for a, b in ngrams.near_edges(of, cells, (85, 100)):
+            root[b] = a
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                both = len(np.intersect1d(x, y))
+                assert 100 * both < 85 * (len(x) + len(y) - both) or root[i] == root[j]
