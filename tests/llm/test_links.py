@@ -158,3 +158,21 @@ def test_sketches_never_set_similar_sets_apart():
             for j, y in enumerate(sets[:i]):
                 both = len(np.intersect1d(x, y))
                 assert 100 * both < 85 * (len(x) + len(y) - both) or root[i] == root[j]
+
+
+def test_stage_compares_no_texts_that_only_quote(docs, spark, monkeypatch):
+    """As above on the stage's terms: five words, four fifths."""
+    rng, passage, texts = random.Random(17), " ".join(f"p{i}" for i in range(34)), {}
+    for i in range(40):
+        texts[i] = passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(70))
+    texts |= {100 + i: texts[i] + " one end" for i in range(5)}
+    widths, found = [], ngrams.family_links
+
+    def kept(members, *rest):
+        widths.extend(r["count"] for r in members.groupBy("family").count().collect())
+        return found(members, *rest)
+
+    monkeypatch.setattr(ngrams, "family_links", kept)
+    got = {r.doc_id for r in ngrams.first_of_group_stage(spark, docs(texts), "").collect()}
+    assert got == set(range(40))
+    assert widths == [2] * 5
